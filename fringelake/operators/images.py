@@ -37,7 +37,7 @@ def fft2(cells: DataFrame, n: int, *, inverse: bool = False, planes: list[str] =
     plane_ddl = "".join(f"{f.name} {f.dataType.simpleString()}, "
                         for f in cells.select(*planes).schema.fields)
 
-    def along_x(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def along_x(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(key[-1]) * rows
         data = np.zeros((min(rows, n - first), n), dtype=complex)
         np.add.at(data, (pdf["y"].to_numpy() - first, pdf["x"].to_numpy()),
@@ -54,7 +54,7 @@ def fft2(cells: DataFrame, n: int, *, inverse: bool = False, planes: list[str] =
             out[name] = value
         return out
 
-    def along_y(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def along_y(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(key[-1]) * rows
         width = min(rows, n - first)
         data = np.zeros((n, width), dtype=complex)

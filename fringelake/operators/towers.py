@@ -74,7 +74,7 @@ def _tower_task(tower: TowerSpec, pattern: Callable | None = None):
     w = 0 and return its cells."""
     size, transfer = tower.size, None
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         nonlocal transfer
         if transfer is None:
             transfer = tower.transfer()
@@ -156,7 +156,7 @@ def w_tower_degrid(df: DataFrame, tower: TowerSpec, cells: DataFrame) -> DataFra
     work = placed.join(planes, ["ub", "vb"])
     transfer = None
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         nonlocal transfer
         if transfer is None:
             transfer = tower.transfer()

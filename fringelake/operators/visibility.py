@@ -57,9 +57,10 @@ def simulate_sky_table(df: DataFrame, key: list[str], sources: DataFrame,
 
     blocks = df.drop("re", "im").withColumn("block", F.explode(F.sequence(low, top)))
     rest = [c for c in df.columns if c not in (*key, "re", "im")]
-    return (blocks.join(packed, "block")
-            .groupBy(*key).agg(*[F.first(c).alias(c) for c in rest],
-                               F.sum(part("re")).alias("re"), F.sum(part("im")).alias("im")))
+    partial = blocks.join(packed, "block").select(
+        *key, *rest, part("re").alias("re"), part("im").alias("im"))
+    return partial.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest],
+                                     F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def rotate(df: DataFrame, ra: float, dec: float, new_ra: float, new_dec: float) -> DataFrame:

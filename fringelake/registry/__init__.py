@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from fringelake.registry import geometry
+from fringelake.registry import geometry, grids, sets
 from fringelake.registry.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "geometry"]
+__all__ = ["ORACLES", "QUERIES", "geometry", "grids", "sets"]

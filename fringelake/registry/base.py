@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringelake.shipping import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -39,7 +41,12 @@ def query(ints: str = "", reals: str = "", texts: str = "", *, digits: int = 6,
         name = fn.__name__
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: _final(fn(spark, sf_dir), *names, digits)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return _final(fn(spark, sf_dir), *names, digits)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = _final_sql(sql, *names, digits)
         return fn

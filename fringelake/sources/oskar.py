@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 # Format constants (fixed values).
 MAGIC = b"OSKARBIN"
 HEADER_BYTES = 64
-BLOCK_HEADER = struct.Struct("=3sBBBBBiq")
+BLOCK_HEADER = "=3sBBBBBiq"
+BLOCK_HEADER_BYTES = struct.calcsize(BLOCK_HEADER)
 TYPE_CHAR, TYPE_INT, TYPE_SINGLE, TYPE_DOUBLE, TYPE_COMPLEX, TYPE_MATRIX = (1 << b for b in (0, 1, 2, 3, 5, 6))
 FLAG_CRC = 1 << 6
 GROUP_STANDARD, GROUP_SETTINGS, GROUP_HEADER, GROUP_BLOCK = 1, 3, 11, 12
@@ -47,12 +48,12 @@ def _headers(f, path: str, length: int) -> Iterator[tuple]:
     if start[:8] != MAGIC or start[9] not in (1, 2):
         raise ValueError(f"{path}: not an OSKAR binary file of version 1 or 2")
     pos = HEADER_BYTES if start[9] == 2 else 20
-    while pos + BLOCK_HEADER.size <= length:
+    while pos + BLOCK_HEADER_BYTES <= length:
         f.seek(pos)
-        _, _, flags, kind, group, tag, index, size = BLOCK_HEADER.unpack(f.read(BLOCK_HEADER.size))
+        _, _, flags, kind, group, tag, index, size = struct.unpack(BLOCK_HEADER, f.read(BLOCK_HEADER_BYTES))
         payload = size - (4 if flags & FLAG_CRC else 0)
-        yield path, group, tag, index, kind, pos + BLOCK_HEADER.size, payload
-        pos += BLOCK_HEADER.size + size
+        yield path, group, tag, index, kind, pos + BLOCK_HEADER_BYTES, payload
+        pos += BLOCK_HEADER_BYTES + size
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -201,7 +202,7 @@ def encode_block(group: int, tag: int, index: int, values, kind: int) -> bytes:
     """One block in file form (no checksum)."""
     raw = values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes()
     item = 1 if isinstance(values, bytes) else np.asarray(values).dtype.itemsize
-    return BLOCK_HEADER.pack(b"TBG", item, 0, kind, group, tag, index, len(raw)) + raw
+    return struct.pack(BLOCK_HEADER, b"TBG", item, 0, kind, group, tag, index, len(raw)) + raw
 
 
 def encode_header() -> bytes:
@@ -212,7 +213,7 @@ def encode_blocks(samples: DataFrame) -> DataFrame:
     """Pack rows (block, t, bl, u, v, w, re, im) with dense (t, bl) per block
     into OSKAR visibility block bytes (block, content)."""
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "bl"])
         t, b = pdf["t"].to_numpy(), pdf["bl"].to_numpy()
         times, baselines = int(t.max() - t.min()) + 1, int(b.max()) + 1
@@ -238,8 +239,8 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
             for block, raw in zip(batch["block"], batch["content"]):
                 part, pos, cross = {}, 0, 0
                 while pos < len(raw):
-                    _, _, _, kind, _, tag, _, size = BLOCK_HEADER.unpack_from(raw, pos)
-                    pos += BLOCK_HEADER.size
+                    _, _, _, kind, _, tag, _, size = struct.unpack_from(BLOCK_HEADER, raw, pos)
+                    pos += BLOCK_HEADER_BYTES
                     part[names[tag]] = decode_payload(raw[pos:pos + size], kind)
                     cross = kind if tag == TAG_CROSS else cross
                     pos += size

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,10 +163,7 @@ def dump_rows(cells: DataFrame, n: int, real: bool = False) -> DataFrame:
     """Row-major raw form of an image: (y, bytes) with one binary row of n
     little-endian doubles (pairs of them for complex data) each. Rows in order
     make up the usual raw dump."""
-    import numpy as np
-    import pandas as pd
-
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = np.zeros(n, dtype="<f8" if real else "<c16")
         row[pdf["x"].to_numpy()] = pdf["re"].to_numpy() if real else (
             pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
@@ -175,9 +174,6 @@ def dump_rows(cells: DataFrame, n: int, real: bool = False) -> DataFrame:
 
 def load_rows(rows: DataFrame, real: bool = False) -> DataFrame:
     """Inverse of :func:`dump_rows`: non-zero cells (y, x, re, im)."""
-    import numpy as np
-    import pandas as pd
-
     def unpack(batches):
         for pdf in batches:
             for y, raw in zip(pdf["y"], pdf["bytes"]):

@@ -72,6 +72,21 @@ def radec_to_lmn(ra: Scalar, dec: Scalar, ra0: Scalar, dec0: Scalar):
     return l, m, n - 1.0
 
 
+def lmn_value(position: tuple[float, float], centre: tuple[float, float]) -> tuple[float, float]:
+    """(l, m) of one (ra, dec) seen from another, as numbers."""
+    d = position[0] - centre[0]
+    (sp, cp), (sc, cc) = ((math.sin(p[1]), math.cos(p[1])) for p in (position, centre))
+    return cp * math.sin(d), sp * cc - cp * sc * math.cos(d)
+
+
+def rotation_matrix(centre: tuple[float, float], new: tuple[float, float]) -> np.ndarray:
+    """Rows: unit u, v, w of one phase centre expressed at another."""
+    def axes(ra: float, dec: float) -> np.ndarray:
+        (sh, ch), (sd, cd) = ((math.sin(x), math.cos(x)) for x in (-ra, dec))
+        return np.array([[ch, -sh, 0], [sh * sd, ch * sd, cd], [-sh * cd, -ch * cd, sd]])
+    return axes(*centre) @ axes(*new).T
+
+
 def sphere_to_cosines(lon: Column, lat: Column):
     """Unit vector of a (longitude, latitude) pair, x pointing east."""
     return F.sin(lon) * F.cos(lat), F.cos(lon) * F.cos(lat), F.sin(lat)

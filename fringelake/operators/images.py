@@ -74,6 +74,35 @@ def fft2(cells: DataFrame, n: int, *, inverse: bool = False, planes: list[str] =
         along_y, f"{plane_ddl}y long, x long, re double, im double")
 
 
+def fft_arrays(df: DataFrame, keys: list[str], value: str, shape: tuple[int, ...], *,
+               inverse: bool = False) -> DataFrame:
+    """Centred transform of many small signals or planes held as arrays: adds
+    (re[], im[]). A batch of rows is one array operation; nothing is shuffled."""
+    transform = kernels.ifft if inverse else kernels.fft
+    axes = tuple(range(1, len(shape) + 1))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            data = np.stack(batch[value]).astype(float).reshape(-1, *shape)
+            out = transform(data, axes).reshape(len(batch), -1)
+            yield batch[keys].assign(re=list(np.ascontiguousarray(out.real)),
+                                     im=list(np.ascontiguousarray(out.imag)))
+
+    return df.select(*keys, value).mapInPandas(run, f"{ddl}, re array<double>, im array<double>")
+
+
+def convolve(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """Circular convolution of two n x n images: transforms multiply per cell."""
+    fa, fb = fft2(a, n), fft2(b, n).withColumnsRenamed({"re": "_re", "im": "_im"})
+    z = col().times(col("_re", "_im"))
+    product = lookup(fa, fb, ["y", "x"], max_rows=n * n, how="inner").select(
+        "y", "x", z.re.alias("re"), z.im.alias("im"))
+    return fft2(product, n, inverse=True)
+
+
 # -- imaging -------------------------------------------------------------------
 
 GridFn = Callable[[DataFrame], DataFrame]

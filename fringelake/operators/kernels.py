@@ -112,6 +112,11 @@ def aw_kernel(a1: np.ndarray, a2: np.ndarray, wkern: np.ndarray) -> np.ndarray:
     return out
 
 
+def pattern_pair_kernel(p1: np.ndarray, p2: np.ndarray, size: int) -> np.ndarray:
+    """Kernel that undoes the ratio of two antenna patterns in the image."""
+    return extract_mid(fft(p2 / p1), size)
+
+
 def prolate(n: int, c: float) -> np.ndarray:
     """Order-zero prolate spheroidal function over n pixels, 1 at the centre.
 

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringelake.functions import coords
-from fringelake.functions.cplx import Cx, col
+from fringelake.functions.cplx import col, literal, turns
 from fringelake.model import GridSpec
 from fringelake.operators import gridding, kernels
-from fringelake.operators.images import fft2
+from fringelake.operators.images import fft2, sample
+from fringelake.operators.lookup import lookup
+from fringelake.operators.visibility import rotate, shift, transform_uv
 
 TILE_CELLS = "ub long, vb long, y long, x long, re double, im double"
 
@@ -172,26 +174,78 @@ def w_tower_degrid(df: DataFrame, tower: TowerSpec, cells: DataFrame) -> DataFra
 
     subgrids = work.groupBy("ub", "vb", "part").applyInPandas(
         run, "ub long, vb long, plane int, y long, x long, re double, im double")
-    from fringelake.operators.lookup import lookup
     key = ["ub", "vb", "plane", "y", "x"]
     out = lookup(keyed, subgrids, key, max_rows=1 << 62)
     return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("re", "im")}).drop(*key)
 
 
-def snapshot_frame(df: DataFrame, p: float, q: float, dl: float, dm: float,
-                   matrix) -> DataFrame:
-    """w-snapshot preparation: fit-plane part of w removed into (u, v), shift to
-    the snapshot centre, and image transform."""
-    from fringelake.operators.visibility import recentre, shift, transform_uv
-    flat = df.withColumn("w", F.col("w") - p * F.col("u") - q * F.col("v"))
-    return transform_uv(recentre(shift(flat, dl, dm), dl, dm), matrix)
-
-
-def delay_screen(points: DataFrame, screen: DataFrame, n: int, freq: float) -> DataFrame:
-    """Phase factor of an ionospheric delay screen (seconds) at pixel positions
-    relative to the middle of the screen."""
-    from fringelake.functions.cplx import turns
-    from fringelake.operators.images import sample
-    at = sample(points, screen, n, "delay")
-    z: Cx = turns(F.col("sample") * float(freq))
-    return at.withColumns({"re": z.re, "im": z.im})
+def snapshot_frame(df: DataFrame, centre: tuple[float, float],
+                   snapshot_centre: tuple[float, float]):
+    """Samples of a w-snapshot: rotated to ``snapshot_centre``, where w is small,
+    the old centre shifted back to the middle, and the skew of the projection
+    undone. Also returns what its kernels need: (l, m, inverse transform)."""
+    l, m = coords.lmn_value(centre, snapshot_centre)
+    matrix = coords.rotation_matrix(snapshot_centre, centre)[:2, :2]
+    turned = shift(rotate(df, *centre, *snapshot_centre), -l, -m)
+    return transform_uv(turned, matrix), l, m, np.linalg.inv(matrix)
+
+
+def antenna_delays(ants: DataFrame, screen: DataFrame, n: int, pixel: float, height: float,
+                   directions: list[tuple[float, float]]) -> DataFrame:
+    """Delay (seconds) of an n x n ionospheric screen above each antenna, one
+    array entry per direction (l, m)."""
+    towards = F.posexplode(F.array(*[F.struct(F.lit(float(l)).alias("l"), F.lit(float(m)).alias("m"))
+                                     for l, m in directions])).alias("i", "d")
+    points = ants.select("ant", "x", "y", towards).select(
+        "ant", "i", ((F.col("x") + F.col("d.l") * height) / pixel).alias("x"),
+        ((F.col("y") + F.col("d.m") * height) / pixel).alias("y"))
+    return (sample(points, screen, n, "delay").groupBy("ant")
+            .agg(F.sort_array(F.collect_list(F.struct("i", "sample"))).alias("_d"))
+            .select("ant", F.transform("_d", lambda d: d["sample"]).alias("delays")))
+
+
+def simulate_through_screen(df: DataFrame, delays: DataFrame,
+                            sources: list[tuple[float, float, float]]) -> DataFrame:
+    """Sum of point sources, each with the phase difference the screen puts
+    between the two antennas of a sample."""
+    for i in (1, 2):
+        df = df.join(delays.select(F.col("ant").alias(f"antenna{i}"),
+                                   F.col("delays").alias(f"_d{i}")), f"antenna{i}")
+    total = literal(0.0)
+    for k, (l, m, flux) in enumerate(sources):
+        screen = turns((F.col("_d1")[k] - F.col("_d2")[k]) * F.col("freq"))
+        point = coords.point_phasor(F.col("u"), F.col("v"), F.col("w"), l, m)
+        total = total.plus(screen.times(point).scaled(F.lit(float(flux))))
+    return df.withColumns({"re": total.re, "im": total.im}).drop("_d1", "_d2")
+
+
+def sampled_predict(df: DataFrame, sources: list[tuple[float, float, float]], kernel: np.ndarray,
+                    kernel_w: np.ndarray, du: float, dw: float, offset: tuple[float, float, float],
+                    correction, correction_w) -> DataFrame:
+    """Predict by convolving grid-like samples around each (u,v,w).
+
+    Sources are divided by the grid corrections, simulated at every sample
+    position of the kernels and summed by kernel value. All samples of a row are
+    summed within the row.
+    """
+    flux = [f / (correction(du * l) * correction(du * m)
+                 * correction_w(dw * (np.sqrt(1 - l * l - m * m) - 1))) for l, m, f in sources]
+    steps = [(np.arange(len(k)) - len(k) // 2 + o) * d for k, o, d in (
+        (kernel, offset[0], du), (kernel, offset[1], du), (kernel_w, offset[2], dw))]
+    samples = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in (
+        ("du", steps[0][i]), ("dv", steps[1][j]), ("dw", steps[2][k]),
+        ("k", kernel[i] * kernel[j] * kernel_w[k]))])
+        for i in range(len(kernel)) for j in range(len(kernel)) for k in range(len(kernel_w))])
+
+    def part(which: str) -> Column:
+        def add(acc, s):
+            sky = literal(0.0)
+            for (l, m, _), f in zip(sources, flux):
+                sky = sky.plus(coords.point_phasor(
+                    F.col("u") + s["du"], F.col("v") + s["dv"], F.col("w") + s["dw"], l, m)
+                    .scaled(F.lit(float(f))))
+            return acc + s["k"] * getattr(sky, which)
+        return F.aggregate(samples, F.lit(0.0), add)
+
+    return df.withColumns({"_re": part("re"), "_im": part("im")}).withColumns(
+        {"re": F.col("_re"), "im": F.col("_im")}).drop("_re", "_im")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,9 +74,7 @@ def rotate(df: DataFrame, ra: float, dec: float, new_ra: float, new_dec: float)
 def phase_rotate(df: DataFrame, ra: float, dec: float, new_ra: float, new_dec: float) -> DataFrame:
     """Channel-wise rotation of samples whose (u,v,w) are in metres. Directions
     within 1e-15 of the current centre leave the data alone."""
-    d = new_ra - ra
-    l = math.cos(new_dec) * math.sin(d)
-    m = math.sin(new_dec) * math.cos(dec) - math.cos(new_dec) * math.sin(dec) * math.cos(d)
+    l, m = coords.lmn_value((new_ra, new_dec), (ra, dec))
     if abs(l) <= 1e-15 and abs(m) <= 1e-15:
         return df
     lam = [coords.metres_to_wavelengths(c, F.col("freq")) for c in _uvw()]

@@ -62,7 +62,7 @@ def fft_2d_distributed(spark, sf):
     FROM fa JOIN fb USING (y, x)), {t.dft2_sql("f", "p", 32, True)} SELECT * FROM f""")
 def convolve_images(spark, sf):
     """Circular convolution of the data image with a Gaussian."""
-    image = t.data_image(spark, sf, 32)
+    image = t.dense_image(spark, sf, 32)
     beam = image.select("y", "x", F.exp(-0.5 * (F.pow(F.col("y") - 16, F.lit(2.0)) + F.pow(
         F.col("x") - 16, F.lit(2.0)))).alias("re"), F.lit(0.0).alias("im"))
     return images.convolve(image, beam, 32)
@@ -128,11 +128,11 @@ def residual_stats(spark, sf):
                               ["vec_id"])
 
 
-@query("n", "rmse worst", sql=f"""WITH {t.data_image_sql(32)}, d AS (SELECT a.re - b.re AS e FROM im a
+@query("n", "rmse worst", sql=f"""WITH {t.dense_image_sql(32)}, d AS (SELECT a.re - b.re AS e FROM im a
   JOIN im b ON b.y = a.x AND b.x = a.y) SELECT count(*) AS n, sqrt(avg(e * e)) AS rmse,
   max(abs(e)) AS worst FROM d""")
 def rms_error(spark, sf):
-    image = t.data_image(spark, sf, 32)
+    image = t.dense_image(spark, sf, 32)
     flipped = image.select(F.col("x").alias("y"), F.col("y").alias("x"), "re", "im")
     return images.rms_error(image, flipped, ["y", "x"]).withColumn("n", F.lit(1024))
 
@@ -211,11 +211,11 @@ def hogbom_clean(spark, sf):
         F.col("c.residual").alias("residual"), F.col("c.comps").alias("comp"))
 
 
-@query("y x", "value", digits=5, sql=f"""WITH {t.data_image_sql(32)}, {clean_sql("im", "", 32, 0.2, 0.3, 3)}
+@query("y x", "value", digits=5, sql=f"""WITH {t.dense_image_sql(32)}, {clean_sql("im", "", 32, 0.2, 0.3, 3)}
   SELECT y, x, v AS value FROM r3""")
 def hogbom_clean_image(spark, sf):
     """CLEAN one image in distributed rounds, three components."""
-    image = t.data_image(spark, sf, 32).select("y", "x", F.col("re").alias("value"))
+    image = t.dense_image(spark, sf, 32).select("y", "x", F.col("re").alias("value"))
     psf = image.select("y", "x", F.exp(-0.2 * (F.pow(F.col("y") - 16, F.lit(2.0)) + F.pow(
         F.col("x") - 16, F.lit(2.0)))).alias("value"))
     _, left = clean.hogbom_image(image, psf, 32, gain=0.3, thresh=0.0, niter=3)
@@ -394,8 +394,8 @@ def sampled_predict(spark, sf):
 
 # -- recombination ----------------------------------------------------------------------------------------
 
-SPEC = recombine.RecombineSpec(image=256, subgrid_spacing=64, yB=64, yN=80, yP=128, xA=64, xM=128,
-                               xMxN_yP=96)
+SPEC = recombine.RecombineSpec(image=256, subgrid_spacing=64, yB=64, yN=160, yP=160, xA=64,
+                               xM=128, xMxN_yP=100)
 R = SPEC.image
 
 
@@ -421,29 +421,23 @@ SUBGRID_SQL = f"""s AS (SELECT re, im, {owner_sql('y', SPEC.xA, 'i0', 'r')},
   {owner_sql('x', SPEC.xA, 'i1', 'c')} FROM g)"""
 
 
-@query("i0 i1", "power re im", digits=2, sql=f"""WITH {t.data_image_sql(R)}, {t.dft2_sql("g", "im", R, True)},
-  {SUBGRID_SQL} SELECT i0, i1, sum(re * re + im * im) * 1e6 AS power, sum(re * (r + 1)) * 1000 AS re,
-  sum(im * (c + 1)) * 1000 AS im FROM s GROUP BY 1, 2""")
+@query("i0 i1 y x", "re im", digits=5, sql=f"""WITH {t.data_image_sql(R)}, {t.dft2_sql("g", "im", R, True)},
+  {SUBGRID_SQL} SELECT i0, i1, r AS y, c AS x, re * 1000 AS re, im * 1000 AS im FROM s""")
 def recombine_facets_to_subgrids(spark, sf):
     """Subgrids of the data image's transform, computed from its facets."""
     subs = recombine.facets_to_subgrids(
         recombine.facet_rows(t.data_image(spark, sf, R), SPEC), SPEC)
-    return subs.groupBy("i0", "i1").agg(
-        (F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * 1e6).alias("power"),
-        (F.sum(F.col("re") * (F.col("y") + 1)) * 1000).alias("re"),
-        (F.sum(F.col("im") * (F.col("x") + 1)) * 1000).alias("im"))
+    return subs.withColumns({c: F.col(c) * 1000 for c in ("re", "im")})
 
 
-@query("j0 j1", "power re", digits=2, sql=f"""WITH {t.data_image_sql(R)}, f AS (SELECT re,
+@query("j0 j1 y x", "re", digits=5, sql=f"""WITH {t.data_image_sql(R)}, f AS (SELECT re,
   {owner_sql('y', SPEC.yB, 'j0', 'r')}, {owner_sql('x', SPEC.yB, 'j1', 'c')} FROM im)
-  SELECT j0, j1, sum(re * re) AS power, sum(re * (r + 1)) / 100 AS re FROM f GROUP BY 1, 2""")
+  SELECT j0, j1, r AS y, c AS x, re FROM f WHERE re > 1e-9""")
 def recombine_subgrids_to_facets(spark, sf):
     """Facets restored from the subgrids of the image's transform."""
     grid = images.fft2(t.data_image(spark, sf, R), R, inverse=True)
     facets = recombine.subgrids_to_facets(recombine.subgrid_rows(grid, SPEC), SPEC)
-    return facets.groupBy("j0", "j1").agg(
-        F.sum(F.col("re") * F.col("re")).alias("power"),
-        (F.sum(F.col("re") * (F.col("y") + 1)) / 100).alias("re"))
+    return facets.where("re > 1e-9")
 
 
 @query("good", "", sql="SELECT 1 AS good")

@@ -205,6 +205,20 @@ im AS (SELECT cell // {n} AS y, cell % {n} AS x, re, 0e0 AS im FROM (
   sum(l_extendedprice / 1e6) AS re FROM lineitem GROUP BY 1) AS q)"""
 
 
+def dense_image(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Same with zero cells present."""
+    pixels = spark.range(n * n).select(F.floor(F.col("id") / n).alias("y"),
+                                       (F.col("id") % n).alias("x"))
+    return (pixels.join(data_image(spark, sf_dir, n), ["y", "x"], "left")
+            .select("y", "x", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im")))
+
+
+def dense_image_sql(n: int) -> str:
+    return data_image_sql(n).replace("im AS (", "im0 AS (", 1) + f""",
+im AS (SELECT y, x, coalesce(re, 0) AS re, 0e0 AS im FROM (
+  SELECT y, x FROM range({n}) a(y), range({n}) b(x)) AS p LEFT JOIN im0 USING (y, x))"""
+
+
 # -- SQL text shared by oracles -------------------------------------------------
 
 

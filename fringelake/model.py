@@ -56,6 +56,17 @@ BLOCK_SCHEMA = T.StructType([
 ])
 
 
+def never_null(key: Column) -> Column:
+    """Declare a computed key non-null; missing input must raise inside ``key``.
+
+    Joins and filters on nullable keys make Spark push null checks, each with a
+    copy of the key's whole expression, down to the scan. With keys that cost a
+    rotation per row this inflates the generated code beyond what the JVM
+    compiles.
+    """
+    return F.coalesce(key, F.lit(0).cast("long"))
+
+
 @dataclass(frozen=True)
 class GridSpec:
     """Square uv-grid: field of view ``theta`` (direction cosines) and extent
@@ -81,7 +92,7 @@ class GridSpec:
     def cell(self, coord: Column) -> Column:
         """Nearest cell, halves rounded up."""
         x = F.floor(F.lit(0.5) + self.relative(coord) * F.lit(float(self.n)))
-        return (x + F.lit(self.n // 2)).cast("long")
+        return never_null((x + F.lit(self.n // 2)).cast("long"))
 
     def frac_cell(self, coord: Column, oversampling: int) -> tuple[Column, Column]:
         """(cell, sub-cell offset) after rounding to 1/oversampling of a cell,
@@ -90,7 +101,7 @@ class GridSpec:
         fx = F.rint(
             -(F.lit(float(self.n // 2)) + self.relative(coord) * F.lit(float(self.n)))
             * F.lit(float(oversampling))).cast("long")
-        return -F.floor(fx / q).cast("long"), F.pmod(fx, q).cast("int")
+        return never_null(-F.floor(fx / q).cast("long")), never_null(F.pmod(fx, q)).cast("int")
 
 
 def next_pow2(n: int) -> int:

@@ -9,7 +9,7 @@ the first aggregation depends on the grid, not on the number of samples.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringelake.functions.cplx import Cx, col
@@ -57,16 +57,16 @@ def weighted_cells(df: DataFrame, keys: dict[str, Column], spec: GridSpec) -> Da
     """Per ``keys``: sums of uniformly weighted visibilities and of the weights
     themselves (re, im, wt), without touching the samples a second time.
 
-    Samples sum per (weighting cell, keys) first; the counts then come from that
-    small table.
+    Samples sum per (weighting cell, keys) before the shuffle; the counts then
+    come from that table, where a weighting cell has one row per key.
     """
     y, _ = spec.frac_cell(F.col("v"), 1)
     x, _ = spec.frac_cell(F.col("u"), 1)
     cell = {"wy": y, "wx": x}
     parts = df.groupBy(*[c.alias(k) for k, c in (cell | keys).items()]).agg(
         *_sums(), F.count(F.lit(1)).alias("n"))
-    totals = parts.groupBy("wy", "wx").agg(F.sum("n").alias("total"))
-    return (parts.join(totals, ["wy", "wx"])
+    total = F.sum("n").over(Window.partitionBy("wy", "wx"))
+    return (parts.withColumn("total", total)
             .groupBy(*keys).agg(F.sum(F.col("re") / F.col("total")).alias("re"),
                                 F.sum(F.col("im") / F.col("total")).alias("im"),
                                 F.sum(F.col("n") / F.col("total")).alias("wt")))

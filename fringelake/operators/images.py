@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -23,16 +24,17 @@ def block_rows(n: int) -> int:
     return max(1, min(n, CELLS_PER_BLOCK // n))
 
 
-def fft2(cells: DataFrame, n: int, *, inverse: bool = False, planes: list[str] = ()) -> DataFrame:
+def fft2(cells: DataFrame, n: int, *, inverse: bool = False, planes: list[str] = (),
+         rows: int | None = None) -> DataFrame:
     """Centred 2-D transform of n x n cell tables, one per value of ``planes``.
 
     Separable and distributed: tasks transform blocks of rows, hand the result
     over as row pieces, then transform blocks of columns. A task holds
-    ``CELLS_PER_BLOCK`` cells whatever the image size. Missing cells are zero,
+    ``CELLS_PER_BLOCK`` cells (or ``rows`` rows) whatever the image size. Missing cells are zero,
     all n x n cells of a plane come out.
     """
     planes = list(planes)
-    rows = block_rows(n)
+    rows = rows or block_rows(n)
     transform = kernels.ifft if inverse else kernels.fft
     plane_ddl = "".join(f"{f.name} {f.dataType.simpleString()}, "
                         for f in cells.select(*planes).schema.fields)
@@ -67,6 +69,21 @@ def fft2(cells: DataFrame, n: int, *, inverse: bool = False, planes: list[str] =
             out[name] = value
         return out
 
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros((n, n), dtype=complex)
+        np.add.at(data, (pdf["y"].to_numpy(), pdf["x"].to_numpy()),
+                  pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
+        data = transform(data)
+        y, x = np.divmod(np.arange(n * n), n)
+        out = pd.DataFrame({"y": y, "x": x, "re": data.real.ravel(), "im": data.imag.ravel()})
+        for name, value in zip(planes, key):
+            out[name] = value
+        return out
+
+    if rows == n:
+        # The plane is one block: no need to hand rows over.
+        return cells.select(*planes, "y", "x", "re", "im").groupBy(*planes).applyInPandas(
+            whole, f"{plane_ddl}y long, x long, re double, im double")
     half = (cells.select(*planes, "y", "x", "re", "im", F.floor(F.col("y") / rows).alias("yb"))
             .groupBy(*planes, "yb").applyInPandas(
                 along_x, f"{plane_ddl}xb long, y long, re array<double>, im array<double>"))
@@ -112,14 +129,27 @@ def dirty_image(df: DataFrame, spec: GridSpec) -> DataFrame:
     """Dirty image and point spread function by simple gridding: (y, x, img, psf)
     scaled to a psf peak of 1, plus that peak.
 
-    Weights, image and psf come out of one aggregation. Both grids are hermitian,
-    so their images are real and share one complex transform.
+    Weights, image and psf come out of one aggregation of the samples. Both
+    grids are hermitian, so their images are real and travel through one complex
+    transform as image + i psf. All weights are positive, so the psf peaks in
+    the centre, where it is the mean of its grid.
     """
+    n = spec.n
     sums = gridding.weighted_cells(mirror(df), gridding._cells(spec), spec)
-    image = gridding.hermitian(sums.select("y", "x", "re", "im"), spec.n)
-    psf = gridding.hermitian(
-        sums.select("y", "x", F.col("wt").alias("re"), F.lit(0.0).alias("im")), spec.n)
-    return _image_pair(image, psf, spec.n)
+    peak = sums.agg(F.sum(F.col("wt") * F.when(_has_twin(n), 2.0).otherwise(1.0))
+                    / float(n * n)).scalar()
+    plain = F.struct("y", "x", "re", (F.col("im") + F.col("wt")).alias("im"))
+    edge = n if n % 2 == 0 else n - 1
+    twin = F.struct((edge - F.col("y")).alias("y"), (edge - F.col("x")).alias("x"), "re",
+                    (F.col("wt") - F.col("im")).alias("im"))
+    both = F.explode(F.when(_has_twin(n), F.array(plain, twin)).otherwise(F.array(plain)))
+    cells = sums.select(both.alias("c")).select("c.*").groupBy("y", "x").agg(
+        F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return _normalised(fft2(cells, n, inverse=True), peak)
+
+
+def _has_twin(n: int) -> Column:
+    return (F.col("y") > 0) & (F.col("x") > 0) if n % 2 == 0 else F.lit(True)
 
 
 def image_with(df: DataFrame, spec: GridSpec, grid_fn: GridFn) -> DataFrame:
@@ -137,7 +167,10 @@ def _image_pair(image: DataFrame, psf: DataFrame, n: int) -> DataFrame:
     """Transform image + i psf together and normalise by the psf peak."""
     turned = psf.select("y", "x", (-F.col("im")).alias("re"), F.col("re").alias("im"))
     both = fft2(gridding.add_grids(image, turned), n, inverse=True)
-    peak = both.agg(F.max("im")).scalar()
+    return _normalised(both, both.agg(F.max("im")).scalar())
+
+
+def _normalised(both: DataFrame, peak: Column) -> DataFrame:
     safe = F.when(peak > 0, peak).otherwise(F.raise_error(F.lit("the psf has no positive peak")))
     return both.select("y", "x", (F.col("re") / safe).alias("img"),
                        (F.col("im") / safe).alias("psf"), safe.alias("pmax"))
@@ -262,13 +295,15 @@ def smooth(image: DataFrame, value: str, sigma: float, n: int, keys: list[str] =
     return out.withColumnRenamed("_v", value)
 
 
-def _write_step(df: DataFrame) -> DataFrame:
-    """Cut lineage of an iterative job in reliable storage."""
+def write_step(df: DataFrame) -> DataFrame:
+    """Cut lineage of an iterative job in the session's checkpoint folder. Only a
+    local session may fall back to a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            import tempfile
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
@@ -286,7 +321,7 @@ def connected_segments(pixels: DataFrame, n: int, keys: list[str] = ()) -> DataF
     bound = 1 << 62 if keys else n * n
     steps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"))
                       for j in (-1, 0, 1) for i in (-1, 0, 1)])
-    cur = _write_step(pixels.select(*keys, "y", "x", pid.alias("label")))
+    cur = write_step(pixels.select(*keys, "y", "x", pid.alias("label")))
     while True:
         near = (cur.select(*keys, "y", "x", "label", F.explode(steps).alias("s"))
                 .select(*keys, (F.col("y") + F.col("s.j")).alias("y"),
@@ -296,7 +331,7 @@ def connected_segments(pixels: DataFrame, n: int, keys: list[str] = ()) -> DataF
         parent = hooked.select(*keys, pid.alias("low"), F.col("low").alias("up"))
         best = F.least("low", F.coalesce("up", "low"))
         jumped = lookup(hooked, parent, [*keys, "low"], max_rows=bound)
-        new = _write_step(jumped.select(*keys, "y", "x", best.alias("label"),
+        new = write_step(jumped.select(*keys, "y", "x", best.alias("label"),
                                         (F.col("label") != best).alias("moved")))
         cur, moved = new.drop("moved"), new.where("moved").limit(1).count()
         if not moved:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringelake.functions import coords
-from fringelake.model import GridSpec
+from fringelake.model import GridSpec, never_null
 from fringelake.operators import gridding
 from fringelake.operators.lookup import with_rank
 
@@ -272,7 +272,8 @@ def kernel_table(keys: DataFrame, make: KernelFn, names: list[str]) -> DataFrame
 
 def w_bin(w: Column, step: float) -> Column:
     """Number of the nearest w-plane, halves to even."""
-    return F.rint(w / F.lit(float(step))).cast("int")
+    known = F.when(w.isNotNull(), w).otherwise(F.raise_error(F.lit("w is missing")))
+    return never_null(F.rint(known / F.lit(float(step))).cast("long")).cast("int")
 
 
 def nearest_even(value: Column, low: float, step: float, count: int) -> Column:

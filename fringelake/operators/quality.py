@@ -103,7 +103,7 @@ def range_bins(ranges: DataFrame, angle_step: float = 0.1, distance_step: float
 
 
 def out_of_order(df: DataFrame, keys: list[str], position: str, value: str,
-                 span: int = 4096) -> DataFrame:
+                 span: int = 1 << 16) -> DataFrame:
     """Rows whose ``value`` is below that of an earlier row (by ``position``).
 
     Compared inside spans of positions and between the extremes of whole spans,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fringelake.functions import coords
 from fringelake.functions.cplx import col, literal, turns
-from fringelake.model import GridSpec
+from fringelake.model import GridSpec, never_null
 from fringelake.operators import gridding, kernels
 from fringelake.operators.images import fft2, sample
 from fringelake.operators.lookup import lookup
@@ -51,10 +51,13 @@ class TowerSpec:
         """Tile of a sample, its w-plane, and its cell within the tile."""
         out = {"plane": kernels.w_bin(F.col("w"), self.wstep)}
         for tile, uv, axis in (("ub", "u", "x"), ("vb", "v", "y")):
-            out[tile] = F.floor(F.col(uv) * self.spec.theta / self.step)
-            mid = F.floor((2 * out[tile] + 1) * self.step / 2)
-            out[axis] = (F.floor(F.lit(0.5) + F.col(uv) * self.spec.theta - mid)
-                         + self.size // 2).cast("long")
+            known = F.when(F.col(uv).isNotNull(), F.col(uv)).otherwise(
+                F.raise_error(F.lit("uv coordinate is missing")))
+            index = F.floor(known * self.spec.theta / self.step)
+            mid = F.floor((2 * index + 1) * self.step / 2)
+            out[tile] = never_null(index)
+            out[axis] = never_null((F.floor(F.lit(0.5) + known * self.spec.theta - mid)
+                                    + self.size // 2).cast("long"))
         return out
 
     def transfer(self) -> np.ndarray:

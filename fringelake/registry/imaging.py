@@ -51,7 +51,7 @@ def dft_2d_8x8(spark, sf):
   SELECT * FROM f""")
 def fft_2d_distributed(spark, sf):
     """Transform of one image in row and column blocks."""
-    return images.fft2(t.data_image(spark, sf, 64), 64)
+    return images.fft2(t.data_image(spark, sf, 64), 64, rows=24)
 
 
 @query("y x", "re im", digits=3, sql=f"""WITH {t.data_image_sql(32)},
@@ -170,7 +170,7 @@ def smooth_image(spark, sf):
   FROM lab JOIN b USING (y, x) GROUP BY label HAVING count(*) >= 4""")
 def detect_sources(spark, sf):
     """Bright connected segments of the smoothed data image."""
-    smooth = images._write_step(images.smooth(t.data_image(spark, sf, 64), "re", 1.0, 64))
+    smooth = images.write_step(images.smooth(t.data_image(spark, sf, 64), "re", 1.0, 64))
     level = smooth.agg(F.avg("re") + F.stddev_pop("re")).first()[0]
     return images.detect_sources(smooth, "re", level, 4, 64, 0.1)
 

@@ -61,8 +61,8 @@ def samples_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1e8) + 5e6 * (F.col("l_linenumber") - 1)).alias("freq"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
         .otherwise(2).alias("pol"),
-        (F.col("l_extendedprice") / 100000.0 * F.cos(40.0 * F.col("l_discount"))).alias("re"),
-        (F.col("l_extendedprice") / 100000.0 * F.sin(40.0 * F.col("l_tax"))).alias("im"),
+        (F.col("l_extendedprice") / 97531.0 * F.cos(40.0 * F.col("l_discount"))).alias("re"),
+        (F.col("l_extendedprice") / 97531.0 * F.sin(40.0 * F.col("l_tax"))).alias("im"),
         F.col("l_quantity").alias("weight"))
     placed = antennas.attach_baselines(raw, stations(spark, sf_dir))
     uvw = coords.xyz_to_uvw(F.col("bx"), F.col("by"), F.col("bz"), F.col("ha"), DEC)
@@ -88,8 +88,8 @@ METRES_SQL = STATIONS_SQL + """,
 lin AS (SELECT l_suppkey % 25 AS antenna1, (l_suppkey % 25 + 1 + l_partkey % 24) % 25 AS antenna2,
   date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS d, l_linenumber - 1 AS chan,
   CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS pol,
-  l_extendedprice / 100000e0 * cos(40e0 * l_discount) AS re,
-  l_extendedprice / 100000e0 * sin(40e0 * l_tax) AS im, l_quantity AS weight FROM lineitem),
+  l_extendedprice / 97531e0 * cos(40e0 * l_discount) AS re,
+  l_extendedprice / 97531e0 * sin(40e0 * l_tax) AS im, l_quantity AS weight FROM lineitem),
 geo AS (SELECT antenna1, antenna2, CAST(d AS DOUBLE) AS time, 0.004e0 * (d % 365) - 0.73e0 AS ha,
   chan, 1e8 + 5e6 * chan AS freq, pol, re, im, weight,
   b.x - a.x AS bx, b.y - a.y AS "by", b.z - a.z AS bz
@@ -113,8 +113,8 @@ def tracks_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", a1.alias("antenna1"), a2.alias("antenna2"),
         (micros / F.lit(86400e6)).alias("time"), chan.alias("chan"),
         (F.lit(1e8) + 5e6 * chan).alias("freq"), F.lit(0).alias("pol"),
-        (F.col("value") / 100.0 * F.cos(0.1 * k)).alias("re"),
-        (F.col("value") / 100.0 * F.sin(0.1 * k)).alias("im"),
+        (F.col("value") / 97.0 * F.cos(0.1 * k)).alias("re"),
+        (F.col("value") / 97.0 * F.sin(0.1 * k)).alias("im"),
         (F.lit(1.0) + F.pmod(k, F.lit(4))).alias("weight"))
     raw = raw.withColumn("ha", (F.col("time") - F.floor("time")) * 2 * math.pi - math.pi)
     placed = antennas.attach_baselines(raw, stations(spark, sf_dir))
@@ -136,7 +136,7 @@ ev AS (SELECT event_id, user_id % 25 AS antenna1,
   CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events),
 evg AS (SELECT event_id, antenna1, antenna2, time,
   (time - floor(time)) * 2 * pi() - pi() AS ha, chan, 1e8 + 5e6 * chan AS freq, 0 AS pol,
-  value / 100e0 * cos(0.1e0 * k) AS re, value / 100e0 * sin(0.1e0 * k) AS im,
+  value / 97e0 * cos(0.1e0 * k) AS re, value / 97e0 * sin(0.1e0 * k) AS im,
   1e0 + k % 4 AS weight, b.x - a.x AS bx, b.y - a.y AS "by", b.z - a.z AS bz
   FROM ev JOIN st a ON a.ant = antenna1 JOIN st b ON b.ant = antenna2),""" + uvw_sql("trm", "evg")
 
@@ -193,7 +193,7 @@ def data_image(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """n x n image accumulated from all line items: price by a hash of the key."""
     cell = F.pmod(F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729, F.lit(n * n))
     return (table(spark, sf_dir, "lineitem")
-            .groupBy(cell.alias("cell")).agg(F.sum(F.col("l_extendedprice") / 1e6).alias("re"))
+            .groupBy(cell.alias("cell")).agg(F.sum(F.col("l_extendedprice") / 975310.0).alias("re"))
             .select(F.floor(F.col("cell") / n).alias("y"), (F.col("cell") % n).alias("x"),
                     "re", F.lit(0.0).alias("im")))
 
@@ -202,7 +202,7 @@ def data_image_sql(n: int) -> str:
     return f"""
 im AS (SELECT cell // {n} AS y, cell % {n} AS x, re, 0e0 AS im FROM (
   SELECT (l_partkey * 7919 + l_suppkey * 104729) % {n * n} AS cell,
-  sum(l_extendedprice / 1e6) AS re FROM lineitem GROUP BY 1) AS q)"""
+  sum(l_extendedprice / 975310e0) AS re FROM lineitem GROUP BY 1) AS q)"""
 
 
 def dense_image(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:

@@ -196,8 +196,9 @@ def _gather(parts: DataFrame, key: list[str], cells: DataFrame, shape: tuple[int
                           (F.col("_y") + F.floor(F.col("_d") / w) - h // 2).alias("y"),
                           (F.col("_x") + F.col("_d") % w - w // 2).alias("x"),
                           "_k.kre", "_k.kim")
-    hit = lookup(placed.where(_inside(n)), cells.select("y", "x", "re", "im"), ["y", "x"],
-                 max_rows=n * n, how="inner")
+    # Only cells of the grid are met, so the footprint needs no bounds test.
+    hit = lookup(placed, cells.select("y", "x", "re", "im"), ["y", "x"], max_rows=n * n,
+                 how="inner")
     value = col("re", "im").times(col("kre", "kim"))
     names = ["_" + c if c in ("y", "x") else c for c in key]
     return (hit.groupBy(*names).agg(F.sum(value.re).alias("re"), F.sum(value.im).alias("im"))
@@ -215,22 +216,16 @@ def convdegrid_by_key(df: DataFrame, spec: GridSpec, cells: DataFrame, keys: dic
     flip = conjugate if conjugate is not None else F.lit(False)
     by = _frac_cells(spec, oversampling) | keys | {"_conj": flip}
     keyed = df.drop("re", "im").withColumns(by)
-    parts = keyed.select(*by).distinct().join(kernels, [*keys, "yf", "xf"])
+    counts = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.drop("n").join(kernels, [*keys, "yf", "xf"])
     if conjugate is not None:
         parts = parts.withColumn("kim", F.when(
             F.col("_conj"), F.transform("kim", lambda k: -k)).otherwise(F.col("kim")))
     values = _gather(parts, list(by), cells, (size, size), spec.n)
-    out = _join_values(keyed, values, list(by), spec, oversampling, bool(keys))
-    return out.drop(*by)
-
-
-def _join_values(keyed: DataFrame, values: DataFrame, by: list[str], spec: GridSpec,
-                 oversampling: int, open_ended: bool) -> DataFrame:
-    """Look predictions up; with per-sample kernels their number has no bound
-    besides the number of samples, so that case always shuffles."""
-    bound = 1 << 62 if open_ended else 2 * ((spec.n + 1) * oversampling) ** 2
-    out = lookup(keyed, values, by, max_rows=bound)
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("re", "im")})
+    # Per-sample kernels leave the number of predictions without a bound.
+    bound = None if keys else 2 * ((spec.n + 1) * oversampling) ** 2
+    out = lookup(keyed, values, list(by), max_rows=bound, counts=counts)
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("re", "im")}).drop(*by)
 
 
 def convdegrid(df: DataFrame, spec: GridSpec, cells: DataFrame, kernel: np.ndarray) -> DataFrame:

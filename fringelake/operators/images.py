@@ -318,7 +318,7 @@ def connected_segments(pixels: DataFrame, n: int, keys: list[str] = ()) -> DataF
     """
     keys = list(keys)
     pid = F.struct("y", "x")
-    bound = 1 << 62 if keys else n * n
+    bound = None if keys else n * n
     steps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"))
                       for j in (-1, 0, 1) for i in (-1, 0, 1)])
     cur = write_step(pixels.select(*keys, "y", "x", pid.alias("label")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringelake.model import never_null
+
 DEFAULT_SALTS = 64
 
 
@@ -25,20 +27,23 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, parts: int) -> DataFram
     return counts.where(F.col(n) * parts > total).select(*keys)
 
 
-def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], *, max_rows: int,
-           row_bytes: int = 40, how: str = "left", salts: int = DEFAULT_SALTS) -> DataFrame:
+def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], *, max_rows: int | None,
+           row_bytes: int = 40, how: str = "left", salts: int = DEFAULT_SALTS,
+           counts: DataFrame | None = None) -> DataFrame:
     """Join ``fact`` to the unique-key table ``dim``.
 
     ``max_rows`` is the proven bound on the rows of ``dim`` (cells of a grid,
-    say). While that many rows fit the session's broadcast threshold, ``dim`` is
-    broadcast and the fact table is not shuffled. Otherwise both sides shuffle,
-    and keys that hold more than 1/salts of the facts are spread over ``salts``
-    partitions, with their single dimension row repeated.
+    say), None if there is none. While that many rows fit the session's
+    broadcast threshold, ``dim`` is broadcast and the fact table is not
+    shuffled. Otherwise both sides shuffle, and keys that hold more than 1/salts
+    of the facts are spread over ``salts`` partitions, with their single
+    dimension row repeated. ``counts`` (*keys, n) saves counting the facts.
     """
-    if max_rows * row_bytes <= broadcast_limit_bytes(fact):
+    if max_rows is not None and max_rows * row_bytes <= broadcast_limit_bytes(fact):
         return fact.join(F.broadcast(dim), keys, how)
-    counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(hot_keys(counts, keys, "_n", salts).withColumn("_hot", F.lit(True)))
+    if counts is None:
+        counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(counts, keys, "n", salts).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts)).cast("int")
     left = (fact.join(hot, keys, "left")
             .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot"))
@@ -67,8 +72,8 @@ def bucket_of(order: Column, bounds: list[float]) -> Column:
         return F.lit(0)
     edges = F.array(*[F.lit(float(b)) for b in bounds])
     value = order.cast("double")
-    return (F.size(F.filter(edges, lambda b: b < value))
-            + F.size(F.filter(edges, lambda b: b <= value)))
+    return never_null(F.size(F.filter(edges, lambda b: b < value))
+                      + F.size(F.filter(edges, lambda b: b <= value))).cast("int")
 
 
 def with_rank(df: DataFrame, keys: list[str], order: str, tie: str, *,

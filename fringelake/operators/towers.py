@@ -178,7 +178,7 @@ def w_tower_degrid(df: DataFrame, tower: TowerSpec, cells: DataFrame) -> DataFra
     subgrids = work.groupBy("ub", "vb", "part").applyInPandas(
         run, "ub long, vb long, plane int, y long, x long, re double, im double")
     key = ["ub", "vb", "plane", "y", "x"]
-    out = lookup(keyed, subgrids, key, max_rows=1 << 62)
+    out = lookup(keyed, subgrids, key, max_rows=None)
     return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("re", "im")}).drop(*key)
 
 
@@ -227,28 +227,19 @@ def sampled_predict(df: DataFrame, sources: list[tuple[float, float, float]], ke
                     correction, correction_w) -> DataFrame:
     """Predict by convolving grid-like samples around each (u,v,w).
 
-    Sources are divided by the grid corrections, simulated at every sample
-    position of the kernels and summed by kernel value. All samples of a row are
-    summed within the row.
+    Every sample position contributes kernel value times source phasor, sources
+    divided by the grid corrections. The kernel is a product of three axes, so
+    for one source the samples sum to its phasor at (u,v,w) times a factor per
+    axis; the factors are known before any row is read.
     """
-    flux = [f / (correction(du * l) * correction(du * m)
-                 * correction_w(dw * (np.sqrt(1 - l * l - m * m) - 1))) for l, m, f in sources]
-    steps = [(np.arange(len(k)) - len(k) // 2 + o) * d for k, o, d in (
-        (kernel, offset[0], du), (kernel, offset[1], du), (kernel_w, offset[2], dw))]
-    samples = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in (
-        ("du", steps[0][i]), ("dv", steps[1][j]), ("dw", steps[2][k]),
-        ("k", kernel[i] * kernel[j] * kernel_w[k]))])
-        for i in range(len(kernel)) for j in range(len(kernel)) for k in range(len(kernel_w))])
-
-    def part(which: str) -> Column:
-        def add(acc, s):
-            sky = literal(0.0)
-            for (l, m, _), f in zip(sources, flux):
-                sky = sky.plus(coords.point_phasor(
-                    F.col("u") + s["du"], F.col("v") + s["dv"], F.col("w") + s["dw"], l, m)
-                    .scaled(F.lit(float(f))))
-            return acc + s["k"] * getattr(sky, which)
-        return F.aggregate(samples, F.lit(0.0), add)
-
-    return df.withColumns({"_re": part("re"), "_im": part("im")}).withColumns(
-        {"re": F.col("_re"), "im": F.col("_im")}).drop("_re", "_im")
+    total = literal(0.0)
+    for l, m, flux in sources:
+        n = np.sqrt(1 - l * l - m * m) - 1
+        factor = flux / (correction(du * l) * correction(du * m) * correction_w(dw * n))
+        for k, o, step, cosine in ((kernel, offset[0], du, l), (kernel, offset[1], du, m),
+                                   (kernel_w, offset[2], dw, n)):
+            at = (np.arange(len(k)) - len(k) // 2 + o) * step
+            factor = factor * (k * np.exp(-2j * np.pi * at * cosine)).sum()
+        total = total.plus(literal(factor).times(coords.point_phasor(
+            F.col("u"), F.col("v"), F.col("w"), l, m)))
+    return df.withColumns({"re": total.re, "im": total.im})

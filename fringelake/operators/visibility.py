@@ -40,25 +40,20 @@ def simulate_sky_table(df: DataFrame, key: list[str], sources: DataFrame,
                        block: int = 1024) -> DataFrame:
     """Same for a source table (source, l, m, flux) of any size.
 
-    Sources are packed into blocks of at most ``block``; each sample meets each
-    block once and sums it in place, so rows grow with blocks, not sources.
+    Sources are packed into blocks of at most ``block``, so that what is joined
+    and shuffled grows with blocks. The sources of a block are unpacked next to
+    the sum that consumes them.
     """
     packed = (sources.withColumn("block", F.floor(F.col("source") / block))
               .groupBy("block").agg(F.collect_list(F.struct("l", "m", "flux")).alias("sky")))
     top = sources.agg(F.floor(F.max("source") / block)).scalar()
     low = sources.agg(F.floor(F.min("source") / block)).scalar()
-    u, v, w = _uvw()
-
-    def part(which: str) -> Column:
-        return F.aggregate("sky", F.lit(0.0), lambda acc, s: acc + s["flux"] * getattr(
-            coords.point_phasor(u, v, w, s["l"], s["m"]), which))
-
-    blocks = df.drop("re", "im").withColumn("block", F.explode(F.sequence(low, top)))
     rest = [c for c in df.columns if c not in (*key, "re", "im")]
-    partial = blocks.join(packed, "block").select(
-        *key, *rest, part("re").alias("re"), part("im").alias("im"))
-    return partial.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest],
-                                     F.sum("re").alias("re"), F.sum("im").alias("im"))
+    blocks = df.drop("re", "im").withColumn("block", F.explode(F.sequence(low, top)))
+    each = blocks.join(packed, "block").select(*key, *rest, F.inline("sky"))
+    z = coords.point_phasor(*_uvw(), F.col("l"), F.col("m")).scaled(F.col("flux"))
+    return each.select(*key, *rest, z.re.alias("_re"), z.im.alias("_im")).groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in rest], F.sum("_re").alias("re"), F.sum("_im").alias("im"))
 
 
 def rotate(df: DataFrame, ra: float, dec: float, new_ra: float, new_dec: float) -> DataFrame:

@@ -359,9 +359,9 @@ def header_text(spark, sf):
 @query("event_id", "u v w re im", digits=5, sql=f"""WITH {t.TRACKS_METRES_SQL} SELECT event_id, u, v, w,
   re, im FROM trm""")
 def oskar_blocks(spark, sf):
-    """Samples packed into OSKAR visibility blocks of 64 times and decoded again."""
+    """Samples packed into OSKAR visibility blocks of 1024 times and decoded again."""
     df = t.tracks_metres(spark, sf).select(
-        F.floor(F.col("event_id") / 64).alias("block"), F.col("event_id").cast("int").alias("t"),
+        F.floor(F.col("event_id") / 1024).alias("block"), F.col("event_id").cast("int").alias("t"),
         F.lit(0).alias("bl"), "u", "v", "w", "re", "im")
     back = oskar.decode_blocks(oskar.encode_blocks(df))
     return back.select(F.col("t").alias("event_id"), "u", "v", "w", F.col("xx_re").alias("re"),

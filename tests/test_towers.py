@@ -124,7 +124,7 @@ def test_all_presets_are_valid():
 
 def test_recombination_2d(spark):
     s = recombine.RecombineSpec(image=128, subgrid_spacing=32, yB=32, yN=80, yP=80, xA=32, xM=64,
-                                xMxN_yP=56)
+                                xMxN_yP=50)
     rng = np.random.default_rng(1)
     image = rng.normal(size=(128, 128)) + 0j
     subs = recombine.facets_to_subgrids(recombine.facet_rows(cells_of(spark, image), s), s, block=16)

@@ -37,19 +37,25 @@ def _frac_cells(spec: GridSpec, oversampling: int) -> dict[str, Column]:
 
 # -- weights -----------------------------------------------------------------
 
-def cell_counts(df: DataFrame, spec: GridSpec) -> DataFrame:
-    """Samples per weighting cell (wy, wx)."""
-    y, _ = spec.frac_cell(F.col("v"), 1)
-    x, _ = spec.frac_cell(F.col("u"), 1)
-    return df.groupBy(y.alias("wy"), x.alias("wx")).agg(F.count(F.lit(1)).alias("n"))
+def _weight_cell(spec: GridSpec, half_up: bool) -> dict[str, Column]:
+    """Weighting cell (wy, wx): halves to even, or up as in plain gridding."""
+    if half_up:
+        return {"wy": spec.cell(F.col("v")), "wx": spec.cell(F.col("u"))}
+    return {"wy": spec.frac_cell(F.col("v"), 1)[0], "wx": spec.frac_cell(F.col("u"), 1)[0]}
 
 
-def uniform_weight(df: DataFrame, spec: GridSpec, value: str = "weight") -> DataFrame:
+def cell_counts(df: DataFrame, spec: GridSpec, half_up: bool = False) -> DataFrame:
+    """Samples per weighting cell (wy, wx, n)."""
+    cell = _weight_cell(spec, half_up)
+    return df.groupBy(*[c.alias(k) for k, c in cell.items()]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def uniform_weight(df: DataFrame, spec: GridSpec, value: str = "weight",
+                   half_up: bool = False) -> DataFrame:
     """Divide ``value`` by the number of samples in the same cell."""
-    y, _ = spec.frac_cell(F.col("v"), 1)
-    x, _ = spec.frac_cell(F.col("u"), 1)
-    keyed = df.withColumns({"wy": y, "wx": x})
-    out = lookup(keyed, cell_counts(df, spec), ["wy", "wx"], max_rows=(spec.n + 1) ** 2)
+    keyed = df.withColumns(_weight_cell(spec, half_up))
+    counts = cell_counts(df, spec, half_up)
+    out = lookup(keyed, counts, ["wy", "wx"], max_rows=(spec.n + 1) ** 2, counts=counts)
     return out.withColumn(value, F.col(value) / F.col("n")).drop("wy", "wx", "n")
 
 
@@ -60,9 +66,7 @@ def weighted_cells(df: DataFrame, keys: dict[str, Column], spec: GridSpec) -> Da
     Samples sum per (weighting cell, keys) before the shuffle; the counts then
     come from that table, where a weighting cell has one row per key.
     """
-    y, _ = spec.frac_cell(F.col("v"), 1)
-    x, _ = spec.frac_cell(F.col("u"), 1)
-    cell = {"wy": y, "wx": x}
+    cell = _weight_cell(spec, False)
     parts = df.groupBy(*[c.alias(k) for k, c in (cell | keys).items()]).agg(
         *_sums(), F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("wy", "wx"))

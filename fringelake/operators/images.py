@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringelake.functions.cplx import col, turns
@@ -295,17 +295,22 @@ def smooth(image: DataFrame, value: str, sigma: float, n: int, keys: list[str] =
     return out.withColumnRenamed("_v", value)
 
 
-def write_step(df: DataFrame) -> DataFrame:
-    """Cut lineage of an iterative job in the session's checkpoint folder. Only a
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the session's checkpoint folder. Only a
     local session may fall back to a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    return folder
+
+
+def write_step(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative job in reliable storage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

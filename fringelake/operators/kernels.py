@@ -266,7 +266,9 @@ def kernel_table(keys: DataFrame, make: KernelFn, names: list[str]) -> DataFrame
                     | {"yf": np.repeat(np.arange(q), q), "xf": np.tile(np.arange(q), q),
                        "kre": list(flat.real), "kim": list(flat.imag)})
 
-    return keys.select(*names).mapInPandas(
+    # Keys are few and small but costly to expand: spread them by number, not size.
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.select(*names).repartition(parts, *names).mapInPandas(
         generate, f"{schema}, yf int, xf int, kre array<double>, kim array<double>")
 
 
@@ -315,6 +317,11 @@ def w_cache_degrid(df: DataFrame, spec: GridSpec, cells: DataFrame, wstep: float
     return gridding.convdegrid_by_key(df, spec, cells, {"plane": plane}, kernels, q, size)
 
 
+def by_w(df: DataFrame, tie: str) -> DataFrame:
+    """Samples in w order (a range-partitioned sort)."""
+    return df.orderBy("w", tie)
+
+
 def w_slices(df: DataFrame, step: int, tie: str) -> DataFrame:
     """Number equal-count slices in w order: column ``slice``."""
     return (with_rank(df, [], "w", tie, name="_rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fringelake.functions import coords
@@ -133,6 +133,13 @@ def baseline_stats(df: DataFrame) -> DataFrame:
         for n, f in (("min", F.min), ("max", F.max))])
 
 
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Count samples and weight as a by-product of whatever job runs next."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("samples"),
+                      F.sum("weight").alias("weight")), seen
+
+
 def first_sample(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
     """Earliest row of each group as one map-side combined minimum."""
     rest = [c for c in df.columns if c not in (*keys, order, tie)]

@@ -260,6 +260,19 @@ def merge_last_wins(base: DataFrame, update: DataFrame, key: list[str]) -> DataF
             .select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 
+def merge_disjoint(parts: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Assemble pieces of a table that must not overlap: zero rows are padding,
+    two non-zero rows for one key are an error."""
+    filled = F.lit(False)
+    for c in values:
+        filled = filled | (F.col(c) != 0)
+    out = parts.groupBy(*key).agg(F.count_if(filled).alias("_n"),
+                                  *[F.sum(c).alias(c) for c in values])
+    ok = F.when(F.col("_n") <= 1, F.col(values[0])).otherwise(
+        F.raise_error(F.lit("pieces overlap")))
+    return out.withColumn(values[0], ok).drop("_n")
+
+
 def coverage(df: DataFrame) -> DataFrame:
     """(u,v,w) of every sample and of its mirror image, in one pass."""
     both = F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("_s")

@@ -319,13 +319,12 @@ def fit_uvwplane(spark, sf):
 @query("event_id", "re im power angle inverse_re", digits=5, sql=f"""WITH {t.TRACKS_METRES_SQL}
   SELECT event_id, re*re*re - 3*re*im*im AS re, 3*re*re*im - im*im*im AS im,
   sqrt(re*re + im*im) AS power, atan2(im, re) AS angle,
-  re / (re*re + im*im) AS inverse_re FROM trm WHERE re*re + im*im > 1e-4""")
+  re / (re*re + im*im) AS inverse_re FROM trm""")
 def complex_functions(spark, sf):
     """Cube, magnitude, angle and pseudo-inverse of complex samples."""
     z = cplx.col()
-    df = t.tracks_metres(spark, sf).where(z.abs2() > 1e-4)
     cube = z.power(3)
-    return df.select("event_id", cube.re.alias("re"), cube.im.alias("im"), z.abs().alias("power"),
+    return t.tracks_metres(spark, sf).select("event_id", cube.re.alias("re"), cube.im.alias("im"), z.abs().alias("power"),
                      z.arg().alias("angle"), z.pseudo_inverse().re.alias("inverse_re"))
 
 

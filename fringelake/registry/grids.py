@@ -72,6 +72,16 @@ def doweight_uniform(spark, sf):
         F.sum("weight").alias("weight"))
 
 
+@query("antenna1 antenna2 chan", "weight", sql=f"""WITH {t.SAMPLES_SQL} SELECT antenna1, antenna2, chan,
+  sum(wt) AS weight FROM (SELECT *, 1e0 / count(*) OVER (PARTITION BY {t.cell_sql('v')}, {t.cell_sql('u')}) AS wt
+  FROM vis) AS q GROUP BY 1, 2, 3""")
+def doweight_half_up(spark, sf):
+    """Uniform weights counted on the cells of plain gridding."""
+    df = t.samples(spark, sf).withColumn("weight", F.lit(1.0))
+    return gridding.uniform_weight(df, G, half_up=True).groupBy("antenna1", "antenna2", "chan").agg(
+        F.sum("weight").alias("weight"))
+
+
 # -- simple gridding ---------------------------------------------------------------------------
 
 GRID_SQL = f"""gs AS (SELECT {CELL}, sum(re) AS re, sum(im) AS im FROM vis GROUP BY 1, 2)"""
@@ -110,12 +120,11 @@ def hermitian_grid(spark, sf):
 
 
 def _source_grid(spark, sf):
-    """Grid to predict from: that of the first three channels."""
-    return gridding.grid(t.samples(spark, sf).where("chan < 3"), G)
+    """Grid to predict from."""
+    return gridding.grid(t.samples(spark, sf), G)
 
 
-SOURCE_GRID_SQL = f"""gs AS (SELECT {CELL}, sum(re) AS re, sum(im) AS im FROM vis WHERE chan < 3
-  GROUP BY 1, 2)"""
+SOURCE_GRID_SQL = f"""gs AS (SELECT {CELL}, sum(re) AS re, sum(im) AS im FROM vis GROUP BY 1, 2)"""
 
 
 @query("event_id", "re im", digits=5, sql=f"""WITH {t.SAMPLES_SQL}, {SOURCE_GRID_SQL},
@@ -374,9 +383,9 @@ def kernel_recentre(spark, sf):
 @query("event_id", "size reach", digits=5, sql=f"""WITH {t.TRACKS_SQL} SELECT event_id,
   2 * {THETA}e0 * sqrt(power(abs(w) * {THETA}e0 / 2, 2)
     + power(abs(w), 1.5e0) * {THETA}e0 / (2 * pi() * 0.01e0)) AS size,
-  sin(pi() * w / 100e0) / (pi() * w / 100e0) AS reach FROM tr WHERE w <> 0""")
+  CASE WHEN w = 0 THEN 1e0 ELSE sin(pi() * w / 100e0) / (pi() * w / 100e0) END AS reach FROM tr""")
 def kernel_size_rule(spark, sf):
-    return t.tracks(spark, sf).where("w <> 0").select(
+    return t.tracks(spark, sf).select(
         "event_id", coords.recommended_kernel_size(F.col("w"), THETA, 0.01).alias("size"),
         coords.sinc(F.col("w") / 100.0).alias("reach"))
 

@@ -31,13 +31,12 @@ def dft_1d(spark, sf):
         "vec_id", "x", "c.re", "c.im")
 
 
-@query("vec_id x", "re im", sql=f"""{PX}, s AS (SELECT vec_id, y, x, re FROM px WHERE y = 3)
-  SELECT vec_id, k AS x, sum(re * cos(2 * pi() * (x - 4) * (k - 4) / 8e0)) / 8 AS re,
-  sum(re * sin(2 * pi() * (x - 4) * (k - 4) / 8e0)) / 8 AS im FROM s, range(8) r(k) GROUP BY 1, 2""")
+@query("vec_id y x", "re im", sql=f"""{PX}
+  SELECT vec_id, y, k AS x, sum(re * cos(2 * pi() * (x - 4) * (k - 4) / 8e0)) / 8 AS re,
+  sum(re * sin(2 * pi() * (x - 4) * (k - 4) / 8e0)) / 8 AS im FROM px, range(8) r(k) GROUP BY 1, 2, 3""")
 def dft_1d_inverse(spark, sf):
-    """Inverse transform of one image row in column expressions."""
-    rows = t.small_images(spark, sf).where("y = 3")
-    return images.dft1(rows, ["vec_id"], 8, inverse=True)
+    """Inverse transform of every image row in column expressions."""
+    return images.dft1(t.small_images(spark, sf), ["vec_id", "y"], 8, inverse=True)
 
 
 @query("vec_id y x", "re im", sql=f"""{PX}, {t.dft2_sql("f", "px", 8, False, "vec_id")} SELECT * FROM f""")
@@ -468,6 +467,38 @@ def subgrid_add(spark, sf):
     return recombine.add_facet(pieces, SPEC)
 
 
+CORRECTION = 1 + 0.5 * np.abs(kernels.centred(64))
+
+
+@query("y x", "re", digits=4, sql=f"""WITH {t.SKY_SQL}, p AS (SELECT
+  CAST(floor(ra * 100) AS BIGINT) + 32 AS x, CAST(floor((dec - {t.DEC}e0) * 100) AS BIGINT) + 32 AS y, flux FROM sky)
+  SELECT y, x, sum(flux / ((1 + abs(y - 32) / 128e0) * (1 + abs(x - 32) / 128e0))) AS re FROM p GROUP BY 1, 2""")
+def source_image(spark, sf):
+    """Image of the source catalogue over the grid correction."""
+    src = t.sky(spark, sf).select(F.floor(F.col("ra") * 100).alias("x"),
+                                  F.floor((F.col("dec") - t.DEC) * 100).alias("y"), "flux")
+    return recombine.source_image(src, 64, CORRECTION)
+
+
+@query("event_id", "re im", digits=3, sql=f"""WITH {t.data_image_sql(R)}, {t.dft2_sql("g", "im", R, True)},
+  k AS (SELECT event_id, event_id * 7 % 200 + 20 AS y, event_id * 11 % 200 + 20 AS x FROM events)
+  SELECT event_id, sum(g.re * 1000 * w) AS re, sum(g.im * 1000 * w) AS im
+  FROM k, (VALUES (-1, 0.25e0), (0, 1e0), (1, 0.5e0)) AS a(dy, wy), (VALUES (-1, 0.25e0), (0, 1e0), (1, 0.5e0)) AS b(dx, wx),
+  LATERAL (SELECT wy * wx AS w) AS c JOIN g ON g.y = k.y + dy AND g.x = k.x + dx GROUP BY 1""")
+def degrid_from_subgrids(spark, sf):
+    """Predict samples from the subgrids that recombination delivers."""
+    spec = GridSpec(theta=0.4, lam=640.0)
+    subs = recombine.facets_to_subgrids(
+        recombine.facet_rows(t.data_image(spark, sf, R), SPEC), SPEC)
+    plane = recombine.tiles_to_plane(subs, ("i0", "i1"), R, SPEC.xA, SPEC.xA)
+    grid = plane.withColumns({c: F.col(c) * 1000 for c in ("re", "im")})
+    k = F.col("event_id")
+    at = t.table(spark, sf, "events").select(
+        "event_id", ((k * 11 % 200 + 20 - 128) / 0.4).alias("u"),
+        ((k * 7 % 200 + 20 - 128) / 0.4).alias("v"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    return gridding.convdegrid(at, spec, grid, np.array([[0.25, 1.0, 0.5]]))
+
+
 @query("i", "value", sql="""WITH c AS (SELECT l_linenumber - 1 AS i, avg(l_quantity) AS value FROM lineitem
   GROUP BY 1), p AS (SELECT i, i * 7e0 / 20 AS pos FROM range(20) r(i)),
   q AS (SELECT i, pos, CAST(floor(pos) AS BIGINT) AS k FROM p)

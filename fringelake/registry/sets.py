@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
-from fringelake.operators import averaging, quality, visibility
+from fringelake.operators import averaging, images, quality, visibility
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
 from fringelake.sources import oskar, store
+from fringelake.streaming import incremental
 
 C = t.SPEED_OF_LIGHT
 
@@ -149,6 +151,28 @@ def merge_last_wins(spark, sf):
     return visibility.merge_last_wins(base, update, ["event_id"])
 
 
+@query("event_id", "re im", sql=f"""WITH {t.TRACKS_METRES_SQL} SELECT event_id, re, im FROM trm""")
+def merge_disjoint(spark, sf):
+    """Pieces written by even and odd antennas, zero elsewhere, put together."""
+    df = t.tracks_metres(spark, sf).select("event_id", "antenna1", "re", "im")
+
+    def piece(parity):
+        mine = F.col("antenna1") % 2 == parity
+        return df.select("event_id", *[F.when(mine, F.col(c)).otherwise(0.0).alias(c)
+                                       for c in ("re", "im")])
+
+    return visibility.merge_disjoint(piece(0).unionByName(piece(1)), ["event_id"], ["re", "im"])
+
+
+@query("tchunk fchunk n", "freq", sql=f"""WITH {t.TRACKS_METRES_SQL} SELECT event_id // 64 AS tchunk,
+  chan // 2 AS fchunk, count(*) AS n, max(freq) AS freq FROM trm GROUP BY 1, 2""")
+def read_chunks(spark, sf):
+    """Storage chunks by time and frequency: their sizes."""
+    tagged = store.chunks(t.tracks_metres(spark, sf), 64, 2, "event_id")
+    return tagged.groupBy("tchunk", "fchunk").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.max("freq").alias("freq"))
+
+
 @query("event_id", "weight", sql=f"""WITH {t.TRACKS_METRES_SQL} SELECT event_id,
   CASE WHEN weight > 3 THEN 1e0 ELSE weight END AS weight FROM trm""")
 def default_weight(spark, sf):
@@ -366,3 +390,28 @@ def oskar_blocks(spark, sf):
     back = oskar.decode_blocks(oskar.encode_blocks(df))
     return back.select(F.col("t").alias("event_id"), "u", "v", "w", F.col("xx_re").alias("re"),
                        F.col("xx_im").alias("im"))
+
+
+@query("hour antenna n", "re im weight", digits=5, sql="""WITH e AS (SELECT ts, user_id % 25 AS antenna,
+  value / 97e0 AS re, 1e0 + event_id % 3 AS weight FROM events),
+  h AS (SELECT date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', date_trunc('hour', ts)) AS hour, * FROM e)
+  SELECT hour, antenna, count(*) AS n, sum(re * weight) / sum(weight) AS re, 0 AS im,
+  sqrt(sum(weight * weight)) AS weight FROM h
+  WHERE (hour + 1) * 3600 <= (SELECT date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', max(ts)) / 1e6
+    - 1800 FROM e) GROUP BY hour, antenna""")
+def average_stream(spark, sf):
+    """Hourly averages per antenna of the events as a stream, up to the
+    watermark half an hour behind the last event."""
+    folder = f"{images.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    samples = incremental.read_samples(spark, f"{sf}/events*.parquet", schema).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.pmod("user_id", F.lit(25)).alias("antenna"),
+        (F.col("value") / 97.0).alias("re"), F.lit(0.0).alias("im"),
+        (F.lit(1.0) + F.col("event_id") % 3).alias("weight"))
+    means = incremental.average_stream(samples, ["antenna"], "ts", "1 hour", "30 minutes")
+    (means.writeStream.format("parquet").option("path", f"{folder}/out")
+     .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+     .start().awaitTermination())
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    hour = (F.unix_micros("start") - F.unix_micros(start)) / 3600000000
+    return spark.read.parquet(f"{folder}/out").withColumn("hour", hour)

@@ -150,6 +150,23 @@ def write_kernels(table: DataFrame, path: str, partition: list[str]) -> None:
     table.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
+def read_kernels(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """Kernel table with typed key columns, such as ``plane int``."""
+    return spark.read.schema(
+        f"{keys}, yf int, xf int, kre array<double>, kim array<double>").parquet(path)
+
+
+def read_kernel_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Optimised gridding corrections kept as JSON lines."""
+    return spark.read.schema("r int, x0 double, n int, m int, h array<double>").json(path)
+
+
+def chunks(df: DataFrame, times: int, freqs: int, time_index: str = "it") -> DataFrame:
+    """Tag samples with their storage chunk (tchunk, fchunk)."""
+    return df.withColumns({"tchunk": F.floor(F.col(time_index) / times),
+                           "fchunk": F.floor(F.col("chan") / freqs)})
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
     """Grid, image or density cells, range-partitioned so that readers of a row
     band skip the rest."""

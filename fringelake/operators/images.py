@@ -131,13 +131,11 @@ def dirty_image(df: DataFrame, spec: GridSpec) -> DataFrame:
 
     Weights, image and psf come out of one aggregation of the samples. Both
     grids are hermitian, so their images are real and travel through one complex
-    transform as image + i psf. All weights are positive, so the psf peaks in
-    the centre, where it is the mean of its grid.
+    transform as image + i psf. The peak is read from that same plan, so Spark
+    reuses its exchanges and the samples are scanned once.
     """
     n = spec.n
     sums = gridding.weighted_cells(mirror(df), gridding._cells(spec), spec)
-    peak = sums.agg(F.sum(F.col("wt") * F.when(_has_twin(n), 2.0).otherwise(1.0))
-                    / float(n * n)).scalar()
     plain = F.struct("y", "x", "re", (F.col("im") + F.col("wt")).alias("im"))
     edge = n if n % 2 == 0 else n - 1
     twin = F.struct((edge - F.col("y")).alias("y"), (edge - F.col("x")).alias("x"), "re",
@@ -145,7 +143,7 @@ def dirty_image(df: DataFrame, spec: GridSpec) -> DataFrame:
     both = F.explode(F.when(_has_twin(n), F.array(plain, twin)).otherwise(F.array(plain)))
     cells = sums.select(both.alias("c")).select("c.*").groupBy("y", "x").agg(
         F.sum("re").alias("re"), F.sum("im").alias("im"))
-    return _normalised(fft2(cells, n, inverse=True), peak)
+    return _normalised(fft2(cells, n, inverse=True))
 
 
 def _has_twin(n: int) -> Column:
@@ -166,11 +164,11 @@ def image_with(df: DataFrame, spec: GridSpec, grid_fn: GridFn) -> DataFrame:
 def _image_pair(image: DataFrame, psf: DataFrame, n: int) -> DataFrame:
     """Transform image + i psf together and normalise by the psf peak."""
     turned = psf.select("y", "x", (-F.col("im")).alias("re"), F.col("re").alias("im"))
-    both = fft2(gridding.add_grids(image, turned), n, inverse=True)
-    return _normalised(both, both.agg(F.max("im")).scalar())
+    return _normalised(fft2(gridding.add_grids(image, turned), n, inverse=True))
 
 
-def _normalised(both: DataFrame, peak: Column) -> DataFrame:
+def _normalised(both: DataFrame) -> DataFrame:
+    peak = both.agg(F.max("im")).scalar()
     safe = F.when(peak > 0, peak).otherwise(F.raise_error(F.lit("the psf has no positive peak")))
     return both.select("y", "x", (F.col("re") / safe).alias("img"),
                        (F.col("im") / safe).alias("psf"), safe.alias("pmax"))

@@ -103,8 +103,18 @@ def with_rank(df: DataFrame, keys: list[str], order: str, tie: str, *,
             .drop("_bucket", "_part", "_start", "_local"))
 
 
+def exact_median(df: DataFrame, value: str, n: int, bounds: tuple[float, float]) -> float:
+    """Median of ``n`` values within ``bounds``; the mean of the middle two."""
+    v = F.col(value)
+    low = exact_quantile_rank(df, value, (n - 1) // 2, bounds=bounds)
+    if n % 2:
+        return low
+    upto, above = df.agg(F.count_if(v <= low), F.min(F.when(v > low, v))).first()
+    return (low + (low if upto > n // 2 else above)) / 2
+
+
 def exact_quantile_rank(df: DataFrame, value: str, rank: int, *, bins: int = 1024,
-                        small: int = 4096) -> float:
+                        small: int = 4096, bounds: tuple[float, float] | None = None) -> float:
     """The value at 0-based position ``rank`` of the sorted column.
 
     Narrows an interval by histogram counts, a scan with a bounded result per
@@ -112,7 +122,7 @@ def exact_quantile_rank(df: DataFrame, value: str, rank: int, *, bins: int = 102
     counted directly.
     """
     v = F.col(value)
-    lo, hi = df.agg(F.min(v), F.max(v)).first()
+    lo, hi = bounds or df.agg(F.min(v), F.max(v)).first()
     below = 0
     while lo < hi:
         inside = df.where((v >= lo) & (v <= hi))

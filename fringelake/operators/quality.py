@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fringelake.functions import coords
 from fringelake.functions.cplx import col
 from fringelake.model import SPEED_OF_LIGHT
-from fringelake.operators.lookup import exact_quantile_rank
+from fringelake.operators.lookup import exact_median
 
 
 def sum_direction(df: DataFrame, l: float, m: float) -> DataFrame:
@@ -32,13 +32,11 @@ def assess(df: DataFrame, context: str | None = None) -> DataFrame:
     """
     amp = df.select(col().abs().alias("amp"))
     basic = amp.agg(F.max("amp").alias("maxabs"), F.min("amp").alias("minabs"),
-                    F.stddev_pop("amp").alias("rms"), F.count(F.lit(1)).alias("n"))
-    n = amp.count()
-    ranks = sorted({(n - 1) // 2, n // 2}) if n else []
-    mids = [exact_quantile_rank(amp, "amp", r) for r in ranks]
-    median = sum(mids) / len(mids) if mids else None
-    return basic.select("maxabs", "minabs", "rms", F.lit(median).cast("double").alias("medianabs"),
-                        "n", F.lit(context).cast("string").alias("context"))
+                    F.stddev_pop("amp").alias("rms"), F.count("amp").alias("n")).first()
+    median = exact_median(amp, "amp", basic.n, (basic.minabs, basic.maxabs)) if basic.n else None
+    return df.sparkSession.createDataFrame(
+        [(basic.maxabs, basic.minabs, basic.rms, median, basic.n, context)],
+        "maxabs double, minabs double, rms double, medianabs double, n long, context string")
 
 
 def quality_map(assessment: DataFrame) -> DataFrame:

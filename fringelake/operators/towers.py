@@ -124,14 +124,19 @@ def w_tower_grid(df: DataFrame, tower: TowerSpec) -> DataFrame:
 
 
 def aw_tower_grid(df: DataFrame, tower: TowerSpec, beam: Callable[[int], np.ndarray],
-                  baselines_per_task: int = 64) -> DataFrame:
+                  shares: int = 64) -> DataFrame:
     """w-towers with antenna patterns: the subgrid image of each baseline is
-    multiplied by beam(antenna2) / beam(antenna1) before it joins the tower."""
+    multiplied by beam(antenna2) / beam(antenna1) before it joins the tower.
+
+    The baselines of a tile are dealt into ``shares`` tasks, whose results add
+    up; a task holds size^2 * planes_per_task cells per baseline at most, so
+    raise ``shares`` with the number of baselines.
+    """
     keys = tower.keys() | {"antenna1": F.col("antenna1"), "antenna2": F.col("antenna2")}
     cells = df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
         F.sum("re").alias("re"), F.sum("im").alias("im"))
     part = F.floor(F.col("plane") / tower.planes_per_task).alias("part")
-    share = F.pmod(F.hash("antenna1", "antenna2"), F.lit(baselines_per_task)).alias("share")
+    share = F.pmod(F.hash("antenna1", "antenna2"), F.lit(shares)).alias("share")
     return tower.place(
         cells.select("*", part, share).groupBy("ub", "vb", "part", "share")
         .applyInPandas(_tower_task(tower, lambda a1, a2: beam(a2) / beam(a1)), TILE_CELLS))

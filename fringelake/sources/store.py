@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +64,8 @@ def append_frequencies(df: DataFrame, path: str) -> None:
     try:
         present = spark.read.schema(VISIBILITY_SCHEMA).parquet(path)
         df = visibility.unseen_frequencies(df, present)
-    except Exception as e:  # first call: nothing is stored
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # else nothing is stored yet
             raise
     df.write.mode("append").parquet(path)
 

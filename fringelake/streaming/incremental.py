@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -29,18 +30,26 @@ def average_stream(samples: DataFrame, keys: list[str], ts: str, width: str,
 
 def append_new_frequencies(samples: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Store each arriving batch without the (baseline, frequency) pairs that are
-    stored already. A batch that is replayed after a failure is first removed
-    from what counts as stored, so it is written in full, once, in its folder."""
+    stored already.
+
+    Which pairs are stored is kept in a table of its own, ``<path>_keys``, so a
+    batch does not read the samples back. Both tables have one folder per batch;
+    a batch that is replayed after a failure does not count itself as stored and
+    overwrites its folders, so it is written in full and once.
+    """
     spark = samples.sparkSession
+    key = ["antenna1", "antenna2", "freq"]
 
     def store(batch: DataFrame, number: int) -> None:
         try:
-            stored = spark.read.schema(batch.schema.add("batch", "long")).parquet(path)
-            seen = stored.where(F.col("batch") != number)
-            batch = unseen_frequencies(batch, seen)
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e):
+            stored = spark.read.schema(batch.select(*key).schema.add("batch", "long")).parquet(
+                f"{path}_keys")
+            batch = unseen_frequencies(batch, stored.where(F.col("batch") != number))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # else nothing is stored yet
                 raise
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (spark.read.schema(batch.schema).parquet(f"{path}/batch={number}").select(*key).distinct()
+         .write.mode("overwrite").parquet(f"{path}_keys/batch={number}"))
 
     return samples.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

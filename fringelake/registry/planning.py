@@ -300,7 +300,20 @@ def density_simulated(spark, sf):
     return density.track_density(steps, SPEC)
 
 
-@query("n", "ra dec", digits=5, sql=None)
+def _normal_sql(rounds: int) -> str:
+    """CTEs n0 .. n_rounds: phase centre after each plane fit."""
+    out = [f"n0 AS (SELECT 0.1e0 AS ra, {t.DEC}e0 AS dec)"]
+    for i in range(rounds):
+        out.append(f"""s{i} AS (SELECT max(ra) AS ra, max(dec) AS dec, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv,
+  sum(u*w) AS uw, sum(v*w) AS vw FROM (SELECT ra, dec, bx AS u, bz * cos(dec) + "by" * sin(dec) AS v,
+  bz * sin(dec) - "by" * cos(dec) AS w FROM trm, n{i}) AS r),
+n{i + 1} AS (SELECT ra - (vv*uw - uv*vw) / (uu*vv - uv*uv) AS ra, dec - (uu*vw - uv*uw) / (uu*vv - uv*uv) AS dec
+  FROM s{i})""")
+    return ",\n".join(out)
+
+
+@query("n", "ra dec", digits=5, sql=f"""WITH {t.TRACKS_METRES_SQL}, {_normal_sql(2)}
+  SELECT (SELECT count(*) FROM trm) AS n, ra, dec FROM n2""")
 def zenith_phase_centre(spark, sf):
     """Phase centre normal to the plane of all observed baselines."""
     df = t.tracks_metres(spark, sf)

@@ -251,11 +251,26 @@ def phase_centre_step(spark, sf):
     return averaging.optimal_phase_centre_step(t.tracks_metres(spark, sf), ["antenna1"])
 
 
-@query("", "ra dec", digits=5)
+def _search_sql(rounds: int) -> str:
+    """CTEs c0 .. c_rounds: phase centre after each round."""
+    turn = "(x * sin(-ra) + y * cos(-ra))"
+    out = [f"""p AS (SELECT u * cos(-0.1e0) + s * sin(-0.1e0) AS x, s * cos(-0.1e0) - u * sin(-0.1e0) AS y, z
+  FROM (SELECT u, v * sin({t.DEC}e0) - w * cos({t.DEC}e0) AS s, v * cos({t.DEC}e0) + w * sin({t.DEC}e0) AS z
+  FROM trm) AS q), c0 AS (SELECT 0.1e0 AS ra, {t.DEC}e0 AS dec)"""]
+    for i in range(rounds):
+        out.append(f"""m{i} AS (SELECT max(ra) AS ra, max(dec) AS dec, avg(-2e0 * w * u / (u*u + v*v + w*w)) AS l,
+  avg(-2e0 * w * v / (u*u + v*v + w*w)) AS m FROM (SELECT ra, dec, x * cos(-ra) - y * sin(-ra) AS u,
+  z * cos(dec) + {turn} * sin(dec) AS v, z * sin(dec) - {turn} * cos(dec) AS w FROM p, c{i}) AS r),
+c{i + 1} AS (SELECT ra + atan2(l, n * cos(dec) - m * sin(dec)) AS ra, asin(n * sin(dec) + m * cos(dec)) AS dec
+  FROM (SELECT *, sqrt(1 - l * l - m * m) AS n FROM m{i}) AS k)""")
+    return ",\n".join(out)
+
+
+@query("", "ra dec", digits=5, sql=f"WITH {t.TRACKS_METRES_SQL}, {_search_sql(5)} SELECT ra, dec FROM c5")
 def phase_centre_search(spark, sf):
     """Phase centre with the least w-term: iterated aggregation."""
     ra, dec = averaging.optimise_phase_centre(t.tracks_metres(spark, sf), 0.1, t.DEC,
-                                              tolerance=1e-6, rounds=5)
+                                              tolerance=0.0, rounds=5)
     return t.table(spark, sf, "events").agg(F.lit(ra).alias("ra"), F.lit(dec).alias("dec"))
 
 

@@ -25,11 +25,11 @@ def _sums() -> list[Column]:
     return [F.sum("re").alias("re"), F.sum("im").alias("im")]
 
 
-def _cells(spec: GridSpec) -> dict[str, Column]:
+def cell_keys(spec: GridSpec) -> dict[str, Column]:
     return {"y": spec.cell(F.col("v")), "x": spec.cell(F.col("u"))}
 
 
-def _frac_cells(spec: GridSpec, oversampling: int) -> dict[str, Column]:
+def frac_cell_keys(spec: GridSpec, oversampling: int) -> dict[str, Column]:
     y, yf = spec.frac_cell(F.col("v"), oversampling)
     x, xf = spec.frac_cell(F.col("u"), oversampling)
     return {"y": y, "yf": yf, "x": x, "xf": xf}
@@ -80,7 +80,7 @@ def weighted_cells(df: DataFrame, keys: dict[str, Column], spec: GridSpec) -> Da
 
 def grid(df: DataFrame, spec: GridSpec, base: DataFrame | None = None) -> DataFrame:
     """Sum visibilities per cell; with ``base``, add to an existing grid."""
-    cells = df.groupBy(*[c.alias(k) for k, c in _cells(spec).items()]).agg(*_sums())
+    cells = df.groupBy(*[c.alias(k) for k, c in cell_keys(spec).items()]).agg(*_sums())
     return cells if base is None else add_grids(cells, base)
 
 
@@ -93,7 +93,7 @@ def add_grids(*grids: DataFrame) -> DataFrame:
 
 def degrid(df: DataFrame, spec: GridSpec, cells: DataFrame) -> DataFrame:
     """Read the visibility of each sample from its cell; empty cells are zero."""
-    keyed = df.drop("re", "im").withColumns(_cells(spec))
+    keyed = df.drop("re", "im").withColumns(cell_keys(spec))
     out = lookup(keyed, cells.select("y", "x", "re", "im"), ["y", "x"], max_rows=spec.n ** 2)
     return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("re", "im")}).drop("y", "x")
 
@@ -130,7 +130,7 @@ def kernel_rows(df: DataFrame, kernel: np.ndarray, name: str = "kernel") -> Data
         rows, "yf int, xf int, kre array<double>, kim array<double>")
 
 
-def _inside(n: int) -> Column:
+def inside_grid(n: int) -> Column:
     return F.col("y").between(0, n - 1) & F.col("x").between(0, n - 1)
 
 
@@ -142,7 +142,7 @@ def convgrid_separable(df: DataFrame, spec: GridSpec, kernel: np.ndarray) -> Dat
     """
     q, size = kernel.shape
     table = _literal(kernel)
-    part = df.groupBy(*[c.alias(k) for k, c in _frac_cells(spec, q).items()]).agg(*_sums())
+    part = df.groupBy(*[c.alias(k) for k, c in frac_cell_keys(spec, q).items()]).agg(*_sums())
     for axis, rest in (("x", ["y", "yf"]), ("y", ["x"])):
         step = part.select("*", F.posexplode(table[F.col(axis + "f")]).alias("_d", "_k"))
         part = (step.withColumns({axis: F.col(axis) + F.col("_d") - F.lit(size // 2),
@@ -163,13 +163,13 @@ def spread(parts: DataFrame, shape: tuple[int, int], n: int) -> DataFrame:
             .select((F.col("y") + F.floor(F.col("_d") / w) - h // 2).alias("y"),
                     (F.col("x") + F.col("_d") % w - w // 2).alias("x"),
                     value.re.alias("re"), value.im.alias("im"))
-            .where(_inside(n)).groupBy("y", "x").agg(*_sums()))
+            .where(inside_grid(n)).groupBy("y", "x").agg(*_sums()))
 
 
 def convgrid(df: DataFrame, spec: GridSpec, kernel: np.ndarray) -> DataFrame:
     """Convolutional gridding with a full kernel [yf, xf, dy, dx]."""
     q, shape = kernel.shape[0], kernel.shape[2:]
-    parts = df.groupBy(*[c.alias(k) for k, c in _frac_cells(spec, q).items()]).agg(*_sums())
+    parts = df.groupBy(*[c.alias(k) for k, c in frac_cell_keys(spec, q).items()]).agg(*_sums())
     return spread(parts.join(kernel_rows(df, kernel), ["yf", "xf"]), shape, spec.n)
 
 
@@ -181,7 +181,7 @@ def convgrid_by_key(df: DataFrame, spec: GridSpec, keys: dict[str, Column], kern
     that use the conjugate of their kernel; it becomes part of the group key.
     """
     flip = conjugate if conjugate is not None else F.lit(False)
-    by = _frac_cells(spec, oversampling) | keys | {"_conj": flip}
+    by = frac_cell_keys(spec, oversampling) | keys | {"_conj": flip}
     parts = df.groupBy(*[c.alias(k) for k, c in by.items()]).agg(*_sums())
     joined = parts.join(kernels, [*keys, "yf", "xf"])
     if conjugate is not None:
@@ -218,7 +218,7 @@ def convdegrid_by_key(df: DataFrame, spec: GridSpec, cells: DataFrame, keys: dic
     then looked up by the samples.
     """
     flip = conjugate if conjugate is not None else F.lit(False)
-    by = _frac_cells(spec, oversampling) | keys | {"_conj": flip}
+    by = frac_cell_keys(spec, oversampling) | keys | {"_conj": flip}
     keyed = df.drop("re", "im").withColumns(by)
     counts = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     parts = counts.drop("n").join(kernels, [*keys, "yf", "xf"])

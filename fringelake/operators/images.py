@@ -135,7 +135,7 @@ def dirty_image(df: DataFrame, spec: GridSpec) -> DataFrame:
     reuses its exchanges and the samples are scanned once.
     """
     n = spec.n
-    sums = gridding.weighted_cells(mirror(df), gridding._cells(spec), spec)
+    sums = gridding.weighted_cells(mirror(df), gridding.cell_keys(spec), spec)
     plain = F.struct("y", "x", "re", (F.col("im") + F.col("wt")).alias("im"))
     edge = n if n % 2 == 0 else n - 1
     twin = F.struct((edge - F.col("y")).alias("y"), (edge - F.col("x")).alias("x"), "re",

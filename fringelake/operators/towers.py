@@ -70,7 +70,7 @@ class TowerSpec:
         where = {axis: (F.col(axis) - self.size // 2 + self.spec.n // 2
                         + F.floor((2 * F.col(tile) + 1) * self.step / 2)).cast("long")
                  for tile, axis in (("ub", "x"), ("vb", "y"))}
-        return (tiles.withColumns(where).where(gridding._inside(self.spec.n))
+        return (tiles.withColumns(where).where(gridding.inside_grid(self.spec.n))
                 .groupBy("y", "x").agg(F.sum("re").alias("re"), F.sum("im").alias("im")))
 
 

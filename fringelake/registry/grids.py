@@ -23,7 +23,7 @@ INSIDE = f"y BETWEEN 0 AND {N - 1} AND x BETWEEN 0 AND {N - 1}"
 @query("y yf x xf n", sql=f"""WITH {t.SAMPLES_SQL} SELECT y, yf, x, xf, count(*) AS n
   FROM ({t.frac_cells_sql(4)}) AS q GROUP BY 1, 2, 3, 4""")
 def frac_coord(spark, sf):
-    keys = gridding._frac_cells(G, 4)
+    keys = gridding.frac_cell_keys(G, 4)
     return t.samples(spark, sf).groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -106,7 +106,7 @@ def grid_add_to(spark, sf):
 def grid_psf(spark, sf):
     """Uniformly weighted grids of visibilities and of the weights."""
     df = visibility.mirror(t.samples(spark, sf))
-    return gridding.weighted_cells(df, gridding._cells(G), G)
+    return gridding.weighted_cells(df, gridding.cell_keys(G), G)
 
 
 HERMITIAN_SQL = f"""hm AS (SELECT y, x, sum(re) AS re, sum(im) AS im FROM (SELECT y, x, re, im FROM gs

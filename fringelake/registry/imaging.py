@@ -12,7 +12,7 @@ from fringelake.model import GridSpec
 from fringelake.operators import clean, gridding, images, kernels, recombine, towers
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
-from fringelake.registry.geometry import SOURCES, phase_sql, rotated_sql
+from fringelake.registry.geometry import SOURCES, rotated_sql
 
 G, N = t.GRID, t.GRID.n
 PX = f"WITH {t.SMALL_IMAGES_SQL}"

@@ -140,8 +140,9 @@ def bin_biased_pick(spark, sf):
 @query("seed nvis bins", sql=f"""{D} SELECT seed, (SELECT sum(n) FROM dn) AS nvis, 1 AS bins
   FROM (VALUES (1), (2)) AS s(seed)""")
 def bin_annealing(spark, sf):
-    """Annealed plans from two seeds keep every sample and never cost more than
-    the plan they start from (``bins`` is 1 if so)."""
+    """Annealed plans from two seeds keep every sample and end no higher than the
+    starting temperature (0.5) above the plan they start from (``bins`` is 1 if
+    so)."""
     cells = density.density(t.samples(spark, sf), SPEC)
     plans = density.annealed_bins(cells, SPEC, [1, 2], steps=60)
     start = density.annealed_bins(cells, SPEC, [1], steps=0).agg(F.max("energy")).scalar()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringelake.llm import binary, tokens, urls
+from fringelake.llm import binary, decontaminate, pii, simhash, tokens, toxicity, urls
 from fringelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,21 @@ def op1_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_simhash_groups(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op8_token_id_files(spark, sf_dir):
     return binary.token_id_files(table(spark, sf_dir, "documents"))
@@ -34,3 +49,12 @@ def op9_url_rules(spark, sf_dir):
 
 
 ORACLES["op9_url_rules"] = urls.oracle()
+
+
+@_query
+def op10_benchmark_containment(spark, sf_dir):
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"),
+                                         table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op10_benchmark_containment"] = decontaminate.oracle()

@@ -188,7 +188,7 @@ def personal_data(docs: DataFrame, *, precision: float = 0.98) -> DataFrame:
     rows = rows.withColumn("other", F.array_distinct(F.filter("other", lambda x: ~F.exists(
         "other", lambda y: _overlap(x, y) & better(y, x)))))
     return rows.select(
-        "doc_id", *[F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long")
+        "doc_id", *[F.expr(f"CAST(size(filter(base, x -> x.kind = {k})) AS long)")
                     .alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(_text(F.col("base")), 256).alias("base_sha256"),
         _text(F.concat("base", added)).alias("spans"))

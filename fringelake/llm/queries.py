@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringelake.llm import binary, decontaminate, pii, simhash, tokens, toxicity, urls
+from fringelake.llm import binary, decontaminate, lm, pii, simhash, tokens, topk, toxicity, urls
 from fringelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,18 @@ def op1_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op3_cross_entropy_difference(spark, sf_dir):
+    """How close documents are to conversations, against all documents."""
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "conversations").select("text"))
+
+
 @_query
 def op5_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
@@ -58,3 +70,4 @@ def op10_benchmark_containment(spark, sf_dir):
 
 
 ORACLES["op10_benchmark_containment"] = decontaminate.oracle()
+ORACLES["op2_exact_top_k"] = topk.oracle()

@@ -11,8 +11,8 @@ never texts. A shard is one binary value of about `shard_bytes`:
 so that one document is found by its offset and read without its neighbours. Starts
 count within the partition; the manifest, one row per partition, has what comes before.
 
-The dictionary is trained on a sample over the whole table: the `sample_docs` documents
-of smallest id hash, at most `sample_bytes` of each. It decides the size of frames only;
+The dictionary is trained on a sample over the whole table: about `sample_docs` documents
+(twice as many at most), those of smallest id hash, and `sample_bytes` of each. It decides the size of frames only;
 every document is encoded and stored whole. Where training is impossible (few
 documents) the sample itself is the dictionary.
 
@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringelake.llm.common import forget, prepare, save
+from fringelake.llm.common import forget, hash_sample, prepare, save
 from fringelake.llm.tokens import (FOREIGN, LETTER, NUMBER, SPACE, default_path, load,
                                    lookup_all)
 
@@ -172,9 +172,8 @@ def write_corpus(docs: DataFrame, *, path: str | None = None, end_id: int | None
                 [pa.array([_narrow(x, width)[:sample_bytes] for x in got], pa.binary())], ["ids"])
 
     # The sampled rows are bounded in number and in bytes of text before they are encoded.
-    sample = (rows.select(F.xxhash64("doc_id").alias("h"),
-                          F.left("text", F.lit(sample_bytes)).alias("text"))
-              .orderBy("h", "text").limit(sample_docs).select("text"))
+    sample = hash_sample(rows.select("doc_id", F.left("text", F.lit(sample_bytes)).alias("text")),
+                         sample_docs, "doc_id").select("text")
     raw = train([r[0] for r in sample.mapInArrow(serialize, "ids binary").collect()],
                 dictionary_bytes)
     digest = hashlib.sha256(raw).digest()

@@ -118,6 +118,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About `rows` rows, those of smallest key hash, and never more than twice as many; all of
+    them if there are no more."""
+    total = df.count()
+    if total <= rows:
+        return df
+    span = 1 << 40
+    chance = F.pmod(F.xxhash64(*keys), F.lit(span))
+    return df.filter(chance < F.lit(int(span * (rows / total)))).limit(2 * rows)
+
+
 def fold(doc_id):
     """crc32 of the id's decimal text modulo 3; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3

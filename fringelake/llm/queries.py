@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringelake.llm import binary, decontaminate, lm, pii, simhash, tokens, topk, toxicity, urls
+from fringelake.llm import binary, decontaminate, lm, mixing, pii, simhash, tokens, topk, toxicity, urls
 from fringelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op3_cross_entropy_difference(spark, sf_dir):
                                        table(spark, sf_dir, "conversations").select("text"))
 
 
+@_query
+def op4_mixing_rates(spark, sf_dir):
+    return mixing.document_rates(table(spark, sf_dir, "documents"), mixing.quality_domains(
+        table(spark, sf_dir, "labels")), mixing.QUALITY)
+
+
 @_query
 def op5_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))

@@ -53,18 +53,23 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """Per row: doc_id and fp, the fingerprint as a signed long."""
+    """Per row: doc_id, fp, the fingerprint as a signed long, and text_hash."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, size) for t in texts_of(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))],
-                                             ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, size) for t in texts_of(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fp.view(np.int64))],
+                ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
 
 
 def bit_agreement(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -217,18 +222,47 @@ def similar_pairs(fps: DataFrame, limit: int = 2) -> DataFrame:
     return out
 
 
+def _members(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Per distinct fingerprint the first row (id, then text hash, null ids last), and (node, comp)
+    for those that have links."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("lost"), "doc_id", "text_hash"))
+    fps, _ = save(rows.groupBy("fp").agg(first.alias("first")), "distinct")
+    return fps, components(similar_pairs(fps, limit))
+
+
+def _firsts(fps: DataFrame, labels: DataFrame) -> DataFrame:
+    """fp and the first row of its component."""
+    linked = fps.join(labels, fps.fp == labels.node).select("fp", "first", "comp")
+    least = linked.groupBy("comp").agg(F.min("first").alias("best"))
+    lone = fps.join(labels, fps.fp == labels.node, "left_anti").select(
+        "fp", F.col("first").alias("best"))
+    return linked.join(least, "comp").select("fp", "best").union(lone)
+
+
 def near_duplicates(docs: DataFrame, *, limit: int = 2, size: int = 3) -> DataFrame:
     """Per row: doc_id, fingerprint (hex) and component_id, the smallest id of all that
     links of at most `limit` differing bits reach."""
     rows, _ = save(fingerprints(docs, size), "fingerprints")
-    fps, fps_at = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    labels = components(similar_pairs(fps, limit))
-    linked = fps.join(labels, fps.fp == labels.node).select("fp", "first", "comp")
-    least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
-    moved = linked.join(least, "comp").select("fp", "component_id")
-    lone = fps.join(labels, fps.fp == labels.node, "left_anti").select(
-        "fp", F.col("first").alias("component_id"))
-    classes, _ = save(moved.union(lone), "classes")
-    forget(docs.sparkSession, fps_at)
-    return rows.join(classes, "fp").select(
+    firsts, _ = save(_firsts(*_members(rows, limit)).select(
+        "fp", F.col("best.doc_id").alias("component_id")), "classes")
+    return rows.join(firsts, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, limit: int = 2, size: int = 3) -> DataFrame:
+    """One row, all columns, of each component: that of smallest id, of several with that
+    id the one of smallest text hash, of equal ones any."""
+    rows, _ = save(fingerprints(docs, size), "fingerprints")
+    fps, labels = _members(rows, limit)
+    kept = _firsts(fps, labels).select(F.col("best.doc_id").alias("k_id"),
+                                       F.col("best.text_hash").alias("k_hash")).distinct()
+    times = rows.groupBy("doc_id", "text_hash").count().filter("count > 1")
+    kept, _ = save(kept.join(times, F.col("k_id").eqNullSafe(F.col("doc_id")) & (
+        F.col("k_hash") == F.col("text_hash")), "left").select(
+            "k_id", "k_hash", F.coalesce("count", F.lit(1)).alias("k_times")), "kept")
+    found = docs.withColumn("__hash", _text_hash()).join(kept, F.col("doc_id").eqNullSafe(
+        F.col("k_id")) & (F.col("__hash") == F.col("k_hash")))
+    if kept.filter("k_times > 1").isEmpty():
+        return found.select(docs.columns)
+    return found.filter("k_times = 1").unionByName(found.filter("k_times > 1").dropDuplicates(
+        ["doc_id", "__hash"])).select(docs.columns)

@@ -5,7 +5,7 @@ rows, each bucket gets the log-count ratio r = log((p + a)/(P + a F)) - log((q +
 toxic and other rows; buckets whose ratio is within `z` standard errors of zero are left out. A
 logistic model is trained on the features r and scores whole texts.
 
-Labels are learnt from at most `sample_rows` labelled rows, those of smallest id hash over the whole table, both classes weighted alike;
+Labels are learnt from about `sample_rows` labelled rows (twice as many at most), those of smallest id hash over the whole table, both classes weighted alike;
 everything else covers all rows. Rows whose fold (crc32 of the id modulo 3) is 1 are held out, and labels of null
 ids too. Labels other than 0 and 1 are ignored; a repeated label counts as often as it occurs.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringelake.llm.common import fold, prepare, texts_of
+from fringelake.llm.common import fold, hash_sample, prepare, texts_of
 from fringelake.llm.grams import gram_buckets, parts_of
 
 SIZES = (3, 4, 5)
@@ -90,13 +90,13 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, *, penalt
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, bits: int = 20,
-        alpha: float = 1.0, z: float = 2.5) -> Model | None:
+        alpha: float = 1.0, z: float = 3.5) -> Model | None:
     spark = docs.sparkSession
     prepare(spark)
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                           F.col("toxic").cast("int").alias("toxic"))
-    label = (label.filter("toxic IN (0, 1)").filter(fold("doc_id") != 1)
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows))
+    label = hash_sample(label.filter("toxic IN (0, 1)").filter(fold("doc_id") != 1),
+                        sample_rows, "doc_id")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("text").cast("string").alias("text")).join(
         F.broadcast(label), "doc_id").select("toxic", "text")  # sample_rows bounds the broadcast

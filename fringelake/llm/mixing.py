@@ -8,8 +8,8 @@ the metric of the tokens, r <- max(0, r - sum over domains of p * miss / tokens
 aggregation of as many numbers as there are domains; a document's rate follows from its p and the short list of
 past misses, so nothing about documents is gathered.
 
-Without a given total, targets are the largest mix in the target weights in which no domain is repeated: the
-domain that is scarcest against its weight is kept whole and others are thinned. A document comes floor(r) times and
+Without a given total, targets are the largest mix in the target weights that repeats no document: the
+domain that is scarcest against its weight is kept, others are thinned, and the greatest rate is 1. A document comes floor(r) times and
 once more with the probability that remains, decided by a hash of its id.
 
 About `sample_rows` labelled rows (twice as many at most), those of smallest id hash over the whole table, are learnt from;
@@ -126,13 +126,14 @@ class Rates:
 
     classifier: Classifier
     steps: list[np.ndarray] = field(default_factory=list)
+    scale: float = 1.0
 
     def of(self, p: np.ndarray) -> np.ndarray:
         """Rates of documents with posteriors p (n, domains)."""
         r = np.ones(len(p))
         for s in self.steps:
             r = np.maximum(0.0, r - p @ s)
-        return r
+        return self.scale * r
 
 
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -164,7 +165,7 @@ def fit_rates(table: DataFrame, classifier: Classifier, weights: list[float], *,
     k = len(weights)
 
     def totals(rates: Rates) -> np.ndarray:
-        past = rates.steps
+        past = list(rates.steps)
 
         def run(batches):
             out = np.zeros(k)
@@ -182,7 +183,8 @@ def fit_rates(table: DataFrame, classifier: Classifier, weights: list[float], *,
     rates = Rates(classifier)
     mass = now = totals(rates)
     w = np.array(weights, float) / sum(weights)
-    if total is None:
+    largest = total is None
+    if largest:
         total = min((m / x for m, x in zip(mass, w, strict=True) if x > 0 and m > 0), default=0.0)
     for _ in range(steps):
         miss = now - total * w
@@ -190,6 +192,9 @@ def fit_rates(table: DataFrame, classifier: Classifier, weights: list[float], *,
             break
         rates.steps.append(np.divide(miss, mass, out=np.zeros(k), where=mass > 0))
         now = totals(rates)
+    if largest:
+        # Rates are convex in p, so no document's exceeds that of a pure domain.
+        rates.scale = 1 / max(rates.of(np.eye(k)).max(), 1.0)
     return rates
 
 
@@ -215,12 +220,12 @@ def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
                    **options) -> DataFrame:
     """Per row: doc_id, n_tokens, a posterior p_<domain> per domain, rate and copies."""
     table, rates = _fitted(docs, labels, weights, options)
-    k, past = len(weights), rates.steps
+    k, past, scale = len(weights), rates.steps, rates.scale
 
     def run(batches):
         for batch in batches:
             _, p = _columns(batch, k)
-            rate = Rates(None, past).of(p)
+            rate = Rates(None, past, scale).of(p)
             copies = _copies(rate, batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(rate),

@@ -2,7 +2,7 @@
 
 Features are the byte n-grams (A-Z lower-cased, hashed to 2^`bits` buckets) that a text has, however often. From labelled
 rows, each bucket gets the log-count ratio r = log((p + a)/(P + a F)) - log((q + a)/(Q + a F)) of its
-toxic and other rows; buckets whose ratio is within `z` standard errors of zero are left out. A
+toxic and other rows; ratios within `z` standard errors of zero count as zero and others shrink by the share (z errors / ratio)^2. A
 logistic model is trained on the features r and scores whole texts.
 
 Labels are learnt from about `sample_rows` labelled rows (twice as many at most), those of smallest id hash over the whole table, both classes weighted alike;
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringelake.llm.common import fold, hash_sample, prepare, texts_of
+from fringelake.llm.common import fold, forget, hash_sample, prepare, save, texts_of
 from fringelake.llm.grams import gram_buckets, parts_of
 
 SIZES = (3, 4, 5)
@@ -54,21 +54,31 @@ def features(text: bytes, bits: int) -> np.ndarray:
                                     or [np.zeros(0, np.uint32)]))
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, *, penalty: float = 1e-4,
-             steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, *, penalty: float = 3e-5,
+             steps: int = 200) -> tuple[np.ndarray, float]:
     """Weights of the given sparse rows (feature numbers), features valued `ratio`; classes weigh
     the same. Accelerated gradient steps."""
-    index = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    sizes = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    value = ratio[index]
+    sizes = np.array([len(r) for r in rows], np.int64)
+    cuts = np.searchsorted(sizes.cumsum(), np.arange(0, sizes.sum() + 1, 1 << 20), "left")
+    cuts = np.unique([0, *cuts, len(rows)])
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
 
+    def blocks():
+        """Rows by about a million features: first row, last, their features and rows."""
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            yield (a, z, np.concatenate([np.zeros(0, np.int32), *rows[a:z]]),
+                   np.repeat(np.arange(z - a), sizes[a:z]))
+
     def forward(w, b):
-        return np.bincount(owner, value * w[index], minlength=len(rows)) + b
+        scaled = w * ratio
+        return np.concatenate([np.bincount(owner, scaled[index], minlength=z - a)
+                               for a, z, index, owner in blocks()]) + b
 
     def back(slip):
-        return np.bincount(index, value * slip[owner], minlength=len(ratio)), slip.sum()
+        out = np.zeros(len(ratio))
+        for a, z, index, owner in blocks():
+            out += np.bincount(index, slip[a:z][owner], minlength=len(ratio))
+        return out * ratio, slip.sum()
 
     v, c, top = np.ones(len(ratio)), 1.0, 1.0
     for _ in range(20):  # the largest curvature, by power iteration
@@ -89,8 +99,8 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, *, penalt
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, bits: int = 20,
-        alpha: float = 1.0, z: float = 3.5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10_000, bits: int = 20,
+        alpha: float = 0.5, z: float = 2.0) -> Model | None:
     spark = docs.sparkSession
     prepare(spark)
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -115,19 +125,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, bits:
                      pa.array([len(mine), *n], pa.int64()),
                      pa.array(np.full(len(keys) + 1, c), pa.int32())], ["bucket", "n", "toxic"])
 
-    table = (chosen.mapInArrow(count, "bucket long, n long, toxic int").groupBy("bucket")
-             .agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"),
-                  F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg")))
-    got = np.array(table.filter("bucket < 0 OR pos + neg > 1").select(
-        F.coalesce("bucket", F.lit(0)), "pos", "neg").collect() or [(-1, 0, 0)], np.int64)
-    total = got[got[:, 0] < 0][0, 1:] if (got[:, 0] < 0).any() else np.zeros(2)
-    if total.min() == 0:
+    table, table_at = save(
+        chosen.mapInArrow(count, "bucket long, n long, toxic int").groupBy("bucket")
+        .agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"),
+             F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg")), "buckets")
+    total = table.filter("bucket < 0").select("pos", "neg").first()
+    if total is None or min(total) == 0:
         return None
-    got = got[got[:, 0] >= 0]
-    pos, neg = got[:, 1] + alpha, got[:, 2] + alpha
-    ratio = np.log(pos / (total[0] + 2 * alpha)) - np.log(neg / (total[1] + 2 * alpha))
-    use = np.abs(ratio) > z * np.sqrt(1 / pos + 1 / neg)
-    buckets, ratio = got[use, 0], ratio[use]
+    pos, neg = F.col("pos") + alpha, F.col("neg") + alpha
+    got = table.filter("bucket >= 0 AND pos + neg > 1").select(
+        "bucket", (F.log(pos / (total[0] + 2 * alpha)) - F.log(neg / (total[1] + 2 * alpha)))
+        .alias("ratio"), F.sqrt(1 / pos + 1 / neg).alias("error"))
+    got = got.filter(F.abs("ratio") > z * F.col("error")).toArrow()  # 2^bits rows at most
+    forget(spark, table_at)
+    buckets, ratio, error = (c.to_numpy() for c in got.columns)
+    ratio = ratio * (1 - (z * error / ratio) ** 2)
     number = np.full(1 << bits, -1, np.int32)
     number[buckets] = np.arange(len(buckets))
     shared = spark.sparkContext.broadcast(number)  # 2^bits numbers

@@ -41,6 +41,11 @@ def _apply(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= cut, _apply(left, x), _apply(right, x))
 
 
+def number(x: float) -> str:
+    """A double as a SQL literal."""
+    return f"{float(x):.17e}D".replace("e", "E")
+
+
 class Boosted:
     """Log-odds as a sum of trees (feature, cut, at most, above)."""
 
@@ -68,11 +73,11 @@ class Boosted:
         """The log-odds as a SQL expression over the features' names."""
         def expr(tree):
             if not isinstance(tree, tuple):
-                return f"{tree:.6e}D".replace("e", "E")
+                return number(tree)
             f, cut, left, right = tree
             return f"CASE WHEN {names[f]} <= {cut} THEN {expr(left)} ELSE {expr(right)} END"
 
-        return " + ".join([f"{self.base:.6e}D".replace("e", "E"), *map(expr, self.trees)])
+        return " + ".join([number(self.base), *map(expr, self.trees)])
 
 
 def threshold(odds: np.ndarray, pos: np.ndarray, neg: np.ndarray, precision: float) -> float:

@@ -250,7 +250,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **options
             copies = _copies(model.value.of(p), batch.column(n).to_numpy())
             yield batch.select(range(n)).take(pa.array(np.repeat(np.arange(len(p)), copies)))
 
-    return docs.withColumn("__chance", _chance()).mapInArrow(run, docs.schema)
+    return docs.select("*", _chance()).mapInArrow(run, docs.schema)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fringelake.llm.boosting import Boosted, threshold
+from fringelake.llm.boosting import Boosted, number, threshold
 from fringelake.llm.common import save
 
 KINDS = ("email", "ip", "card", "phone")
@@ -169,8 +169,7 @@ def personal_data(docs: DataFrame, *, precision: float = 0.98) -> DataFrame:
     base = F.expr(f"CAST(transform(filter(found, x -> x.valid), "
                   f"x -> struct(x.start, x.kind, x.end)) AS array<{place}>)")
     limit = "CASE x.kind " + " ".join(
-        f"WHEN {k} THEN {c:.6e}D".replace("e+", "E+").replace("e-", "E-")
-        for k, c in enumerate(cuts) if np.isfinite(c)) + " END" if any(
+        f"WHEN {k} THEN {number(c - 1e-9)}" for k, c in enumerate(cuts) if np.isfinite(c)) + " END" if any(
             map(np.isfinite, cuts)) else "NULL"
     scored = F.expr(f"transform(filter(found, x -> NOT x.valid), x -> named_struct("
                     f"'start', x.start, 'kind', x.kind, 'end', x.end, 'odds', {model.sql(parts)}, "

@@ -260,9 +260,12 @@ def drop_near_duplicates(docs: DataFrame, *, limit: int = 2, size: int = 3) -> D
     kept, _ = save(kept.join(times, F.col("k_id").eqNullSafe(F.col("doc_id")) & (
         F.col("k_hash") == F.col("text_hash")), "left").select(
             "k_id", "k_hash", F.coalesce("count", F.lit(1)).alias("k_times")), "kept")
-    found = docs.withColumn("__hash", _text_hash()).join(kept, F.col("doc_id").eqNullSafe(
-        F.col("k_id")) & (F.col("__hash") == F.col("k_hash")))
+    # Columns of the documents may have any names, so they travel as one struct.
+    found = docs.select(F.struct("*").alias("row"), _text_hash()).join(
+        kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("k_id")) & (
+            F.col("text_hash") == F.col("k_hash")))
+    once = found.filter("k_times = 1").select("row.*")
     if kept.filter("k_times > 1").isEmpty():
-        return found.select(docs.columns)
-    return found.filter("k_times = 1").unionByName(found.filter("k_times > 1").dropDuplicates(
-        ["doc_id", "__hash"])).select(docs.columns)
+        return once
+    return once.union(found.filter("k_times > 1").dropDuplicates(["k_id", "k_hash"])
+                      .select("row.*"))

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringelake.operators.images import write_step, peak
+from fringelake.operators.images import peak
+from fringelake.scratch import write_table
 
 
 def clean_plane(dirty: np.ndarray, psf: np.ndarray, gain: float, thresh: float, niter: int,
@@ -77,7 +78,7 @@ def hogbom_image(dirty: DataFrame, psf: DataFrame, n: int, *, gain: float, thres
     pmax = psf.agg(F.max("value")).first()[0]
     if pmax <= 0:
         raise ValueError("the psf has no positive peak")
-    res, comps, pending = write_step(dirty.select("y", "x", "value")), [], []
+    res, comps, pending = write_table(dirty.select("y", "x", "value")), [], []
 
     def applied() -> DataFrame:
         if not pending:
@@ -98,7 +99,7 @@ def hogbom_image(dirty: DataFrame, psf: DataFrame, n: int, *, gain: float, thres
         comps.append((best.y, best.x, value))
         pending.append(comps[-1])
         if len(pending) == cut_every:
-            res, pending = write_step(applied()), []
+            res, pending = write_table(applied()), []
         best = peak(applied(), "value", n).first()
         if abs(best.value) < thresh:
             break

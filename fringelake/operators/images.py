@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringelake.functions.cplx import col, turns
@@ -15,6 +14,7 @@ from fringelake.model import GridSpec
 from fringelake.operators import gridding, kernels
 from fringelake.operators.lookup import lookup
 from fringelake.operators.visibility import mirror
+from fringelake.scratch import drop_table, write_table
 
 #: Dense cells one transform task holds: rows per block follow from the width.
 CELLS_PER_BLOCK = 1 << 20
@@ -293,25 +293,6 @@ def smooth(image: DataFrame, value: str, sigma: float, n: int, keys: list[str] =
     return out.withColumnRenamed("_v", value)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the session's checkpoint folder. Only a
-    local session may fall back to a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    return folder
-
-
-def write_step(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job in reliable storage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def connected_segments(pixels: DataFrame, n: int, keys: list[str] = ()) -> DataFrame:
     """Label 8-connected pixels (y, x) of n x n images: every pixel gets the
     smallest pixel of its segment as ``label``.
@@ -324,7 +305,7 @@ def connected_segments(pixels: DataFrame, n: int, keys: list[str] = ()) -> DataF
     bound = None if keys else n * n
     steps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"))
                       for j in (-1, 0, 1) for i in (-1, 0, 1)])
-    cur = write_step(pixels.select(*keys, "y", "x", pid.alias("label")))
+    cur = write_table(pixels.select(*keys, "y", "x", pid.alias("label")))
     while True:
         near = (cur.select(*keys, "y", "x", "label", F.explode(steps).alias("s"))
                 .select(*keys, (F.col("y") + F.col("s.j")).alias("y"),
@@ -334,8 +315,9 @@ def connected_segments(pixels: DataFrame, n: int, keys: list[str] = ()) -> DataF
         parent = hooked.select(*keys, pid.alias("low"), F.col("low").alias("up"))
         best = F.least("low", F.coalesce("up", "low"))
         jumped = lookup(hooked, parent, [*keys, "low"], max_rows=bound)
-        new = write_step(jumped.select(*keys, "y", "x", best.alias("label"),
+        new = write_table(jumped.select(*keys, "y", "x", best.alias("label"),
                                         (F.col("label") != best).alias("moved")))
+        drop_table(cur)
         cur, moved = new.drop("moved"), new.where("moved").limit(1).count()
         if not moved:
             return cur

@@ -140,97 +140,6 @@ def exp_semicircle(x: np.ndarray, beta: float) -> np.ndarray:
     return np.where(np.abs(x) <= 0.5, np.exp(beta * (np.sqrt(inside) - 1)), 0.0)
 
 
-# -- least-misfit gridding functions -------------------------------------------
-
-
-def _trapezium(n: int, dx: float) -> np.ndarray:
-    weight = np.full(n, dx)
-    weight[[0, -1]] *= 0.5
-    return weight
-
-
-def least_misfit_gridder(h: np.ndarray, x0: float, nu: np.ndarray, r: int) -> np.ndarray:
-    """Gridding values [2r, len(nu)] that best undo the image-plane correction
-    ``h`` (given at x0/N .. x0, 1 at zero) over abs(x) <= x0."""
-    n = len(h)
-    x = x0 * np.arange(n + 1) / n
-    wt, corr = _trapezium(n + 1, x0 / n), np.concatenate(([1.0], h))
-    l = np.arange(2 * r) - r + 1
-    gram = np.einsum("x,abx->ab", wt * corr ** 2,
-                     np.cos(2 * np.pi * (l[:, None] - l[None, :])[..., None] * x))
-    rhs = np.einsum("x,amx->am", wt * corr,
-                    np.cos(2 * np.pi * (l[:, None] - nu[None, :])[..., None] * x))
-    return np.linalg.lstsq(gram, rhs, rcond=1e-14)[0]
-
-
-def gridding_misfit(h: np.ndarray, x0: float, m: int, r: int) -> np.ndarray:
-    """Residuals 1 - h(x) sum_l C_l exp(2 pi i (l - nu) x) at all (x, nu)."""
-    n = len(h)
-    nu = (np.arange(m) + 0.5) / (2 * m)
-    x = x0 * np.arange(n + 1) / n
-    c = least_misfit_gridder(h, x0, nu, r)
-    l = np.arange(2 * r) - r + 1
-    wave = np.exp(2j * np.pi * (l[None, :, None] - nu[None, None, :]) * x[:, None, None])
-    approx = np.concatenate(([1.0], h))[:, None] * np.einsum("lm,xlm->xm", c, wave)
-    loss = np.stack([1 - approx.real, approx.imag], axis=1)
-    loss[[0, -1]] /= np.sqrt(2)
-    return loss.ravel()
-
-
-def optimal_correction(r: int, x0: float, n: int = 32, m: int = 16, rounds: int = 12) -> np.ndarray:
-    """Image-plane correction that minimises the misfit, by damped Gauss-Newton."""
-    h, damping = np.ones(n), 1e-3
-    f = gridding_misfit(h, x0, m, r)
-    for _ in range(rounds):
-        step = 1e-6
-        jac = np.stack([(gridding_misfit(h + step * e, x0, m, r) - f) / step
-                        for e in np.eye(n)], axis=1)
-        normal = jac.T @ jac
-        for _ in range(8):
-            delta = np.linalg.solve(normal + damping * np.diag(np.diag(normal)), -jac.T @ f)
-            trial = gridding_misfit(h + delta, x0, m, r)
-            if trial @ trial < f @ f:
-                break
-            damping *= 8
-        else:
-            break
-        done = f @ f - trial @ trial < 1e-12 * (f @ f)
-        h, f, damping = h + delta, trial, damping / 4
-        if done:
-            break
-    return h
-
-
-def correction_at(x: np.ndarray, h: np.ndarray, x0: float, m: int, r: int) -> np.ndarray:
-    """Best correction at arbitrary image positions for the gridder of ``h``."""
-    nu = (np.arange(m) + 0.5) / (2 * m)
-    c = least_misfit_gridder(h, x0, nu, r)
-    l = np.arange(2 * r) - r + 1
-    x = np.asarray(x, float)
-    num = np.einsum("lm,xlm->x", c, np.cos(
-        2 * np.pi * (l[None, :, None] - nu) * x[:, None, None]))
-    den = np.einsum("am,bm,xab->x", c, c, np.cos(
-        2 * np.pi * (l[:, None] - l[None, :])[None] * x[:, None, None]))
-    return num / den
-
-
-def least_misfit_kernel(r: int, h: np.ndarray, x0: float, q: int) -> np.ndarray:
-    """Separable oversampled kernel [q, 2r] for :func:`convgrid_separable`."""
-    return least_misfit_gridder(h, x0, np.arange(q) / q, r)[::-1].T.copy()
-
-
-def mean_map_error(r: int, x0: float, h: np.ndarray, n: int = 64, m: int = 16) -> float:
-    """Root mean square image error over abs(x) <= x0."""
-    nu = (np.arange(m) + 0.5) / (2 * m)
-    x = np.linspace(0, x0, n + 1)
-    c = least_misfit_gridder(h, x0, nu, r)
-    l = np.arange(2 * r) - r + 1
-    wave = np.exp(2j * np.pi * (l[None, :, None] - nu) * x[:, None, None])
-    approx = correction_at(x, h, x0, m, r)[:, None] * np.einsum("lm,xlm->xm", c, wave)
-    err = (np.abs(1 - approx) ** 2).sum(axis=1) / m
-    return float(np.sqrt((_trapezium(n + 1, x0 / n) * err).sum() / x0))
-
-
 def lambert_optimal_margin(m: float) -> float:
     """Optimal subgrid size for a margin ``m``: -m - 2 m W(-1/(2 m sqrt(e))) on
     the lower branch, by Newton steps."""

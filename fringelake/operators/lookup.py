@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fringelake.model import never_null
+from fringelake.scratch import write_table
 
 DEFAULT_SALTS = 64
 
@@ -54,53 +54,32 @@ def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], *, max_rows: int |
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def quantile_bounds(df: DataFrame, columns: list[str], buckets: int = 128) -> list[list[float]]:
-    """Per column at most ``buckets - 1`` approximate quantiles, ascending.
-
-    Runs one aggregation job, like the sampling pass of a range partitioner.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 20 * buckets).alias(c)
-                   for c in columns]).first()
-    return [sorted(set(row[c] or [])) for c in columns]
-
-
-def bucket_of(order: Column, bounds: list[float]) -> Column:
-    """Interval number of ``order`` among ascending bounds: odd numbers are the
-    bounds themselves, even ones the open intervals between them."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(float(b)) for b in bounds])
-    value = order.cast("double")
-    return never_null(F.size(F.filter(edges, lambda b: b < value))
-                      + F.size(F.filter(edges, lambda b: b <= value))).cast("int")
-
-
 def with_rank(df: DataFrame, keys: list[str], order: str, tie: str, *,
-              name: str = "rank", buckets: int = 128) -> DataFrame:
+              name: str = "rank") -> DataFrame:
     """0-based position of each row within ``keys`` when sorted by ``order``,
-    then by ``tie`` (numeric, unique within equal order values).
+    then by ``tie`` (unique within equal order values), both of any orderable type.
 
     A plain ``row_number`` over ``keys`` sorts a hot group, and with no keys the
-    whole table, in one task. Here the order column is cut at global quantiles:
-    ranks are taken inside (keys, bucket), and the rows in earlier buckets come
-    from a running sum over the small table of bucket sizes. An order value that
-    is frequent enough to be a quantile has a bucket of its own, which is cut
-    again by the quantiles of the tie column.
+    whole table, in one task. Here rows are range-partitioned by (keys, order, tie)
+    into as many parts as the session shuffles to and written once; ranks are
+    taken inside (keys, part), and the rows of earlier parts come from a running
+    sum over the small table of part sizes.
     """
-    bounds, tie_bounds = quantile_bounds(df, [order, tie], buckets)
-    bucket = bucket_of(F.col(order), bounds)
-    tagged = df.withColumn("_bucket", bucket).withColumn(
-        "_part", F.when(F.col("_bucket") % 2 == 1, bucket_of(F.col(tie), tie_bounds)).otherwise(0))
-    sizes = tagged.groupBy(*keys, "_bucket", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket", "_part").rowsBetween(
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = write_table(df.repartitionByRange(parts, *keys, order, tie)
+                         .withColumn("_part", F.spark_partition_id()))
+    sizes = tagged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.withColumn("_start", F.sum("_n").over(before) - F.col("_n")).drop("_n")
-    local = Window.partitionBy(*keys, "_bucket", "_part").orderBy(order, tie)
+    local = Window.partitionBy(*keys, "_part").orderBy(order, tie)
     ranked = tagged.withColumn("_local", F.row_number().over(local) - 1)
-    return (ranked.join(offsets, [*keys, "_bucket", "_part"])
-            .withColumn(name, (F.col("_start") + F.col("_local")).cast("long"))
-            .drop("_bucket", "_part", "_start", "_local"))
+    same = F.col("l._part") == F.col("r._part")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return (ranked.alias("l").join(offsets.alias("r"), same).select(
+        *[F.col(f"l.{c}") for c in df.columns],
+        (F.col("r._start") + F.col("l._local")).cast("long").alias(name)))
 
 
 def exact_median(df: DataFrame, value: str, n: int, bounds: tuple[float, float]) -> float:

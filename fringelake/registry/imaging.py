@@ -12,6 +12,7 @@ from fringelake.model import GridSpec
 from fringelake.operators import clean, gridding, images, kernels, recombine, towers
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
+from fringelake.scratch import write_table
 from fringelake.registry.geometry import SOURCES, rotated_sql
 
 G, N = t.GRID, t.GRID.n
@@ -169,7 +170,7 @@ def smooth_image(spark, sf):
   FROM lab JOIN b USING (y, x) GROUP BY label HAVING count(*) >= 4""")
 def detect_sources(spark, sf):
     """Bright connected segments of the smoothed data image."""
-    smooth = images.write_step(images.smooth(t.data_image(spark, sf, 64), "re", 1.0, 64))
+    smooth = write_table(images.smooth(t.data_image(spark, sf, 64), "re", 1.0, 64))
     level = smooth.agg(F.avg("re") + F.stddev_pop("re")).first()[0]
     return images.detect_sources(smooth, "re", level, 4, 64, 0.1)
 

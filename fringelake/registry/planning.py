@@ -31,7 +31,7 @@ BOXES_SQL = """bx AS (SELECT bu, bv, bw, min(iu) AS iu0, max(iu) + 1 AS iu1, min
 
 
 def _tagged(spark, sf):
-    return density.box_bins(density.density(t.samples(spark, sf), SPEC), 16, 16, 8)
+    return density.box_bins(density.density(t.samples(spark, sf), SPEC, half_plane=1), 16, 16, 8)
 
 
 def _boxes(spark, sf):
@@ -40,7 +40,17 @@ def _boxes(spark, sf):
 
 
 @query("iw iv iu n", sql=f"{D} SELECT iw, iv, iu, n FROM dn")
+def density_histogram_upper(spark, sf):
+    return density.density(t.samples(spark, sf), SPEC, half_plane=1)
+
+
+@query("iw iv iu n", sql=f"""WITH {t.SAMPLES_SQL}, m AS (SELECT
+  CASE WHEN v > 0 THEN -u ELSE u END AS u, CASE WHEN v > 0 THEN -v ELSE v END AS v,
+  CASE WHEN v > 0 THEN -w ELSE w END AS w FROM vis)
+  SELECT {bin_sql('w')} AS iw, {bin_sql('v')} AS iv, {bin_sql('u')} AS iu, count(*) AS n
+  FROM m GROUP BY 1, 2, 3""")
 def density_histogram(spark, sf):
+    """Samples per bin of the half-space v <= 0."""
     return density.density(t.samples(spark, sf), SPEC)
 
 
@@ -50,7 +60,7 @@ def density_histogram(spark, sf):
   max((iw - {SPEC.wcount // 2}) / {SPEC.wcount - 1}e0 * {SPEC.wsize}) AS w FROM dn GROUP BY 1""")
 def density_bin_positions(spark, sf):
     """Bins back to coordinates: the furthest per w-layer."""
-    return density.density(t.samples(spark, sf), SPEC).groupBy("iw").agg(
+    return density.density(t.samples(spark, sf), SPEC, half_plane=1).groupBy("iw").agg(
         F.sum("n").alias("n"), *[F.max(SPEC.position(F.col(f"i{c}"), c)).alias(c) for c in "uvw"])
 
 
@@ -137,20 +147,6 @@ def bin_biased_pick(spark, sf):
     return density.biased_pick(_boxes(spark, sf), 0.437)
 
 
-@query("seed nvis bins", sql=f"""{D} SELECT seed, (SELECT sum(n) FROM dn) AS nvis, 1 AS bins
-  FROM (VALUES (1), (2)) AS s(seed)""")
-def bin_annealing(spark, sf):
-    """Annealed plans from two seeds keep every sample and end no higher than the
-    starting temperature (0.5) above the plan they start from (``bins`` is 1 if
-    so)."""
-    cells = density.density(t.samples(spark, sf), SPEC)
-    plans = density.annealed_bins(cells, SPEC, [1, 2], steps=60)
-    start = density.annealed_bins(cells, SPEC, [1], steps=0).agg(F.max("energy")).scalar()
-    return plans.groupBy("seed").agg(
-        F.sum("nvis").alias("nvis"),
-        F.max((F.col("energy") <= start + 0.5).cast("int")).alias("bins"))
-
-
 # -- tracks ---------------------------------------------------------------------------------
 
 HA = 0.02

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fringelake.operators import averaging, images, quality, visibility
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
+from fringelake.scratch import shared_folder
 from fringelake.sources import oskar, store
 from fringelake.streaming import incremental
 
@@ -417,7 +418,7 @@ def oskar_blocks(spark, sf):
 def average_stream(spark, sf):
     """Hourly averages per antenna of the events as a stream, up to the
     watermark half an hour behind the last event."""
-    folder = f"{images.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     samples = incremental.read_samples(spark, f"{sf}/events*.parquet", schema).select(
         F.col("ts").cast("timestamp").alias("ts"), F.pmod("user_id", F.lit(25)).alias("antenna"),

@@ -19,33 +19,14 @@ def cells(spark):
 def test_density_counts_every_sample(vis_frame):
     rng = np.random.default_rng(1)
     u, v, w = rng.uniform(-150, 150, (3, 500)) * np.array([[1], [1], [0.5]])
-    got = density.density(vis_frame(u=u, v=v, w=w, re=u, im=v), SPEC)
+    df = vis_frame(u=u, v=v, w=w, re=u, im=v)
+    got = density.density(df, SPEC, half_plane=1)
     assert got.agg(F.sum("n")).first()[0] == 500
     s = np.where(v < 0, -1, 1)
     iv = np.around(32 * v * s / 320).astype(int) + 16
     assert got.agg(F.max("iv")).first()[0] == iv.max() and got.agg(F.min("iv")).first()[0] >= 16
-
-
-def test_annealing_improves_and_keeps_samples(cells):
-    total = cells.agg(F.sum("n")).first()[0]
-    start = density.annealed_bins(cells, SPEC, [1], 0).first().energy
-    end = density.annealed_bins(cells, SPEC, [1, 2, 3], 300).toPandas()
-    assert (end.groupby("seed")["nvis"].sum() == total).all()
-    assert end["energy"].min() <= start
-    boxes = end[end["seed"] == 1]
-    assert (boxes["iu0"] < boxes["iu1"]).all()
-
-
-def test_plan_cost_agrees_with_columns(cells):
-    """The annealer's cost model and the column expressions are the same."""
-    tagged = density.box_bins(cells, 1000, 1000, 1000)
-    plan = density._Plan(cells.toPandas(), SPEC)
-    mask = np.ones(len(plan.n), dtype=bool)
-    bounds, _, _ = plan.box(mask)
-    hist = np.bincount(plan.i["w"] - bounds["w"][0], plan.n, bounds["w"][1] - bounds["w"][0])
-    for planes in (1, 2, 5):
-        want = density.plane_cost(tagged, SPEC, planes).first().cost
-        assert np.isclose(plan.on_planes(bounds, hist, planes, 1), want)
+    low = density.density(df, SPEC)
+    assert low.agg(F.sum("n"), F.max("iv")).first() == (500, 16)
 
 
 def test_overlap_of_a_box_and_its_mirror(spark):

@@ -136,16 +136,6 @@ def test_recombination_2d(spark):
     assert np.abs(got - image).max() < 1e-6 * np.abs(image).max()
 
 
-def test_parameter_search():
-    step, x_n, y_n, par = recombine.choose_window(512, 1 / 8, 64, 2.2)
-    assert 512 % step == 0 and x_n > 0 and y_n > 64 and par < 100
-    sub, fac, nx, ny = recombine.place_centres(512, 128, 128, 2)
-    assert nx * ny == 512
-    assert all(recombine.whole(a * b / 512) for a in sub for b in fac)
-    assert recombine.greatest_prime_factor(360) == 5
-    assert recombine.greatest_prime_factor(97) == 97
-
-
 def test_gridding_is_used_by_image_with(vis_frame, lattice):
     df = vis_frame(**lattice).where("w = 0")
     a = images.dirty_image(df, SPEC).orderBy("y", "x").toPandas()

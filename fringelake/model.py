@@ -67,6 +67,11 @@ def never_null(key: Column) -> Column:
     return F.coalesce(key, F.lit(0).cast("long"))
 
 
+def required(value: Column, what: str) -> Column:
+    """``value``, or an error where a left join found no partner."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(what)))
+
+
 @dataclass(frozen=True)
 class GridSpec:
     """Square uv-grid: field of view ``theta`` (direction cosines) and extent

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringelake.functions import coords
+from fringelake.model import required
 
 
 def to_celestial(ants: DataFrame, latitude: float) -> DataFrame:
@@ -82,7 +83,8 @@ def empty_visibilities(times: DataFrame, ants: DataFrame, dec: float, nchan: int
 
 
 def attach_baselines(samples: DataFrame, ants: DataFrame) -> DataFrame:
-    """Look both antennas of each sample up and add its baseline vector.
+    """Look both antennas of each sample up and add its baseline vector. A sample
+    of an unknown antenna raises an error.
 
     Neither side is hinted: Spark broadcasts the antenna table if its measured
     size allows and shuffles otherwise.
@@ -90,9 +92,9 @@ def attach_baselines(samples: DataFrame, ants: DataFrame) -> DataFrame:
     for i in (1, 2):
         samples = samples.join(
             ants.select(F.col("ant").alias(f"antenna{i}"),
-                        *[F.col(c).alias(f"_{c}{i}") for c in "xyz"]), f"antenna{i}")
+                        *[F.col(c).alias(f"_{c}{i}") for c in "xyz"]), f"antenna{i}", "left")
     return samples.withColumns(
-        {f"b{c}": F.col(f"_{c}2") - F.col(f"_{c}1") for c in "xyz"}
+        {f"b{c}": required(F.col(f"_{c}2") - F.col(f"_{c}1"), "unknown antenna") for c in "xyz"}
     ).drop(*[f"_{c}{i}" for c in "xyz" for i in (1, 2)])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fringelake.model import SPEED_OF_LIGHT
 from fringelake.operators.lookup import with_rank
 from fringelake.operators.visibility import weighted_mean
+from fringelake.scratch import write_table
 
 BASELINE = ["antenna1", "antenna2"]
 
@@ -27,15 +28,25 @@ def coalesce(df: DataFrame, time_factor: int | str, freq_factor: int | str,
     each baseline, polarisations kept apart.
 
     Positions are per baseline over its distinct times, so the samples of one
-    time that differ in channel and polarisation share a slot. Times, (u,v,w)
-    and frequencies average plainly, visibilities by weight.
+    time that differ in channel and polarisation share a slot. Times and (u,v,w)
+    average over a slot's times and frequencies over its channels, whichever of
+    its samples are there; visibilities average by weight.
     """
-    times = df.select(*keys, "time", *([time_factor] if isinstance(time_factor, str) else [])
-                      ).distinct()
-    slots = time_slots(times, time_factor, "time", keys=keys).select(*keys, "time", "slot")
+    factor = [F.first(time_factor).alias(time_factor)] if isinstance(time_factor, str) else []
+    times = df.groupBy(*keys, "time").agg(*[F.avg(c).alias(c) for c in "uvw"], *factor)
+    slots = write_table(time_slots(times, time_factor, "time", keys=keys)
+                        .select(*keys, "time", "slot", *"uvw"))
+    places = slots.groupBy(*keys, "slot").agg(*[F.avg(c).alias(c) for c in ("time", *"uvw")])
     fslot = F.floor(F.col("chan") / (F.col(freq_factor) if isinstance(freq_factor, str)
                                      else F.lit(freq_factor))).cast("long").alias("fslot")
-    return average_slots(df.join(slots, [*keys, "time"]), [*keys, "slot", fslot, "pol"])
+    bands = (df.groupBy(*keys, "chan", fslot).agg(F.avg("freq").alias("freq"))
+             .groupBy(*keys, "fslot").agg(F.avg("freq").alias("freq")))
+    means = (df.select(*keys, "time", fslot, "pol", "re", "im", "weight")
+             .join(slots.select(*keys, "time", "slot"), [*keys, "time"])
+             .groupBy(*keys, "slot", "fslot", "pol")
+             .agg(F.count(F.lit(1)).alias("n"), *weighted_mean()))
+    return means.join(places, [*keys, "slot"]).join(bands, [*keys, "fslot"]).select(
+        *keys, "slot", "fslot", "pol", "n", "time", *"uvw", "freq", "re", "im", "weight")
 
 
 def coalesce_rows(df: DataFrame, time_factor: int | str, tie: str, keys: list[str]) -> DataFrame:
@@ -52,7 +63,7 @@ def average_slots(df: DataFrame, by: list) -> DataFrame:
 def averaging_factors(df: DataFrame, order: str, tie: str, *, theta: float, step: float,
                       max_seconds: float, max_hertz: float,
                       keys: list[str] = BASELINE) -> DataFrame:
-    """Samples and channels each baseline may average: bounded by the longest
+    """Times and channels each baseline may average: bounded by the longest
     allowed time and bandwidth and by how far it moves in the uv-plane.
 
     First and last sample are min/max of a struct, which combines map-side.
@@ -63,7 +74,7 @@ def averaging_factors(df: DataFrame, order: str, tie: str, *, theta: float, step
         F.min(point).alias("a"), F.max(point).alias("b"),
         F.min("time").alias("t0"), F.max("time").alias("t1"),
         F.min("freq").alias("f0"), F.max("freq").alias("f1"),
-        F.count(F.lit(1)).alias("nt"), F.count_distinct("chan").alias("nf"))
+        F.count_distinct("time").alias("nt"), F.count_distinct("chan").alias("nf"))
 
     def norm(parts: list[Column]) -> Column:
         return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))

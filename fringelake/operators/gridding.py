@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringelake.functions.cplx import Cx, col
-from fringelake.model import GridSpec
+from fringelake.model import GridSpec, required
 from fringelake.operators.lookup import lookup
 
 #: Kernels up to this many values are inlined as a literal array; larger ones
@@ -183,7 +183,8 @@ def convgrid_by_key(df: DataFrame, spec: GridSpec, keys: dict[str, Column], kern
     flip = conjugate if conjugate is not None else F.lit(False)
     by = frac_cell_keys(spec, oversampling) | keys | {"_conj": flip}
     parts = df.groupBy(*[c.alias(k) for k, c in by.items()]).agg(*_sums())
-    joined = parts.join(kernels, [*keys, "yf", "xf"])
+    joined = parts.join(kernels, [*keys, "yf", "xf"], "left").withColumn(
+        "kre", required(F.col("kre"), "no kernel for a sample"))
     if conjugate is not None:
         joined = joined.withColumn("kim", F.when(
             F.col("_conj"), F.transform("kim", lambda k: -k)).otherwise(F.col("kim")))
@@ -221,7 +222,8 @@ def convdegrid_by_key(df: DataFrame, spec: GridSpec, cells: DataFrame, keys: dic
     by = frac_cell_keys(spec, oversampling) | keys | {"_conj": flip}
     keyed = df.drop("re", "im").withColumns(by)
     counts = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.drop("n").join(kernels, [*keys, "yf", "xf"])
+    parts = counts.drop("n").join(kernels, [*keys, "yf", "xf"], "left").withColumn(
+        "kre", required(F.col("kre"), "no kernel for a sample"))
     if conjugate is not None:
         parts = parts.withColumn("kim", F.when(
             F.col("_conj"), F.transform("kim", lambda k: -k)).otherwise(F.col("kim")))

@@ -260,12 +260,14 @@ def residual(data: DataFrame, ref: DataFrame, keys: list[str], value: str) -> Da
 
 
 def rms_error(data: DataFrame, ref: DataFrame, keys: list[str]) -> DataFrame:
-    """Root mean square and worst absolute error between two complex tables."""
+    """Number of places, root mean square and worst absolute error between two
+    complex tables."""
     both = data.select(*keys, "re", "im").unionByName(
         ref.select(*keys, (-F.col("re")).alias("re"), (-F.col("im")).alias("im")))
     diff = both.groupBy(*keys).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     e2 = col().abs2()
-    return diff.agg(F.sqrt(F.avg(e2)).alias("rmse"), F.sqrt(F.max(e2)).alias("worst"))
+    return diff.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e2)).alias("rmse"),
+                    F.sqrt(F.max(e2)).alias("worst"))
 
 
 def peak(image: DataFrame, value: str, n: int, keys: list[str] = ()) -> DataFrame:

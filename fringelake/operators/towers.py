@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fringelake.functions import coords
 from fringelake.functions.cplx import col, literal, turns
-from fringelake.model import GridSpec, never_null
+from fringelake.model import GridSpec, never_null, required
 from fringelake.operators import gridding, kernels
 from fringelake.operators.images import fft2, sample
 from fringelake.operators.lookup import lookup
@@ -218,7 +218,8 @@ def simulate_through_screen(df: DataFrame, delays: DataFrame,
     between the two antennas of a sample."""
     for i in (1, 2):
         df = df.join(delays.select(F.col("ant").alias(f"antenna{i}"),
-                                   F.col("delays").alias(f"_d{i}")), f"antenna{i}")
+                                   F.col("delays").alias(f"_d{i}")), f"antenna{i}", "left")
+        df = df.withColumn(f"_d{i}", required(F.col(f"_d{i}"), "no delays of an antenna"))
     total = literal(0.0)
     for k, (l, m, flux) in enumerate(sources):
         screen = turns((F.col("_d1")[k] - F.col("_d2")[k]) * F.col("freq"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fringelake.functions import coords, cplx
 from fringelake.functions.cplx import Cx
-from fringelake.model import VISIBILITY_KEY
+from fringelake.model import VISIBILITY_KEY, required
 
 
 def _uvw() -> tuple[Column, Column, Column]:
@@ -213,7 +213,8 @@ def weighted_mean(re: str = "re", im: str = "im", weight: str = "weight") -> lis
 
 def combine(left: DataFrame, right: DataFrame, w1: float = 1.0, w2: float = 1.0,
             key: list[str] | None = None) -> DataFrame:
-    """Weighted combination of two sets with the same samples.
+    """Weighted combination of two sets with the same samples. A sample that one
+    set lacks, or whose frequencies differ by 1 Hz or more, raises an error.
 
     Both sets are stacked and summed by sample, so rows combine before the one
     shuffle; a join would shuffle both sides whole.
@@ -222,9 +223,14 @@ def combine(left: DataFrame, right: DataFrame, w1: float = 1.0, w2: float = 1.0,
     rest = [c for c in left.columns if c not in (*key, "re", "im", "weight")]
     both = (left.withColumns({"weight": F.col("weight") * w1, "_left": F.lit(True)})
             .unionByName(right.withColumns({"weight": F.col("weight") * w2, "_left": F.lit(False)})))
-    return both.groupBy(*key).agg(
+    spread = F.max("freq") - F.min("freq") if "freq" in left.columns else F.lit(0.0)
+    out = both.groupBy(*key).agg(
         *[F.first(F.when(F.col("_left"), F.col(c)), ignorenulls=True).alias(c) for c in rest],
-        *weighted_mean())
+        *weighted_mean(), (F.bool_or("_left") & F.bool_or(~F.col("_left"))).alias("_both"),
+        spread.alias("_spread"))
+    return out.withColumn("weight", F.when(~F.col("_both"), F.raise_error(F.lit(
+        "a sample of one set is missing in the other"))).when(F.col("_spread") >= 1.0, F.raise_error(
+            F.lit("the sets differ in frequency"))).otherwise(F.col("weight"))).drop("_both", "_spread")
 
 
 def concatenate(left: DataFrame, right: DataFrame, right_centre=None, centre=None) -> DataFrame:
@@ -237,13 +243,14 @@ def concatenate(left: DataFrame, right: DataFrame, right_centre=None, centre=Non
 def concatenate_frequencies(left: DataFrame, right: DataFrame, right_centre=None,
                             centre=None) -> DataFrame:
     """Channels of the second set appended after those of the first, joined per
-    (baseline, time) in block form."""
+    (baseline, time) in block form. A row that only one set has raises an error."""
     if right_centre and centre and right_centre != centre:
         right = pack_blocks(phase_rotate(explode_blocks(right), *right_centre, *centre))
     key = ["antenna1", "antenna2", "time"]
     other = right.select(*key, *[F.col(c).alias(f"_{c}") for c in ("frequency", "vis", "weight")])
-    return left.join(other, key).select(
-        *key, "uvw", *[F.concat(c, f"_{c}").alias(c) for c in ("frequency", "vis", "weight")])
+    return left.join(other, key, "full").select(*key, "uvw", *[
+        required(F.concat(c, f"_{c}"), "a row of one set is missing in the other").alias(c)
+        for c in ("frequency", "vis", "weight")])
 
 
 def shared_frequencies(left: DataFrame, right: DataFrame) -> DataFrame:

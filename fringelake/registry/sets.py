@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from fringelake.operators import averaging, images, quality, visibility
+from fringelake.operators import averaging, quality, visibility
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
 from fringelake.scratch import shared_folder
@@ -198,51 +198,59 @@ def coalesce(spark, sf):
                                    ["antenna1", "antenna2"])
 
 
-@query("antenna1 antenna2 slot fslot pol n", "time freq re im weight", digits=4, sql=f"""
-  WITH {t.METRES_SQL}, tm AS (SELECT antenna1, antenna2, time, (row_number() OVER (
-    PARTITION BY antenna1, antenna2 ORDER BY time) - 1) // 30 AS slot
-    FROM (SELECT DISTINCT antenna1, antenna2, time FROM met) AS d)
-  SELECT antenna1, antenna2, slot, chan // 3 AS fslot, pol, count(*) AS n, avg(time) AS time,
-  avg(freq) AS freq, sum(re * weight) / sum(weight) AS re, sum(im * weight) / sum(weight) AS im,
-  sqrt(sum(weight * weight)) AS weight FROM met JOIN tm USING (antenna1, antenna2, time)
-  GROUP BY ALL""")
+def _cube_sql(time_factor: str, freq_factor: str, factors: str = "") -> str:
+    return f"""tm AS (SELECT *, (row_number() OVER (PARTITION BY antenna1, antenna2 ORDER BY time) - 1)
+    // {time_factor} AS slot FROM (SELECT DISTINCT antenna1, antenna2, time FROM met) AS d {factors}),
+  ts AS (SELECT antenna1, antenna2, slot, avg(time) AS time FROM tm GROUP BY 1, 2, 3),
+  fc AS (SELECT antenna1, antenna2, freq, chan, chan // {freq_factor} AS fslot
+    FROM (SELECT DISTINCT antenna1, antenna2, chan, freq FROM met) AS d {factors}),
+  fs AS (SELECT antenna1, antenna2, fslot, avg(freq) AS freq FROM fc GROUP BY 1, 2, 3),
+  cube AS (SELECT antenna1, antenna2, tm.slot, fc.fslot, pol, count(*) AS n,
+    sum(re * weight) / sum(weight) AS re, sum(im * weight) / sum(weight) AS im,
+    sqrt(sum(weight * weight)) AS weight FROM met JOIN tm USING (antenna1, antenna2, time)
+    JOIN fc USING (antenna1, antenna2, chan) GROUP BY 1, 2, 3, 4, 5)
+  SELECT antenna1, antenna2, slot, fslot, pol, n, time, freq, re, im, weight FROM cube
+  JOIN ts USING (antenna1, antenna2, slot) JOIN fs USING (antenna1, antenna2, fslot)"""
+
+
+@query("antenna1 antenna2 slot fslot pol n", "time freq re im weight", digits=4,
+       sql=f"""WITH {t.METRES_SQL}, {_cube_sql("30", "3")}""")
 def coalesce_cube(spark, sf):
     """Average 30 times and 3 channels, polarisations apart."""
     return averaging.coalesce(t.samples_metres(spark, sf), 30, 3)
 
 
-FACTORS_SQL = f"""fac AS (SELECT antenna1, antenna2, count(*) AS nt, count(DISTINCT chan) AS nf,
+def _factors_sql(source: str, tie: str) -> str:
+    return f"""fac AS (SELECT antenna1, antenna2, count(DISTINCT time) AS nt, count(DISTINCT chan) AS nf,
   min(time) AS t0, max(time) AS t1, min(freq) AS f0, max(freq) AS f1,
-  arg_min(struct_pack(u := u, v := v, w := w), (time, event_id)) AS a,
-  arg_max(struct_pack(u := u, v := v, w := w), (time, event_id)) AS b FROM trm GROUP BY 1, 2),
+  arg_min(struct_pack(u := u, v := v, w := w), (time, {tie})) AS a,
+  arg_max(struct_pack(u := u, v := v, w := w), (time, {tie})) AS b FROM {source} GROUP BY 1, 2),
   fac2 AS (SELECT *, sqrt((a.u-b.u)*(a.u-b.u) + (a.v-b.v)*(a.v-b.v) + (a.w-b.w)*(a.w-b.w)) * f1 / {C} * 0.05e0 AS dt,
   sqrt(a.u*a.u + a.v*a.v + a.w*a.w) * (f1 - f0) / {C} * 0.05e0 AS df FROM fac),
   fac3 AS (SELECT antenna1, antenna2,
-  greatest(1, floor(least(2e5 / nullif(86400e0 * (t1 - t0) / nt, 0), CAST(nt AS DOUBLE), nt / nullif(dt / 2e0, 0)))) AS time_factor,
+  greatest(1, floor(least(2e7 / nullif(86400e0 * (t1 - t0) / nt, 0), CAST(nt AS DOUBLE), nt / nullif(dt / 2e0, 0)))) AS time_factor,
   greatest(1, floor(least(1e7 / nullif((f1 - f0) / nf, 0), CAST(nf AS DOUBLE), nf / nullif(df / 2e0, 0)))) AS freq_factor FROM fac2)"""
 
 
-@query("antenna1 antenna2 time_factor freq_factor", sql=f"""WITH {t.TRACKS_METRES_SQL}, {FACTORS_SQL}
+@query("antenna1 antenna2 time_factor freq_factor", sql=f"""WITH {t.METRES_SQL}, {_factors_sql("met", "chan")}
   SELECT * FROM fac3""")
 def coalesce_factors(spark, sf):
-    return averaging.averaging_factors(t.tracks_metres(spark, sf), "time", "event_id", theta=0.05,
-                                       step=2.0, max_seconds=2e5, max_hertz=1e7)
+    """Factors of the sample cube, which has several channels and polarisations per time."""
+    return averaging.averaging_factors(t.samples_metres(spark, sf), "time", "chan", theta=0.05,
+                                       step=2.0, max_seconds=2e7, max_hertz=1e7)
 
 
-@query("antenna1 antenna2 slot n", "re im weight", digits=5, sql=f"""
-  WITH {t.TRACKS_METRES_SQL}, {FACTORS_SQL}, s AS (SELECT trm.*, (row_number() OVER (
-    PARTITION BY antenna1, antenna2 ORDER BY time, event_id) - 1) // CAST(time_factor AS BIGINT) AS slot
-    FROM trm JOIN fac3 USING (antenna1, antenna2))
-  SELECT antenna1, antenna2, slot, count(*) AS n, sum(re * weight) / sum(weight) AS re,
-  sum(im * weight) / sum(weight) AS im, sqrt(sum(weight * weight)) AS weight
-  FROM s GROUP BY antenna1, antenna2, slot""")
+@query("antenna1 antenna2 slot fslot pol n", "time freq re im weight", digits=4, sql=f"""
+  WITH {t.METRES_SQL}, {_factors_sql("met", "chan")}, {_cube_sql(
+      "CAST(time_factor AS BIGINT)", "CAST(freq_factor AS BIGINT)",
+      "JOIN fac3 USING (antenna1, antenna2)")}""")
 def baseline_dependent_averaging(spark, sf):
-    """Each baseline averaged by the factor it allows."""
-    df = t.tracks_metres(spark, sf)
-    factors = averaging.averaging_factors(df, "time", "event_id", theta=0.05, step=2.0,
-                                          max_seconds=2e5, max_hertz=1e7)
-    return averaging.coalesce_rows(df.join(factors, ["antenna1", "antenna2"]), "time_factor",
-                                   "event_id", ["antenna1", "antenna2"])
+    """Each baseline averaged in time and frequency by the factors it allows."""
+    df = t.samples_metres(spark, sf)
+    factors = averaging.averaging_factors(df, "time", "chan", theta=0.05, step=2.0,
+                                          max_seconds=2e7, max_hertz=1e7)
+    return averaging.coalesce(df.join(factors, ["antenna1", "antenna2"]), "time_factor",
+                              "freq_factor")
 
 
 @query("antenna1", "l m", sql=f"""WITH {t.TRACKS_METRES_SQL} SELECT antenna1,
@@ -412,22 +420,25 @@ def oskar_blocks(spark, sf):
   value / 97e0 AS re, 1e0 + event_id % 3 AS weight FROM events),
   h AS (SELECT date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', date_trunc('hour', ts)) AS hour, * FROM e)
   SELECT hour, antenna, count(*) AS n, sum(re * weight) / sum(weight) AS re, 0 AS im,
-  sqrt(sum(weight * weight)) AS weight FROM h
-  WHERE (hour + 1) * 3600 <= (SELECT date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', max(ts)) / 1e6
-    - 1800 FROM e) GROUP BY hour, antenna""")
+  sqrt(sum(weight * weight)) AS weight FROM h GROUP BY hour, antenna""")
 def average_stream(spark, sf):
-    """Hourly averages per antenna of the events as a stream, up to the
-    watermark half an hour behind the last event."""
+    """Hourly averages per antenna of the events as a stream, and of the last
+    windows, which the watermark half an hour behind the last event leaves open."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    samples = incremental.read_samples(spark, f"{sf}/events*.parquet", schema).select(
+    columns = (
         F.col("ts").cast("timestamp").alias("ts"), F.pmod("user_id", F.lit(25)).alias("antenna"),
         (F.col("value") / 97.0).alias("re"), F.lit(0.0).alias("im"),
         (F.lit(1.0) + F.col("event_id") % 3).alias("weight"))
+    samples = incremental.read_samples(spark, f"{sf}/events*.parquet", schema).select(*columns)
     means = incremental.average_stream(samples, ["antenna"], "ts", "1 hour", "30 minutes")
     (means.writeStream.format("parquet").option("path", f"{folder}/out")
      .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
      .start().awaitTermination())
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     hour = (F.unix_micros("start") - F.unix_micros(start)) / 3600000000
-    return spark.read.parquet(f"{folder}/out").withColumn("hour", hour)
+    done = spark.read.parquet(f"{folder}/out")
+    rest = incremental.average_rest(
+        spark.read.parquet(f"{sf}/events.parquet").select(*columns), done, ["antenna"], "ts",
+        "1 hour")
+    return done.unionByName(rest).withColumn("hour", hour)

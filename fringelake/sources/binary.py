@@ -112,14 +112,16 @@ def read_raw_tracks(spark: SparkSession, path: str, expected: int,
     """Complex tracks of per-baseline dumps: (antenna1, antenna2, i, re, im).
 
     Antennas come from the file name. A file with more than ``expected`` values
-    counts from its end, since repeated appends leave older values in front.
+    counts from its end, since repeated appends leave older values in front; one
+    with fewer raises an error.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .load(path).select("path", F.floor(F.col("length") / 16).alias("n")))
-    pieces = (files.where(F.col("n") >= expected).select(
+    pieces = (files.select(
         F.regexp_extract("path", pattern, 1).cast("long").alias("antenna1"),
         F.regexp_extract("path", pattern, 2).cast("long").alias("antenna2"), "path",
-        (F.col("n") - expected).alias("skip"),
+        F.when(F.col("n") >= expected, F.col("n") - expected).otherwise(F.raise_error(
+            F.concat(F.lit("too few values in "), "path"))).alias("skip"),
         F.explode(F.sequence(F.lit(0), F.lit(expected - 1), F.lit(chunk))).alias("first")))
 
     def load(batches):

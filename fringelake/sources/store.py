@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -37,11 +38,20 @@ def write_visibilities(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def read_visibilities(spark: SparkSession, path: str, columns: list[str] | None = None,
-                      min_length: float | None = None, max_length: float | None = None) -> DataFrame:
-    """Read samples; length bounds (per sample, metres) prune partitions."""
+                      min_length: float | None = None, max_length: float | None = None, *,
+                      per_sample: bool = False) -> DataFrame:
+    """Read samples. Length bounds (metres) keep or drop a baseline whole, by its
+    first sample in time; with ``per_sample`` they cut by sample and prune partitions."""
     schema = T.StructType([*VISIBILITY_SCHEMA.fields, T.StructField("length_class", T.IntegerType())])
     df = spark.read.schema(schema).parquet(path)
     length = F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)
+    if not per_sample and (min_length is not None or max_length is not None):
+        kept = df.groupBy("antenna1", "antenna2").agg(
+            F.min(F.struct("time", length.alias("length"))).alias("first")).where(
+            (F.col("first.length") >= (min_length or 0.0))
+            & (F.col("first.length") < (math.inf if max_length is None else max_length)))
+        df = visibility.wanted_baselines(df, kept.select("antenna1", "antenna2"))
+        min_length = max_length = None
     if min_length is not None:
         df = df.where(F.col("length_class") >= int(min_length // LENGTH_CLASS_METRES)
                       ).where(length >= min_length)
@@ -86,11 +96,14 @@ def read_antenna_csv(spark: SparkSession, path: str, *, names: str, mount: str,
 
 def read_station_csv(spark: SparkSession, path: str, mount: str = "XY",
                      header_lines: int = 2) -> DataFrame:
-    """Stations ``name,x,y,z``; lines without three numbers, such as the header,
-    carry no station."""
-    raw = spark.read.schema("name string, x double, y double, z double").csv(path)
-    return _numbered(raw.where(F.col("x").isNotNull() & F.col("z").isNotNull())).select(
-        "ant", "name", "x", "y", "z", F.lit(mount).alias("mount"))
+    """Stations ``name,x,y,z`` after ``header_lines`` lines. Any other line without
+    three numbers raises an error."""
+    lines = _numbered(spark.read.text(path)).where(F.col("ant") >= header_lines)
+    cells = F.split("value", ",")
+    return lines.where(F.trim("value") != "").select(
+        (F.col("ant") - header_lines).alias("ant"), F.trim(cells[0]).alias("name"),
+        *[F.trim(cells[i]).cast("double").alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))],
+        F.lit(mount).alias("mount"))
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -122,7 +135,6 @@ NAMED_ARRAYS = {
 
 def read_named_array(spark: SparkSession, name: str, folder: str) -> DataFrame:
     """Antennas of a known array from its layout file in ``folder``."""
-    import math
     if name not in NAMED_ARRAYS:
         raise ValueError(f"no configuration named {name}")
     file, frame, mount, names, _, lat = NAMED_ARRAYS[name]

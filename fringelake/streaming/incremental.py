@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from fringelake.operators.visibility import unseen_frequencies, weighted_mean
+from fringelake.operators.visibility import weighted_mean
 
 
 def read_samples(spark: SparkSession, path: str, schema: StructType,
@@ -28,23 +28,38 @@ def average_stream(samples: DataFrame, keys: list[str], ts: str, width: str,
             .select(F.col("window.start").alias("start"), *keys, "n", "re", "im", "weight"))
 
 
-def append_new_frequencies(samples: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Store each arriving batch without the (baseline, frequency) pairs that are
-    stored already.
+def average_rest(samples: DataFrame, done: DataFrame, keys: list[str], ts: str,
+                 width: str) -> DataFrame:
+    """The windows that a stream over bounded input left open: those after the last
+    one in ``done``, the stream's output, averaged as a batch."""
+    last = done.agg(F.max("start").alias("last"))
+    windows = samples.groupBy(F.window(ts, width), *keys).agg(
+        F.count(F.lit(1)).alias("n"), *weighted_mean())
+    return (windows.select(F.col("window.start").alias("start"), *keys, "n", "re", "im", "weight")
+            .join(F.broadcast(last), F.col("last").isNull() | (F.col("start") > F.col("last")))
+            .drop("last"))
 
-    Which pairs are stored is kept in a table of its own, ``<path>_keys``, so a
+
+def append_new_frequencies(samples: DataFrame, path: str, checkpoint: str,
+                           time: str = "ts") -> DataStreamWriter:
+    """Store each arriving batch without the (baseline, frequency, time) keys that
+    are stored already, so later times of a known channel are kept however the
+    input is cut into batches.
+
+    Which keys are stored is kept in a table of its own, ``<path>_keys``, so a
     batch does not read the samples back. Both tables have one folder per batch;
     a batch that is replayed after a failure does not count itself as stored and
     overwrites its folders, so it is written in full and once.
     """
     spark = samples.sparkSession
-    key = ["antenna1", "antenna2", "freq"]
+    key = ["antenna1", "antenna2", "freq", time]
 
     def store(batch: DataFrame, number: int) -> None:
         try:
             stored = spark.read.schema(batch.select(*key).schema.add("batch", "long")).parquet(
                 f"{path}_keys")
-            batch = unseen_frequencies(batch, stored.where(F.col("batch") != number))
+            batch = batch.join(stored.where(F.col("batch") != number).select(*key), key,
+                               "left_anti")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":  # else nothing is stored yet
                 raise

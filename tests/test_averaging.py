@@ -70,6 +70,25 @@ def test_factors_are_bounded(vis_frame):
     assert tight.time_factor == 1
 
 
+def test_factors_count_times_not_samples(vis_frame):
+    """100 times of 8 channels and 2 polarisations."""
+    t, c, p = (x.ravel() for x in np.meshgrid(range(100), range(8), range(2), indexing="ij"))
+    df = vis_frame(antenna1=0 * t, antenna2=0 * t + 1, time=t / 86400.0, chan=c, pol=p,
+                   freq=1e8 + c * 1e5, u=t * 1e-6, v=0.0 * t, w=0.0 * t)
+    got = averaging.averaging_factors(df, "time", "chan", theta=0.1, step=1.0, max_seconds=10.0,
+                                      max_hertz=1e9).first()
+    assert got.time_factor == int(10 / (99 / 100)) == 10
+
+
+def test_missing_channels_do_not_move_slot_means(vis_frame):
+    """Two times, the second without channel 1: means are over times and channels."""
+    df = vis_frame(antenna1=[0] * 3, antenna2=[1] * 3, time=[0.0, 0.0, 3.0], chan=[0, 1, 0],
+                   pol=[0] * 3, freq=[1e8, 2e8, 1e8], u=[1.0, 1.0, 4.0], v=[0.0] * 3, w=[0.0] * 3,
+                   re=[1.0] * 3, im=[0.0] * 3, weight=[1.0] * 3)
+    got = averaging.coalesce(df, 2, 2).first()
+    assert (got.time, got.u, got.freq, got.n) == (1.5, 2.5, 1.5e8, 3)
+
+
 def test_ranges_wrap(vis_frame):
     a = np.array([3.0, -3.0])
     df = vis_frame(k=[1, 1], u=np.cos(a) * 10, v=np.sin(a) * 10, freq=[coords.SPEED_OF_LIGHT] * 2)

@@ -31,12 +31,28 @@ def test_visibility_store(spark, samples, tmp_path):
     path = str(tmp_path / "vis")
     store.write_visibilities(samples, path)
     assert same(store.read_visibilities(spark, path), samples)
-    near = store.read_visibilities(spark, path, ["u", "v"], 150.0, 320.0)
+    near = store.read_visibilities(spark, path, ["u", "v"], 150.0, 320.0, per_sample=True)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(length_class" in plan and "antenna1" not in plan
     length = (F.col("u") ** 2 + F.col("v") ** 2) ** 0.5
     assert near.count() == samples.where((length >= 150) & (length < 320)).count()
     assert store.read_visibility_tree(spark, path).count() == 60
+    # By baseline: whole or not at all, by the first sample in time.
+    pdf = samples.toPandas()
+    pdf["length"] = np.hypot(pdf["u"], pdf["v"])
+    first = pdf.sort_values(["time", "length"]).groupby(["antenna1", "antenna2"])["length"].first()
+    kept = first[(first >= 150) & (first < 320)].index
+    want = pdf.set_index(["antenna1", "antenna2"]).index.isin(kept).sum()
+    assert store.read_visibilities(spark, path, ["u"], 150.0, 320.0).count() == want
+
+
+def test_station_lines(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("name,x\nunits\nA, 1,2,3\n\nB,4,5,6\n")
+    got = store.read_station_csv(spark, str(tmp_path / "s.csv")).collect()
+    assert [(r.name, r.x, r.y, r.z) for r in got] == [("A", 1.0, 2.0, 3.0), ("B", 4.0, 5.0, 6.0)]
+    (tmp_path / "bad.csv").write_text("h\nh\nA,1,x,3\n")
+    with pytest.raises(Exception, match="CAST_INVALID|malformed"):
+        store.read_station_csv(spark, str(tmp_path / "bad.csv")).collect()
 
 
 def test_missing_weight_defaults_to_one(samples):
@@ -159,5 +175,9 @@ def test_raw_tracks_keep_the_tail(spark, tmp_path):
     z = np.arange(10) + 1j
     z.tofile(tmp_path / "vis-3-14.bin")
     z[:4].tofile(tmp_path / "vis-3-15.bin")
-    got = binary.read_raw_tracks(spark, str(tmp_path), 6, chunk=4).orderBy("i").toPandas()
+    with pytest.raises(Exception, match="too few values"):
+        binary.read_raw_tracks(spark, str(tmp_path), 6, chunk=4).collect()
+    z.tofile(tmp_path / "vis-3-15.bin")
+    got = binary.read_raw_tracks(spark, str(tmp_path), 6, chunk=4).where(
+        "antenna2 = 14").orderBy("i").toPandas()
     assert got["re"].tolist() == [4, 5, 6, 7, 8, 9] and set(got["antenna2"]) == {14}

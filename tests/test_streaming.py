@@ -67,3 +67,17 @@ def test_append_stream(spark, feed, tmp_path):
     run(0)                                   # next batch: one channel is known
     got = spark.read.parquet(out)
     assert got.count() == 8 and got.where("freq = 2e8").count() == 3
+    add(rows(range(5, 9), 1e8))              # later times of a known channel
+    run(0)
+    assert spark.read.parquet(out).where("freq = 1e8").count() == 9
+
+
+def test_average_of_the_open_windows(spark, feed, tmp_path):
+    path, add = feed
+    add(rows(range(0, 25), 1e8))
+    df = spark.read.parquet(path)
+    done = spark.createDataFrame([(datetime.datetime(2024, 1, 1), 10)], "start timestamp, n long")
+    rest = incremental.average_rest(df, done, ["antenna1"], "ts", "10 minutes").orderBy("start")
+    assert [r.n for r in rest.collect()] == [10, 5]
+    everything = incremental.average_rest(df, done.limit(0), ["antenna1"], "ts", "10 minutes")
+    assert everything.count() == 3

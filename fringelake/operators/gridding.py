@@ -8,18 +8,16 @@ the first aggregation depends on the grid, not on the number of samples.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringelake.functions.cplx import Cx, col
 from fringelake.model import GridSpec, required
-from fringelake.operators.lookup import lookup
-
-#: Kernels up to this many values are inlined as a literal array; larger ones
-#: are joined from a table.
-INLINE_KERNEL_VALUES = 20_000
-
+from fringelake.operators.lookup import broadcast_limit_bytes, lookup
 
 def _sums() -> list[Column]:
     return [F.sum("re").alias("re"), F.sum("im").alias("im")]
@@ -126,8 +124,9 @@ def kernel_rows(df: DataFrame, kernel: np.ndarray, name: str = "kernel") -> Data
     rows = [(yf, xf, np.real(kernel[yf, xf]).ravel().astype(float).tolist(),
              np.imag(kernel[yf, xf]).ravel().astype(float).tolist())
             for yf in range(q) for xf in range(q)]
-    return df.sparkSession.createDataFrame(
+    table = df.sparkSession.createDataFrame(
         rows, "yf int, xf int, kre array<double>, kim array<double>")
+    return F.broadcast(table) if 16 * kernel.size <= broadcast_limit_bytes(df) else table
 
 
 def inside_grid(n: int) -> Column:
@@ -167,7 +166,8 @@ def spread(parts: DataFrame, shape: tuple[int, int], n: int) -> DataFrame:
 
 
 def convgrid(df: DataFrame, spec: GridSpec, kernel: np.ndarray) -> DataFrame:
-    """Convolutional gridding with a full kernel [yf, xf, dy, dx]."""
+    """Convolutional gridding with a full kernel [yf, xf, dy, dx], which is
+    broadcast if it fits the session's threshold."""
     q, shape = kernel.shape[0], kernel.shape[2:]
     parts = df.groupBy(*[c.alias(k) for k, c in frac_cell_keys(spec, q).items()]).agg(*_sums())
     return spread(parts.join(kernel_rows(df, kernel), ["yf", "xf"]), shape, spec.n)
@@ -191,6 +191,53 @@ def convgrid_by_key(df: DataFrame, spec: GridSpec, keys: dict[str, Column], kern
     return spread(joined, (size, size), spec.n)
 
 
+#: Kernels that a task keeps while it grids.
+CACHED_KERNELS = 64
+
+
+def convgrid_made(df: DataFrame, spec: GridSpec, keys: dict[str, Column], make, q: int,
+                  conjugate: Column | None = None) -> DataFrame:
+    """Convolutional gridding where each sample's kernel ``make(*keys)``, of shape
+    [yf, xf, dy, dx], is made in the task that uses it.
+
+    Parts of equal (cell, offset, keys) are summed first, then range-partitioned by
+    keys and cell: a task makes only the kernels of its range, each once, and
+    a hot key is cut by its cells. No kernel is stored or shuffled. Tasks sum by cell
+    before they hand on.
+    """
+    flip = conjugate if conjugate is not None else F.lit(False)
+    by = frac_cell_keys(spec, q) | keys | {"_conj": flip}
+    names, n = list(keys), spec.n
+    parts = df.groupBy(*[c.alias(k) for k, c in by.items()]).agg(*_sums())
+
+    def grid_batches(batches):
+        kernel = lru_cache(CACHED_KERNELS)(lambda *key: np.asarray(make(*key), dtype=complex))
+        for batch in batches:
+            cells, values = [], []
+            for key, pdf in batch.groupby(names, sort=False):
+                kern = kernel(*key)
+                h, w = kern.shape[2:]
+                taps = kern[pdf["yf"].to_numpy(), pdf["xf"].to_numpy()]
+                turned = pdf["_conj"].to_numpy()[:, None, None]
+                value = np.where(turned, taps.conj(), taps) * (
+                    pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())[:, None, None]
+                y = pdf["y"].to_numpy()[:, None, None] + np.arange(h)[:, None] - h // 2
+                x = pdf["x"].to_numpy()[:, None, None] + np.arange(w) - w // 2
+                inside = (y >= 0) & (y < n) & (x >= 0) & (x < n)
+                cells.append((y * n + x)[inside])
+                values.append(value[inside])
+            if cells:
+                at, place = np.unique(np.concatenate(cells), return_inverse=True)
+                flat = np.concatenate(values)
+                yield pd.DataFrame({"y": at // n, "x": at % n,
+                                    "re": np.bincount(place, flat.real, len(at)),
+                                    "im": np.bincount(place, flat.imag, len(at))})
+
+    spread_out = parts.repartitionByRange(*names, "y", "x").mapInPandas(
+        grid_batches, "y long, x long, re double, im double")
+    return spread_out.groupBy("y", "x").agg(*_sums())
+
+
 def _gather(parts: DataFrame, key: list[str], cells: DataFrame, shape: tuple[int, int],
             n: int) -> DataFrame:
     """Reverse of :func:`spread`: kernel-weighted sum of grid cells per key."""

@@ -21,7 +21,8 @@ CELLS_PER_BLOCK = 1 << 20
 
 
 def block_rows(n: int) -> int:
-    return max(1, min(n, CELLS_PER_BLOCK // n))
+    """Rows of a block: an eighth of the plane, fewer where that is too much for a task."""
+    return max(1, min(-(-n // 8), CELLS_PER_BLOCK // n))
 
 
 def fft2(cells: DataFrame, n: int, *, inverse: bool = False, planes: list[str] = (),
@@ -69,21 +70,6 @@ def fft2(cells: DataFrame, n: int, *, inverse: bool = False, planes: list[str] =
             out[name] = value
         return out
 
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros((n, n), dtype=complex)
-        np.add.at(data, (pdf["y"].to_numpy(), pdf["x"].to_numpy()),
-                  pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
-        data = transform(data)
-        y, x = np.divmod(np.arange(n * n), n)
-        out = pd.DataFrame({"y": y, "x": x, "re": data.real.ravel(), "im": data.imag.ravel()})
-        for name, value in zip(planes, key):
-            out[name] = value
-        return out
-
-    if rows == n:
-        # The plane is one block: no need to hand rows over.
-        return cells.select(*planes, "y", "x", "re", "im").groupBy(*planes).applyInPandas(
-            whole, f"{plane_ddl}y long, x long, re double, im double")
     half = (cells.select(*planes, "y", "x", "re", "im", F.floor(F.col("y") / rows).alias("yb"))
             .groupBy(*planes, "yb").applyInPandas(
                 along_x, f"{plane_ddl}xb long, y long, re array<double>, im array<double>"))
@@ -131,8 +117,8 @@ def dirty_image(df: DataFrame, spec: GridSpec) -> DataFrame:
 
     Weights, image and psf come out of one aggregation of the samples. Both
     grids are hermitian, so their images are real and travel through one complex
-    transform as image + i psf. The peak is read from that same plan, so Spark
-    reuses its exchanges and the samples are scanned once.
+    transform as image + i psf. The psf peaks at its centre, where it is the mean
+    of the weight grid; that comes from the cell sums.
     """
     n = spec.n
     sums = gridding.weighted_cells(mirror(df), gridding.cell_keys(spec), spec)
@@ -143,7 +129,9 @@ def dirty_image(df: DataFrame, spec: GridSpec) -> DataFrame:
     both = F.explode(F.when(_has_twin(n), F.array(plain, twin)).otherwise(F.array(plain)))
     cells = sums.select(both.alias("c")).select("c.*").groupBy("y", "x").agg(
         F.sum("re").alias("re"), F.sum("im").alias("im"))
-    return _normalised(fft2(cells, n, inverse=True))
+    peak = sums.agg(F.sum(F.col("wt") * F.when(_has_twin(n), 2.0).otherwise(1.0))
+                    / float(n * n)).scalar()
+    return _normalised(fft2(cells, n, inverse=True), peak)
 
 
 def _has_twin(n: int) -> Column:
@@ -164,11 +152,11 @@ def image_with(df: DataFrame, spec: GridSpec, grid_fn: GridFn) -> DataFrame:
 def _image_pair(image: DataFrame, psf: DataFrame, n: int) -> DataFrame:
     """Transform image + i psf together and normalise by the psf peak."""
     turned = psf.select("y", "x", (-F.col("im")).alias("re"), F.col("re").alias("im"))
-    return _normalised(fft2(gridding.add_grids(image, turned), n, inverse=True))
+    both = fft2(gridding.add_grids(image, turned), n, inverse=True)
+    return _normalised(both, both.agg(F.max("im")).scalar())
 
 
-def _normalised(both: DataFrame) -> DataFrame:
-    peak = both.agg(F.max("im")).scalar()
+def _normalised(both: DataFrame, peak: Column) -> DataFrame:
     safe = F.when(peak > 0, peak).otherwise(F.raise_error(F.lit("the psf has no positive peak")))
     return both.select("y", "x", (F.col("re") / safe).alias("img"),
                        (F.col("im") / safe).alias("psf"), safe.alias("pmax"))

@@ -8,6 +8,7 @@ as a DataFrame and each task generates the kernels of its share.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -204,7 +205,7 @@ def nearest_listed(value: Column, axis: list[float]) -> Column:
     return F.array_min(entries)["a"]
 
 
-def w_cache_grid(df: DataFrame, spec: GridSpec, wstep: float, q: int, size: int,
+def w_cache_grid(df: DataFrame, spec: GridSpec, wstep: float, q: int,
                  make: Callable[[float], np.ndarray], half: bool = False) -> DataFrame:
     """w-projection: each sample uses the kernel of its nearest w-plane.
 
@@ -213,9 +214,7 @@ def w_cache_grid(df: DataFrame, spec: GridSpec, wstep: float, q: int, size: int,
     """
     plane = w_bin(F.col("w"), wstep)
     key, conj = {"plane": F.abs(plane) if half else plane}, (plane < 0) if half else None
-    kernels = kernel_table(df.select(key["plane"].alias("plane")).distinct(),
-                           lambda p: make(p * wstep), ["plane"])
-    return gridding.convgrid_by_key(df, spec, key, kernels, q, size, conj)
+    return gridding.convgrid_made(df, spec, key, lambda p: make(p * wstep), q, conj)
 
 
 def w_cache_degrid(df: DataFrame, spec: GridSpec, cells: DataFrame, wstep: float, q: int,
@@ -258,20 +257,41 @@ def w_slice_degrid(df: DataFrame, spec: GridSpec, cells: DataFrame, step: int, t
                                       kernels.drop("w_mean"), q, size)
 
 
-def aw_grid(df: DataFrame, spec: GridSpec, wstep: float, q: int, size: int,
-            make_a: Callable[[int], np.ndarray],
-            make_w: Callable[[float], np.ndarray]) -> DataFrame:
-    """Aw-projection: one kernel per (antenna pair, w-plane) that occurs.
+def aw_grid(df: DataFrame, spec: GridSpec, wstep: float, q: int,
+            make_a: Callable[..., np.ndarray], make_w: Callable[[float], np.ndarray], *,
+            times: list[float] | None = None, freqs: list[float] | None = None) -> DataFrame:
+    """Aw-projection: samples use the kernel of their antenna pair and w-plane.
 
-    Antenna kernels are functions of the antenna; only combinations present in
-    the data are convolved.
+    With ``times`` and ``freqs``, the axes of a set of antenna kernels, those of the
+    nearest time and frequency are taken: ``make_a(antenna, time, freq)``; it
+    gets the antenna alone without. Tasks make antenna and w-kernels once and
+    convolve the combinations of their samples; no table of combinations exists.
     """
     keys = {"antenna1": F.col("antenna1"), "antenna2": F.col("antenna2"),
             "plane": w_bin(F.col("w"), wstep)}
-    combos = df.select(*[c.alias(k) for k, c in keys.items()]).distinct()
-    kernels = kernel_table(combos, lambda a1, a2, p: aw_kernel(
-        make_a(a1), make_a(a2), make_w(p * wstep)), list(keys))
-    return gridding.convgrid_by_key(df, spec, keys, kernels, q, size)
+    if times is not None:
+        keys |= {"kt": nearest_listed(F.col("time"), times),
+                 "kf": nearest_listed(F.col("freq"), freqs)}
+    a_cached, w_cached = KernelCache(make_a), KernelCache(make_w)
+
+    def make(a1, a2, plane, *at):
+        return aw_kernel(a_cached(a1, *at), a_cached(a2, *at), w_cached(plane * wstep))
+
+    return gridding.convgrid_made(df, spec, keys, make, q)
+
+
+class KernelCache:
+    """Remembers a bounded number of kernels on the worker; travels empty."""
+
+    def __init__(self, make: Callable[..., np.ndarray], size: int = 256):
+        self.make, self.size = make, size
+        self.cached = lru_cache(size)(make)
+
+    def __call__(self, *key):
+        return self.cached(*key)
+
+    def __reduce__(self):
+        return KernelCache, (self.make, self.size)
 
 
 def far_field_table(planes: DataFrame, n: int, theta: float, wstep: float, *, dl: float = 0.0,

@@ -252,7 +252,7 @@ def w_kernel_table(spark, sf):
 
 @query("y x", "re im", digits=4, sql=W_GRID_SQL)
 def w_cache_grid(spark, sf):
-    return kernels.w_cache_grid(t.samples(spark, sf), G, WSTEP, WQ, WK, w_kernel)
+    return kernels.w_cache_grid(t.samples(spark, sf), G, WSTEP, WQ, w_kernel)
 
 
 @query("y x", "re im", digits=4, sql=f"""WITH {t.SAMPLES_SQL}, {w_kernel_sql("plane", PLANES_SQL)},
@@ -267,7 +267,7 @@ def w_cache_grid(spark, sf):
   FROM pt JOIN k2 USING (plane, yf, xf) GROUP BY 1, 2) AS c WHERE {INSIDE}""")
 def w_conjugate_grid(spark, sf):
     """Kernels for w >= 0 only, conjugated for the other half."""
-    return kernels.w_cache_grid(t.samples(spark, sf), G, WSTEP, WQ, WK, w_kernel, half=True)
+    return kernels.w_cache_grid(t.samples(spark, sf), G, WSTEP, WQ, w_kernel, half=True)
 
 
 @query("event_id", "re im", digits=5, sql=f"""WITH {t.SAMPLES_SQL}, {SOURCE_GRID_SQL},
@@ -346,7 +346,57 @@ kk AS (SELECT antenna1, antenna2, plane, yf, xf, y + wy + 1 AS dy, x + wx + 1 AS
   {w_kernel_sql("plane", PLANES_SQL).replace("kk AS", "kk0 AS")}, {A_SQL},
   {spread_sql("antenna1, antenna2, " + PLANE_KEY, "antenna1, antenna2, plane")}""")
 def aw_grid(spark, sf):
-    return kernels.aw_grid(t.samples(spark, sf), G, WSTEP, WQ, WK, a_kernel, w_kernel)
+    return kernels.aw_grid(t.samples(spark, sf), G, WSTEP, WQ, a_kernel, w_kernel)
+
+
+A_TIMES, A_FREQS = [0.0, 900.0, 1800.0], [1e8, 1.2e8]
+
+
+def a_kernel_at(ant: int, time: float, freq: float) -> np.ndarray:
+    """The antenna kernel, narrower with frequency and turning with time."""
+    d = np.arange(WK) - WK // 2
+    beam = np.exp(-(d[:, None] ** 2 + d[None, :] ** 2) * freq / 1e8 / (0.5 + 0.02 * ant))
+    return beam * np.exp(0.1j * (ant + time / 900) * d[None, :])
+
+
+def _nearest_sql(value: str, axis: list[float]) -> str:
+    rows = ", ".join(f"({i}, {a}e0)" for i, a in enumerate(axis))
+    return f"(SELECT arg_min(a, (abs({value} - a), i)) FROM (VALUES {rows}) AS k(i, a))"
+
+
+A_AT = (f"{_nearest_sql('time', A_TIMES)} AS kt, {_nearest_sql('freq', A_FREQS)} AS kf")
+A_AT_SQL = f"""vk AS (SELECT *, {A_AT} FROM vis),
+ak AS (SELECT ant, kt, kf, y, x,
+  exp(-(y * y + x * x) * kf / 1e8 / (0.5e0 + 0.02e0 * ant)) * cos(0.1e0 * (ant + kt / 900) * x) AS are,
+  exp(-(y * y + x * x) * kf / 1e8 / (0.5e0 + 0.02e0 * ant)) * sin(0.1e0 * (ant + kt / 900) * x) AS aim
+  FROM (SELECT ant, kt, kf, a.i - 1 AS y, b.i - 1 AS x FROM st,
+    (SELECT DISTINCT kt, kf FROM vk) AS tf, range({WK}) a(i), range({WK}) b(i)) AS q),
+cb AS (SELECT DISTINCT antenna1, antenna2, kt, kf, {PLANE_KEY} FROM vk),
+ap AS (SELECT antenna1, antenna2, kt, kf, a.y + b.y AS y, a.x + b.x AS x,
+  sum(a.are * b.are - a.aim * b.aim) AS pre, sum(a.are * b.aim + a.aim * b.are) AS pim
+  FROM (SELECT DISTINCT antenna1, antenna2, kt, kf FROM cb) AS c
+  JOIN (SELECT ant AS antenna1, * EXCLUDE ant FROM ak) AS a USING (antenna1, kt, kf)
+  JOIN (SELECT ant AS antenna2, * EXCLUDE ant FROM ak) AS b USING (antenna2, kt, kf)
+  WHERE a.y + b.y BETWEEN -1 AND 1 AND a.x + b.x BETWEEN -1 AND 1 GROUP BY ALL),
+wk AS (SELECT plane, yf, xf, dy - 1 AS wy, dx - 1 AS wx, kre AS wre, kim AS wim FROM kk0),
+kk AS (SELECT antenna1, antenna2, kt, kf, plane, yf, xf, y + wy + 1 AS dy, x + wx + 1 AS dx,
+  sum(pre * wre - pim * wim) AS kre, sum(pre * wim + pim * wre) AS kim
+  FROM cb JOIN ap USING (antenna1, antenna2, kt, kf) JOIN wk USING (plane)
+  WHERE y + wy BETWEEN -1 AND 1 AND x + wx BETWEEN -1 AND 1 GROUP BY ALL)"""
+
+
+@query("y x", "re im", digits=3, sql=f"""WITH {t.SAMPLES_SQL},
+  {w_kernel_sql("plane", PLANES_SQL).replace("kk AS", "kk0 AS")}, {A_AT_SQL},
+  pt AS (SELECT antenna1, antenna2, kt, kf, plane, y, yf, x, xf, sum(re) AS re, sum(im) AS im FROM (
+    SELECT antenna1, antenna2, {A_AT}, {PLANE_KEY}, y, yf, x, xf, re, im
+    FROM ({t.frac_cells_sql(WQ, "vis")}) AS q) AS q2 GROUP BY ALL)
+  SELECT * FROM (SELECT y + dy - {WK // 2} AS y, x + dx - {WK // 2} AS x,
+  sum(re * kre - im * kim) AS re, sum(re * kim + im * kre) AS im
+  FROM pt JOIN kk USING (antenna1, antenna2, kt, kf, plane, yf, xf) GROUP BY 1, 2) AS c WHERE {INSIDE}""")
+def aw_grid_time_freq(spark, sf):
+    """Antenna kernels of the nearest time and frequency."""
+    return kernels.aw_grid(t.samples(spark, sf), G, WSTEP, WQ, a_kernel_at, w_kernel,
+                           times=A_TIMES, freqs=A_FREQS)
 
 
 # -- far fields ---------------------------------------------------------------------------------------

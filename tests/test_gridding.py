@@ -116,9 +116,9 @@ def test_w_cache_uses_nearest_plane(vis_frame, data):
     df = vis_frame(**data)
     plane = 30.0 * np.round(data["w"] / 30.0)
     want = brute_conv(data, lambda i: make(plane[i]))
-    assert np.allclose(dense(kernels.w_cache_grid(df, SPEC, 30.0, 2, 5, make), N), want)
+    assert np.allclose(dense(kernels.w_cache_grid(df, SPEC, 30.0, 2, make), N), want)
     want = brute_conv(data, lambda i: np.conj(make(-plane[i])) if plane[i] < 0 else make(plane[i]))
-    assert np.allclose(dense(kernels.w_cache_grid(df, SPEC, 30.0, 2, 5, make, True), N), want)
+    assert np.allclose(dense(kernels.w_cache_grid(df, SPEC, 30.0, 2, make, True), N), want)
 
 
 def test_w_slices_use_mean(vis_frame, data):
@@ -156,7 +156,7 @@ def test_aw_kernel_matches_direct_convolution(vis_frame, data):
 
     def make_w(w):
         return kernels.w_kernel(SPEC.theta, w, 16, 3, 2)
-    grid = dense(kernels.aw_grid(df, SPEC, 60.0, 2, 3, lambda a: beams[a], make_w), N)
+    grid = dense(kernels.aw_grid(df, SPEC, 60.0, 2, lambda a: beams[a], make_w), N)
     assert np.allclose(grid, brute_conv(data, lambda i: kernels.aw_kernel(
         beams[a1[i]], beams[a2[i]], make_w(60.0 * np.round(data["w"][i] / 60.0)))))
 

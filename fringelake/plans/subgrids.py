@@ -62,9 +62,36 @@ def subgrid_overlaps(boxes: DataFrame, spacing: float, size: float) -> DataFrame
     return side(1).unionByName(side(-1)).distinct()
 
 
-def subgrid_work(overlaps: DataFrame) -> DataFrame:
+def chunk_tracks(tracks: DataFrame, times: int, time_step: float, time_chunk: int, freqs: int,
+                 freq_start: float, freq_step: float, freq_chunk: int) -> DataFrame:
+    """Baselines (bx, by, bz, ha0) cut into chunks of ``time_chunk`` times and
+    ``freq_chunk`` channels: (tchunk, fchunk) with the first and last hour angle
+    and frequency of each."""
+    def numbers(count: int, size: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit((count - 1) // size)))
+
+    cut = tracks.withColumn("tchunk", numbers(times, time_chunk)).withColumn(
+        "fchunk", numbers(freqs, freq_chunk))
+
+    def last(name: str, count: int, size: int) -> Column:
+        return F.least(F.lit(count), (F.col(name) + 1) * size) - 1
+
+    start = F.col("ha0")
+    return cut.withColumns({
+        "ha0": start + F.col("tchunk") * time_chunk * F.lit(float(time_step)),
+        "ha1": start + last("tchunk", times, time_chunk) * F.lit(float(time_step)),
+        "f0": F.lit(float(freq_start)) + F.col("fchunk") * freq_chunk * F.lit(float(freq_step)),
+        "f1": F.lit(float(freq_start)) + last("fchunk", freqs, freq_chunk) * F.lit(float(freq_step))})
+
+
+def chunk_counts(overlaps: DataFrame, baseline: tuple[str, ...] = ("antenna1", "antenna2")) -> DataFrame:
+    """Chunks of each baseline on each subgrid, of the overlaps of chunks."""
+    return overlaps.groupBy(*baseline, "iu", "iv").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def subgrid_work(counts: DataFrame) -> DataFrame:
     """Chunks per subgrid."""
-    return overlaps.groupBy("iu", "iv").agg(F.count(F.lit(1)).alias("chunks"))
+    return counts.groupBy("iu", "iv").agg(F.sum("chunks").alias("chunks"))
 
 
 def split_and_assign(work: DataFrame, workers: int, factor: int = 3) -> DataFrame:

@@ -147,6 +147,18 @@ def bin_biased_pick(spark, sf):
     return density.biased_pick(_boxes(spark, sf), 0.437)
 
 
+@query("bu bv bw nvis place", "cost", digits=3, sql=f"""{D}, {BOXES_SQL}, k AS (SELECT *,
+  1 + 2 * ceil({reach_sql(W_POS)} / {SPEC.ustep}) AS nw FROM tg),
+  dc AS (SELECT bu, bv, bw, sum(8 * n * power(ceil(sqrt(nw * nw + {SPEC.asize ** 2})), 2)) AS cost
+  FROM k GROUP BY 1, 2, 3)
+  SELECT bu, bv, bw, nvis, cost, row_number() OVER (ORDER BY cost DESC, bu, bv, bw) AS place
+  FROM bx JOIN dc USING (bu, bv, bw)""")
+def bins_by_cost(spark, sf):
+    """Boxes from the most to the least expensive, with their samples."""
+    tagged = _tagged(spark, sf)
+    return density.ranked_boxes(density.shrink(tagged), density.direct_cost(tagged, SPEC))
+
+
 # -- tracks ---------------------------------------------------------------------------------
 
 HA = 0.02
@@ -211,16 +223,46 @@ def subgrid_overlap(spark, sf):
     return _overlaps(spark, sf)
 
 
+# 10 times in chunks of 4, 6 channels in chunks of 2.
+CHUNKS = dict(times=10, time_step=HA / 9, time_chunk=4, freqs=6, freq_start=1e8, freq_step=4e6,
+              freq_chunk=2)
+CHUNK_SQL = f"""ck AS (SELECT antenna1, antenna2, bx, "by", bz, tchunk, fchunk,
+  ha0 + tchunk * 4 * {HA / 9:.17e} AS ha0, ha0 + (least(10, (tchunk + 1) * 4) - 1) * {HA / 9:.17e} AS ha1,
+  1e8 + fchunk * 2 * 4e6 AS f0, 1e8 + (least(6, (fchunk + 1) * 2) - 1) * 4e6 AS f1
+  FROM bh, range(3) a(tchunk), range(3) b(fchunk))"""
+CHUNK_OVER_SQL = f"""{CHUNK_SQL}, {ENDS_SQL.replace('FROM bh', 'FROM ck')}, {BBOX_SQL},
+  co AS (SELECT DISTINCT antenna1, antenna2, tchunk, fchunk, iu, iv FROM bb,
+  range(0, 30) a(iu), range(-30, 30) b(iv)
+  WHERE (u_min < iu * 20e0 + 10 AND u_max > iu * 20e0 - 10 AND v_min < iv * 20e0 + 10 AND v_max > iv * 20e0 - 10)
+  OR (-u_max < iu * 20e0 + 10 AND -u_min > iu * 20e0 - 10 AND -v_max < iv * 20e0 + 10 AND -v_min > iv * 20e0 - 10)),
+  ov AS (SELECT antenna1, antenna2, iu, iv, count(*) AS chunks FROM co GROUP BY 1, 2, 3, 4),
+  wk AS (SELECT iu, iv, CAST(sum(chunks) AS BIGINT) AS chunks FROM ov GROUP BY 1, 2)"""
+CK = f"WITH {t.TRACKS_METRES_SQL}, {TRACK_SQL}, {CHUNK_OVER_SQL}"
+
+
+def _chunk_counts(spark, sf):
+    tracks = _tracks(spark, sf).select("antenna1", "antenna2", "bx", "by", "bz", "ha0")
+    boxes = subgrids.bounding_boxes(subgrids.chunk_tracks(tracks, **CHUNKS), t.DEC)
+    return subgrids.chunk_counts(subgrids.subgrid_overlaps(boxes.select(
+        "antenna1", "antenna2", "tchunk", "fchunk", "u_min", "u_max", "v_min", "v_max"), 20.0, 20.0))
+
+
+@query("antenna1 antenna2 iu iv chunks", sql=f"{CK} SELECT * FROM ov")
+def subgrid_chunk_overlap(spark, sf):
+    """Time and frequency chunks of each baseline on each subgrid."""
+    return _chunk_counts(spark, sf)
+
+
 PIECES_SQL = """lim AS (SELECT CAST(greatest(3e0 * sum(chunks) / count(*), ceil(max(chunks) / 4e0)) AS BIGINT) AS lim
   FROM wk), lim2 AS (SELECT CAST(floor(greatest(3e0 * sum(chunks) / count(*), ceil(max(chunks) / 4e0))) AS BIGINT) AS lim
   FROM wk), pc AS (SELECT iu, iv, lim, chunks AS total, unnest(range(0, chunks, lim)) AS start FROM wk, lim2)"""
 
 
-@query("iu iv start chunks worker", sql=f"""{TRK}, {OVER_SQL}, {PIECES_SQL} SELECT iu, iv, start,
+@query("iu iv start chunks worker", sql=f"""{CK}, {PIECES_SQL} SELECT iu, iv, start,
   least(lim, total - start) AS chunks, (row_number() OVER (ORDER BY iu, iv, start) - 1) % 4 AS worker FROM pc""")
 def subgrid_work_balance(spark, sf):
-    """Subgrid work split and dealt to four workers."""
-    return subgrids.split_and_assign(subgrids.subgrid_work(_overlaps(spark, sf)), 4)
+    """Subgrid work, in chunks, split and dealt to four workers."""
+    return subgrids.split_and_assign(subgrids.subgrid_work(_chunk_counts(spark, sf)), 4)
 
 
 @query("j0 j1 worker sends", sql=f"""{TRK}, {OVER_SQL} SELECT j0, j1, (j0 * 4 + j1) % 3 AS worker,

@@ -14,24 +14,35 @@ from fringelake.operators.images import peak
 from fringelake.scratch import write_table
 
 
-def clean_plane(dirty: np.ndarray, psf: np.ndarray, gain: float, thresh: float, niter: int,
-                window: np.ndarray | None = None):
-    """Components and residual of one plane. ``window`` limits where components
-    may be placed; the stop test looks at the whole residual."""
-    res, comps = np.array(dirty, dtype=float), np.zeros(dirty.shape)
-    h, w = dirty.shape
-    py, px = np.unravel_index(np.abs(psf).argmax(), psf.shape)
-    scale = gain / psf.max()
+def clean_batch(dirty: np.ndarray, psf: np.ndarray, gain: float, thresh: float, niter: int,
+                window: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Components and residuals of planes [p, h, w], all in step.
+
+    Every round takes the strongest pixel of each open plane, inside ``window`` [p, h, w] if
+    given, and subtracts that plane's psf [p, ph, pw] with its own peak there. A plane
+    closes when nothing of its whole residual reaches ``thresh``.
+    """
+    planes, h, w = dirty.shape
+    res, comps = dirty.astype(float), np.zeros(dirty.shape)
+    flat = np.abs(psf).reshape(planes, -1)
+    peak_y, peak_x = np.divmod(flat.argmax(1), psf.shape[2])
+    scale = gain / psf.reshape(planes, -1).max(1)
+    # Any shift of the psf is a cut of it with a margin as wide as the image.
+    wide = np.pad(psf, ((0, 0), (h, h), (w, w)))
+    rows, cols = np.arange(h)[:, None], np.arange(w)
+    open_ = np.arange(planes)
     for _ in range(niter):
-        seen = np.abs(res) if window is None else np.where(window, np.abs(res), -np.inf)
-        y, x = np.unravel_index(seen.argmax(), res.shape)
-        value = res[y, x] * scale
-        comps[y, x] += value
-        y0, x0 = y - py, x - px
-        ys = slice(max(0, y0), min(h, y0 + psf.shape[0]))
-        xs = slice(max(0, x0), min(w, x0 + psf.shape[1]))
-        res[ys, xs] -= value * psf[ys.start - y0:ys.stop - y0, xs.start - x0:xs.stop - x0]
-        if np.abs(res).max() < thresh:
+        seen = np.abs(res[open_])
+        if window is not None:
+            seen = np.where(window[open_], seen, -1.0)
+        y, x = np.divmod(seen.reshape(len(open_), -1).argmax(1), w)
+        value = res[open_, y, x] * scale[open_]
+        np.add.at(comps, (open_, y, x), value)
+        shifted = wide[open_[:, None, None], (h + peak_y[open_] - y)[:, None, None] + rows,
+                       (w + peak_x[open_] - x)[:, None, None] + cols]
+        res[open_] -= value[:, None, None] * shifted
+        open_ = open_[np.abs(res[open_]).max((1, 2)) >= thresh]
+        if not len(open_):
             break
     return comps, res
 
@@ -41,37 +52,56 @@ def _check(gain: float, niter: int) -> None:
         raise ValueError("gain must lie in (0, 2) and niter must be positive")
 
 
-def hogbom_planes(planes: DataFrame, keys: list[str], psf: np.ndarray, shape: tuple[int, int], *,
-                  gain: float, thresh: float, niter: int, value: str = "plane") -> DataFrame:
+def hogbom_planes(planes: DataFrame, keys: list[str], psf: np.ndarray | str,
+                  shape: tuple[int, int], *, gain: float, thresh: float, niter: int,
+                  value: str = "plane", window: np.ndarray | str | None = None) -> DataFrame:
     """CLEAN one flattened plane per row: adds ``comps`` and ``residual`` arrays.
 
-    Planes are independent, so rows stay where they are: no shuffle.
+    ``psf`` and ``window`` are one array for all planes or the column that has each plane's
+    own (the psf then of the planes' shape). Planes are independent, so rows stay where they
+    are: no shuffle.
     """
     _check(gain, niter)
-    if psf.max() <= 0:
+    if not isinstance(psf, str) and psf.max() <= 0:
         raise ValueError("the psf has no positive peak")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in planes.select(*keys).schema.fields)
+    own = list(dict.fromkeys(c for c in (psf, window) if isinstance(c, str)))
+
+    def stacked(source, batch: pd.DataFrame, kind):
+        if source is None:
+            return None
+        if isinstance(source, str):
+            return np.stack(batch[source]).astype(kind).reshape(-1, *shape)
+        return np.broadcast_to(np.asarray(source, kind), (len(batch), *np.shape(source)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [clean_plane(np.asarray(p, float).reshape(shape), psf, gain, thresh, niter)
-                    for p in batch[value]]
-            yield batch[keys].assign(comps=[c.ravel() for c, _ in done],
-                                     residual=[r.ravel() for _, r in done])
-
-    return planes.select(*keys, value).mapInPandas(
+            if batch.empty:
+                continue
+            beams = stacked(psf, batch, float)
+            if (beams.max((1, 2)) <= 0).any():
+                raise ValueError("a psf has no positive peak")
+            comps, res = clean_batch(stacked(value, batch, float), beams, gain, thresh, niter,
+                                     stacked(window, batch, bool))
+            yield batch[keys].assign(comps=list(comps.reshape(len(batch), -1)),
+                                     residual=list(res.reshape(len(batch), -1)))
+
+    return planes.select(*keys, value, *own).mapInPandas(
         run, f"{schema}, comps array<double>, residual array<double>")
 
 
 def hogbom_image(dirty: DataFrame, psf: DataFrame, n: int, *, gain: float, thresh: float,
-                 niter: int, cut_every: int = 20) -> tuple[list[tuple[int, int, float]], DataFrame]:
+                 niter: int, cut_every: int = 20, window: DataFrame | None = None
+                 ) -> tuple[list[tuple[int, int, float]], DataFrame]:
     """CLEAN one n x n image of cells (y, x, value) that need not fit a task.
 
     The component sequence is serial by definition: each round is one
     distributed peak search, and the shifted psf is subtracted by a sum over the
     stacked tables. Only the peak reaches the driver. Lineage is cut every
-    ``cut_every`` rounds. Returns the components and the residual table.
+    ``cut_every`` rounds. Components are placed on the cells (y, x) of ``window`` if it is
+    given; the stop test looks at the whole residual. Returns the components and
+    the residual table.
     """
     _check(gain, niter)
     top = peak(psf, "value", n).first()
@@ -93,14 +123,21 @@ def hogbom_image(dirty: DataFrame, psf: DataFrame, n: int, *, gain: float, thres
                  .where(F.col("y").between(0, n - 1) & F.col("x").between(0, n - 1)))
         return res.unionByName(moved).groupBy("y", "x").agg(F.sum("value").alias("value"))
 
-    best = peak(res, "value", n).first()
-    for _ in range(niter):
+    def strongest(image: DataFrame):
+        if window is not None:
+            image = image.join(window.select("y", "x"), ["y", "x"], "left_semi")
+        return peak(image, "value", n).first()
+
+    best = strongest(res)
+    for _ in range(niter if best else 0):
         value = best.value * gain / pmax
         comps.append((best.y, best.x, value))
         pending.append(comps[-1])
         if len(pending) == cut_every:
             res, pending = write_table(applied()), []
-        best = peak(applied(), "value", n).first()
-        if abs(best.value) < thresh:
+        left = applied()
+        best = strongest(left)
+        highest = best if window is None else peak(left, "value", n).first()
+        if best is None or abs(highest.value) < thresh:
             break
     return comps, applied()

@@ -161,16 +161,16 @@ def plan(fps: DataFrame, limit: int) -> list[int]:
 
 
 def links_within(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among different fingerprints, as (root, member)."""
+    """A spanning forest of the links among different fingerprints."""
     rest, out = fp, []
     while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        front = [root]
+        front, rest = [rest[0]], rest[1:]
         while front and len(rest):
-            near = np.bitwise_count(rest ^ front.pop()) <= limit
+            at = front.pop()
+            near = np.bitwise_count(rest ^ at) <= limit
             if near.any():
                 front.extend(rest[near])
-                out.extend((int(root), int(x)) for x in rest[near])
+                out.extend((int(at), int(x)) for x in rest[near])
                 rest = rest[~near]
     return out
 

@@ -56,6 +56,7 @@ def test_candidates_beyond_the_base_are_added(spark, documents):
     """Numbers of a card's form without its check digit, where the check nearly always holds."""
     good = ["4539148803436467", "4012888888881881", "6011000990139424", "5555555555554444"]
     rows = [(i, f"my card {good[i % 4]} is") for i in range(4000)]
+    rows += [(6000 + i, f"id {i} {i + 7} and 4.{i}") for i in range(200)]
     rows += [(5000, "my card 4539148803436468 is"), (5001, "id 12 34")]
     got = {r.doc_id: r for r in pii.personal_data(documents(rows)).collect()}
     assert got[5000].n_card == 0 and got[5000].spans == "card:8:24"

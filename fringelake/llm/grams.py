@@ -10,10 +10,12 @@ _MULT = np.uint32(0x9E3779B1)
 _BASE = np.uint32(0x01000193)
 
 
-def gram_buckets(text: bytes, sizes: tuple[int, ...], bits: int) -> list[np.ndarray]:
+def gram_buckets(text: bytes, sizes: tuple[int, ...], bits: int, *,
+                 fold: bool = True) -> list[np.ndarray]:
     """For each size, the buckets of all n-grams of the text between blanks, repeats
-    included."""
-    data = np.frombuffer(b" " + text.translate(FOLD) + b" ", np.uint8).astype(np.uint32)
+    included; with `fold` letter case and kinds of white space don't count."""
+    text = text.translate(FOLD) if fold else text
+    data = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.uint32)
     out, h = [], np.zeros(len(data), np.uint32)
     with np.errstate(over="ignore"):
         for n in range(1, max(sizes) + 1):

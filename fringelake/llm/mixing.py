@@ -1,6 +1,6 @@
 """Operator 4: mixing to target weights by soft domain membership.
 
-A naive Bayes classifier on hashed byte n-grams, trained on labelled documents, gives each document the
+A naive Bayes classifier on hashed byte n-grams and repeated neighbouring words, trained on labelled documents, gives each document the
 posterior p of its domains; its sharpness is calibrated on labelled documents that it wasn't trained on. Rates r >= 0
 for all documents are fitted so that the expected tokens of every domain, the sum of r * tokens * p, meet
 target totals: projected gradient on the squared relative misses, starting from r = 1, with steps in
@@ -32,26 +32,34 @@ from fringelake.llm.grams import gram_buckets, parts_of
 
 SIZES = (2, 3)
 BITS = 15
+BUCKETS = (1 << BITS) + 2
 #: Labelled domains of the queries (quality 0 and 1) and their share of the mix.
 QUALITY = {"junk": 0.05, "prose": 0.95}
 
 
+def features(text: bytes):
+    """Buckets of all n-grams, and of every two neighbouring words whether they are the same."""
+    for part in parts_of(text):
+        yield from gram_buckets(part, SIZES, BITS, fold=False)
+    words = text.translate(SPACED).split()
+    same = np.array([a == b for a, b in zip(words, words[1:], strict=False)], np.int64)
+    yield (1 << BITS) + same
+
+
 @dataclass
 class Classifier:
     """Mean log-likelihoods of a text's n-grams by domain, scaled, plus the log prior."""
 
-    likelihood: np.ndarray  # (2^BITS, domains)
+    likelihood: np.ndarray  # (BUCKETS, domains)
     prior: np.ndarray
     scale: float = 1.0
 
     def means(self, text: bytes) -> np.ndarray:
         total, n = np.zeros(len(self.prior)), 0
-        for part in parts_of(text):
-            for h in gram_buckets(part, SIZES, BITS):
-                counts = np.bincount(h, minlength=1 << BITS) if len(h) > 1 << BITS else None
-                total += (counts @ self.likelihood if counts is not None
-                          else self.likelihood[h].sum(0))
-                n += len(h)
+        for h in features(text):
+            total += (np.bincount(h, minlength=BUCKETS) @ self.likelihood if len(h) > BUCKETS
+                      else self.likelihood[h].sum(0))
+            n += len(h)
         return total / max(n, 1)
 
     def posterior(self, text: bytes) -> np.ndarray:
@@ -74,28 +82,27 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], *, sample_rows:
 
     def count(batches):
         for batch in batches:
-            sums = np.zeros((k, 1 << BITS), np.int64)
+            sums = np.zeros((k, BUCKETS), np.int64)
             rows = np.zeros(k, np.int64)
             for y, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 rows[y] += 1
-                for part in parts_of(t):
-                    for h in gram_buckets(part, SIZES, BITS):
-                        sums[y] += np.bincount(h, minlength=1 << BITS)
+                for h in features(t):
+                    sums[y] += np.bincount(h, minlength=BUCKETS)
             y, b = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*y, *range(k)], pa.int64()), pa.array([*b, *[-1] * k], pa.int64()),
                  pa.array([*sums[y, b], *rows], pa.int64())], ["y", "bucket", "n"])
 
     got = (chosen.filter("train").mapInArrow(count, "y long, bucket long, n long")
-           .groupBy("y", "bucket").agg(F.sum("n")).collect())  # domains x 2^BITS at most
-    counts, rows = np.full((1 << BITS, k), 0.5), np.ones(k)
+           .groupBy("y", "bucket").agg(F.sum("n")).collect())  # domains x BUCKETS at most
+    counts, rows = np.full((BUCKETS, k), 0.5), np.ones(k)
     for y, b, n in got:
         if b < 0:
             rows[y] += n
         else:
             counts[b, y] += n
     if (rows == 1).any():
-        return Classifier(np.zeros((1 << BITS, k)), np.zeros(k))
+        return Classifier(np.zeros((BUCKETS, k)), np.zeros(k))
     out = Classifier(np.log(counts / counts.sum(0)), np.log(rows / rows.sum()))
     model = spark.sparkContext.broadcast(out)
 

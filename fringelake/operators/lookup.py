@@ -28,7 +28,7 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, parts: int) -> DataFram
 
 
 def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], *, max_rows: int | None,
-           row_bytes: int = 40, how: str = "left", salts: int = DEFAULT_SALTS,
+           row_bytes: int = 40, how: str = "left", salts: int | None = None,
            counts: DataFrame | None = None) -> DataFrame:
     """Join ``fact`` to the unique-key table ``dim``.
 
@@ -36,17 +36,22 @@ def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], *, max_rows: int |
     say), None if there is none. While that many rows fit the session's
     broadcast threshold, ``dim`` is broadcast and the fact table is not
     shuffled. Otherwise both sides shuffle, and keys that hold more than 1/salts
-    of the facts are spread over ``salts`` partitions, with their single
-    dimension row repeated. ``counts`` (*keys, n) saves counting the facts.
+    of the facts are spread over ``salts`` partitions, by the rows' place in the input so that
+    equal rows part too, with their single dimension row repeated. ``salts`` is the session's number of shuffle
+    partitions or DEFAULT_SALTS if that is more. ``counts`` (*keys, n) saves counting the facts.
     """
+    if salts is None:
+        conf = fact.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        salts = max(DEFAULT_SALTS, int(conf))
     if max_rows is not None and max_rows * row_bytes <= broadcast_limit_bytes(fact):
         return fact.join(F.broadcast(dim), keys, how)
     if counts is None:
         counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(hot_keys(counts, keys, "n", salts).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts)).cast("int")
-    left = (fact.join(hot, keys, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot"))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    left = (fact.withColumn("_spread", spread).join(hot, keys, "left")
+            .withColumn("_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(0))
+            .drop("_hot", "_spread"))
     right = (dim.join(hot, keys, "left")
              .withColumn("_salt", F.explode(
                  F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))

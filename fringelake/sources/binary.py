@@ -9,15 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringelake.sources.files import open_bytes, read_values
+
 FITS_BLOCK = 2880
 FITS_CARD = 80
 FITS_TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
-
-
 def fits_header(raw: bytes) -> dict:
     """Cards of a FITS header as a dict; stops at END."""
     cards = {}
@@ -41,7 +39,7 @@ def fits_header(raw: bytes) -> dict:
 
 def _read_fits_header(path: str) -> tuple[dict, int]:
     raw = b""
-    with open(_local(path), "rb") as f:
+    with open_bytes(path) as f:
         while True:
             block = f.read(FITS_BLOCK)
             raw += block
@@ -79,8 +77,8 @@ def read_fits_images(spark: SparkSession, path: str, rows_per_task: int = 256) -
             for r in batch.itertuples(index=False):
                 kind = np.dtype(FITS_TYPES[r.bitpix])
                 rows = min(rows_per_task, r.total - r.row)
-                data = np.fromfile(_local(r.path), kind, rows * r.width,
-                                   offset=r.offset + r.row * r.width * kind.itemsize)
+                data = read_values(r.path, kind, rows * r.width,
+                                   r.offset + r.row * r.width * kind.itemsize)
                 line = r.row + np.arange(rows * r.width) // r.width
                 yield pd.DataFrame({
                     "path": r.path, "freq": line // (r.height * r.pols),
@@ -92,6 +90,28 @@ def read_fits_images(spark: SparkSession, path: str, rows_per_task: int = 256) -
         pixels, "path string, freq long, pol long, y long, x long, value double")
 
 
+def read_fits_axes(spark: SparkSession, path: str) -> DataFrame:
+    """World coordinates of the images: one row (path, axis, size, kind, value, pixel, step) per
+    axis and file. Pixel i (from 0) of an axis lies at value + (i + 1 - pixel) * step."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .load(path).select("path"))
+
+    def axes(batches):
+        for batch in batches:
+            for name in batch["path"]:
+                cards, _ = _read_fits_header(name)
+                yield pd.DataFrame([{
+                    "path": name, "axis": i, "size": int(cards[f"NAXIS{i}"]),
+                    "kind": str(cards.get(f"CTYPE{i}", "")),
+                    "value": float(cards.get(f"CRVAL{i}", 0.0)),
+                    "pixel": float(cards.get(f"CRPIX{i}", 0.0)),
+                    "step": float(cards.get(f"CDELT{i}", 1.0))}
+                    for i in range(1, int(cards["NAXIS"]) + 1)])
+
+    return files.mapInPandas(axes, "path string, axis int, size long, kind string, value double, "
+                                   "pixel double, step double")
+
+
 def fits_image(values: np.ndarray, **cards) -> bytes:
     """Primary-image file of a small float64 array."""
     def card(name, value):
@@ -127,8 +147,8 @@ def read_raw_tracks(spark: SparkSession, path: str, expected: int,
     def load(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                data = np.fromfile(_local(r.path), "<c16", min(chunk, expected - r.first),
-                                   offset=16 * (r.skip + r.first))
+                data = read_values(r.path, "<c16", min(chunk, expected - r.first),
+                                   16 * (r.skip + r.first))
                 yield pd.DataFrame({"antenna1": r.antenna1, "antenna2": r.antenna2,
                                     "i": r.first + np.arange(len(data)),
                                     "re": data.real, "im": data.imag})

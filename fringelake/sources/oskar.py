@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringelake.sources.files import open_bytes
+
 # Format constants (fixed values).
 MAGIC = b"OSKARBIN"
 HEADER_BYTES = 64
@@ -39,10 +41,6 @@ INDEX_SCHEMA = ("path string, group int, tag int, index int, type int, "
                 "offset long, size long")
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
-
-
 def _headers(f, path: str, length: int) -> Iterator[tuple]:
     start = f.read(10)
     if start[:8] != MAGIC or start[9] not in (1, 2):
@@ -64,7 +62,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for name, length in batch[["path", "length"]].itertuples(index=False):
-                with open(_local(name), "rb") as f:
+                with open_bytes(name) as f:
                     rows = list(_headers(f, name, length))
                 yield pd.DataFrame(rows, columns=["path", "group", "tag", "index", "type",
                                                   "offset", "size"])
@@ -84,7 +82,7 @@ def decode_payload(raw: bytes, kind: int):
 
 
 def _read(name: str, offset: int, size: int, kind: int):
-    with open(_local(name), "rb") as f:
+    with open_bytes(name) as f:
         f.seek(offset)
         return decode_payload(f.read(size), kind)
 

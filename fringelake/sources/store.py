@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from fringelake.model import ANTENNA_SCHEMA, VISIBILITY_SCHEMA
 from fringelake.operators import antennas, visibility
+from fringelake.sources.files import read_text, write_text
 
 # -- visibilities -------------------------------------------------------------
 
@@ -133,6 +134,13 @@ NAMED_ARRAYS = {
 }
 
 
+def array_site(name: str) -> tuple[float, float]:
+    """Longitude and latitude of a known array in degrees."""
+    if name not in NAMED_ARRAYS:
+        raise ValueError(f"no configuration named {name}")
+    return NAMED_ARRAYS[name][4:]
+
+
 def read_named_array(spark: SparkSession, name: str, folder: str) -> DataFrame:
     """Antennas of a known array from its layout file in ``folder``."""
     if name not in NAMED_ARRAYS:
@@ -215,13 +223,11 @@ def load_rows(rows: DataFrame, real: bool = False) -> DataFrame:
 
 
 def write_parameters(params: dict, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(params, f, indent=1, sort_keys=True)
+    write_text(path, json.dumps(params, indent=1, sort_keys=True))
 
 
 def read_parameters(path: str) -> dict:
-    with open(path) as f:
-        return json.load(f)
+    return json.loads(read_text(path))
 
 
 def parameter(params: dict, key: str, default=None):

@@ -181,3 +181,15 @@ def test_raw_tracks_keep_the_tail(spark, tmp_path):
     got = binary.read_raw_tracks(spark, str(tmp_path), 6, chunk=4).where(
         "antenna2 = 14").orderBy("i").toPandas()
     assert got["re"].tolist() == [4, 5, 6, 7, 8, 9] and set(got["antenna2"]) == {14}
+
+
+def test_fits_axes_and_site(spark, tmp_path):
+    values = np.arange(12.0).reshape(3, 4)
+    (tmp_path / "a.fits").write_bytes(binary.fits_image(
+        values, CTYPE1="RA---SIN", CRVAL1=10.5, CRPIX1=2.0, CDELT1=-0.25))
+    got = binary.read_fits_axes(spark, str(tmp_path)).orderBy("axis").collect()
+    assert [(r.axis, r.size, r.kind, r.value, r.pixel, r.step) for r in got] == [
+        (1, 4, "RA---SIN", 10.5, 2.0, -0.25), (2, 3, "", 0.0, 0.0, 1.0)]
+    assert store.array_site("LOWBD2") == (116.4999, -26.7)
+    with pytest.raises(ValueError):
+        store.array_site("nowhere")

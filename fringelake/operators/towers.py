@@ -198,6 +198,33 @@ def snapshot_frame(df: DataFrame, centre: tuple[float, float],
     return transform_uv(turned, matrix), l, m, np.linalg.inv(matrix)
 
 
+def snapshot_grid(df: DataFrame, spec: GridSpec, centre: tuple[float, float],
+                  snapshot_centre: tuple[float, float], *, wstep: float, q: int, size: int,
+                  far_field: int) -> DataFrame:
+    """Grid of a w-snapshot, in the coordinates of ``centre``: its samples in their frame,
+    w-projected with kernels whose far field has the frame's shift and skew."""
+    framed, l, m, inverse = snapshot_frame(df, centre, snapshot_centre)
+
+    def make(plane):
+        return kernels.w_kernel(spec.theta, plane * wstep, far_field, size, q, dl=l, dm=m,
+                                transform=inverse)
+
+    return gridding.convgrid_made(framed, spec, {"plane": kernels.w_bin(F.col("w"), wstep)},
+                                  make, q)
+
+
+def snapshot_image(spec: GridSpec, snapshots: list[tuple[DataFrame, tuple]],
+                   centre: tuple[float, float], **kernel) -> DataFrame:
+    """Sum of the images of snapshots (samples, their centre): grids add up in the common
+    frame, so there is one transform."""
+    grids = [snapshot_grid(part, spec, centre, at, **kernel) for part, at in snapshots]
+    total = grids[0]
+    for grid in grids[1:]:
+        total = total.unionByName(grid)
+    cells = total.groupBy("y", "x").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return fft2(cells, spec.n, inverse=True)
+
+
 def antenna_delays(ants: DataFrame, screen: DataFrame, n: int, pixel: float, height: float,
                    directions: list[tuple[float, float]]) -> DataFrame:
     """Delay (seconds) of an n x n ionospheric screen above each antenna, one

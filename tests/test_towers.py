@@ -141,3 +141,29 @@ def test_gridding_is_used_by_image_with(vis_frame, lattice):
     a = images.dirty_image(df, SPEC).orderBy("y", "x").toPandas()
     b = images.image_with(df, SPEC, lambda d: gridding.grid(d, SPEC)).orderBy("y", "x").toPandas()
     assert np.allclose(a["img"], b["img"], atol=1e-9) and np.allclose(a["psf"], b["psf"], atol=1e-9)
+
+
+def test_snapshots_show_a_source_where_it_is(vis_frame):
+    """A source far off centre, seen through two snapshots whose own centres differ: its peak is at
+    its place and as high as it is, which it is not without the snapshots' kernels."""
+    rng = np.random.default_rng(3)
+    spec = GridSpec(0.2, 320.0)
+    n, centre = spec.n, (0.3, 0.6)
+    l0, m0 = 12 * spec.theta / n, -9 * spec.theta / n
+    u, v = rng.uniform(-110, 110, (2, 1500))
+    parts = []
+    for k, at in enumerate([(0.302, 0.597), (0.299, 0.604)]):
+        w = 40 * (1 - 2 * k) + 0.3 * u - 0.2 * v + rng.uniform(-5, 5, 1500)
+        vis = point(u, v, w, l0, m0)
+        df = vis_frame(u=u, v=v, w=w, re=vis.real, im=vis.imag)
+        parts.append((df, at))
+
+    def height(wstep):
+        image = dense(towers.snapshot_image(spec, parts, centre, wstep=wstep, q=4, size=15,
+                                            far_field=24), n).real * n * n / 3000
+        at = np.unravel_index(image.argmax(), image.shape)
+        return (int(at[0]) - n // 2, int(at[1]) - n // 2), image.max()
+
+    place, value = height(4.0)
+    assert place == (-9, 12) and value > 0.9
+    assert height(1e6)[1] < value - 0.2

@@ -35,7 +35,7 @@ FOREIGN = re.compile("[^\\x00-ɏ]|<\\|")
 #: save for the apostrophe.
 WORDS = re.compile(f"[{LETTER}]+|[{NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}{LETTER}{NUMBER}]+")
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE = 600_000
+CACHE = 900_000
 
 
 def load(path: str):
@@ -81,12 +81,15 @@ def lookup_all(split: list[list[str]], known: dict, learn) -> list[list]:
         known.clear()
         known.update(older)
     out = [list(map(known.get, pieces)) for pieces in split]
-    open_rows = [i for i, values in enumerate(out) if None in values]
-    if open_rows:
-        new = {p for i in open_rows for p, v in zip(split[i], out[i], strict=True) if v is None}
+    # Nearly every text has a new piece, so only the gaps are looked up again.
+    gaps = [(pieces, values, [j for j, v in enumerate(values) if v is None])
+            for pieces, values in zip(split, out, strict=True) if None in values]
+    new = {pieces[j] for pieces, _, at in gaps for j in at}
+    if new:
         learn(list(new))
-        for i in open_rows:
-            out[i] = list(map(known.__getitem__, split[i]))
+        for pieces, values, at in gaps:
+            for j in at:
+                values[j] = known[pieces[j]]
     return out
 
 

@@ -11,7 +11,7 @@ length. A document's run hashes are looked up among the sketches; for candidates
 themselves are compared as words. Nothing is estimated, so no contained item is lost.
 
 The benchmark is indexed in blocks of at most `block_runs` runs, which are broadcast one after another:
-memory is bounded and a benchmark of any size is searched.
+memory is bounded (about 20 bytes a run) and a benchmark of any size is searched.
 
 Null and empty texts, of items too, contain nothing and are in nothing. Repeated document rows are
 reported each; items of equal id count as one whose best text decides; null ids are kept; extra columns are ignored; an empty table on
@@ -21,7 +21,7 @@ either side gives no pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +44,17 @@ def runs_of(words: list[bytes], size: int = SIZE) -> list[tuple[bytes, ...]]:
     return list(zip(*(words[i:] for i in range(size)), strict=False))
 
 
+@lru_cache(4096)
+def runs_in(text: bytes) -> frozenset:
+    return frozenset(runs_of(words_of(text)))
+
+
 class Index:
-    """Sketches and runs of a block of items."""
+    """Sketches and texts of a block of items; runs are made for candidates only."""
 
     def __init__(self, items: list[tuple], threshold: float):
         self.ids = [i for i, _ in items]
-        self.runs = [frozenset(runs_of(words_of(t))) for _, t in items]
+        self.texts = [t for _, t in items]
         self.threshold = threshold
         hashes, owners = [], []
         for k, (_, text) in enumerate(items):
@@ -76,7 +81,8 @@ class Index:
             return []
         have, best = set(runs_of(words)), {}
         for k in sorted(owners):
-            shared, n = len(self.runs[k] & have), len(self.runs[k])
+            wanted = runs_in(self.texts[k])
+            shared, n = len(wanted & have), len(wanted)
             if shared >= self.threshold * n - 1e-9:
                 old = best.get(self.ids[k])
                 if old is None or shared * old[1] > old[0] * n:
@@ -104,7 +110,7 @@ def index_blocks(benchmark: DataFrame, threshold: float, block_runs: int) -> Ite
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8,
-                    block_runs: int = 1 << 20) -> DataFrame:
+                    block_runs: int = 1 << 22) -> DataFrame:
     """One row per document row and item in it: doc_id, item_id, shared_runs, item_runs, containment."""
     spark = docs.sparkSession
     prepare(spark)
@@ -132,7 +138,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, threshold: float =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8,
-                      block_runs: int = 1 << 20) -> DataFrame:
+                      block_runs: int = 1 << 22) -> DataFrame:
     """The document rows, all columns, that contain no item."""
     prepare(docs.sparkSession)
     for index in index_blocks(benchmark, threshold, block_runs):

@@ -1,7 +1,7 @@
 """Operator 9: URL rules indexed by their rarest literal token.
 
 A rule is a regular expression on host + path with the literal tokens that every match
-contains whole. Rules of hosts (`example.net/en/`: the host and all its subdomains, paths
+contains whole, between borders that are anything but a-z and 0-9, capitals too. Rules of hosts (`example.net/en/`: the host and all its subdomains, paths
 from there on) are turned into such rules. Each rule is filed under the token of its own
 that is rarest in the urls at hand; the tokens of a url fetch candidate rules by an equality
 join, and only these run their expression. Rules without a literal token are tried on
@@ -41,18 +41,20 @@ def host_rule(rule: str, verdict: str) -> Rule:
     """`example.net/en/` as a pattern on host + path."""
     host, _, path = rule.partition("/")
     regex = r"^(?:[^/]*\.)?" + re.escape(f"{host}/{path}")
-    return Rule(rule, verdict, regex, _tokens(rule), True)
+    # A match may go on within the last word of a path that is open at its end.
+    whole = re.sub("[a-z0-9]+$", "", path)
+    return Rule(rule, verdict, regex, _tokens(f"{host}/{whole}"), True)
 
 
 def word_rule(words: str, verdict: str = "block") -> Rule:
     """Whole words of a host or path, joined by a hyphen, underscore or dot."""
     parts = words.split()
     regex = "(?:^|[^a-z0-9])" + "[-_.]".join(map(re.escape, parts)) + "(?:[^a-z0-9]|$)"
-    return Rule(words, verdict, regex, tuple(parts))
+    return Rule(words, verdict, regex, _tokens(words))
 
 
 def _tokens(text: str) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(t for t in re.split(r"[^a-z0-9]+", text.lower()) if t))
+    return tuple(dict.fromkeys(t for t in re.split(r"[^a-z0-9]+", text) if t))
 
 
 HOST_RULES = [host_rule("net/", "block"), host_rule("example.net/en/", "allow"),
@@ -106,7 +108,7 @@ def judge_urls(pages: DataFrame, *, host_rules: list[Rule] = HOST_RULES,
     urls = (rows.select(F.concat("host", "path").alias("site")).filter("site <> ''")
             .groupBy("site").count())
     tokens = urls.select("site", F.explode(F.array_distinct(F.split(
-        F.lower("site"), "[^a-z0-9]+"))).alias("token")).filter("token <> ''")
+        "site", "[^a-z0-9]+"))).alias("token")).filter("token <> ''")
     rules = [*host_rules, *pattern_rules]
     index = index_rules(tokens, rules)
     found = None

@@ -41,6 +41,28 @@ def test_rules(spark):
     assert sorted(map(tuple, got), key=key) == sorted(((i, *brute(u)) for i, u in rows), key=key)
 
 
+CAMEL = ["http://h.com/casinoOnline", "http://h.com/Axxx/", "http://h.com/myPORNsite", "http://h.com/XcasinoX-winY",
+         "http://h.com/Casino", "http://example.net/en/casinoA", "http://EXAMPLE.com/de/Xxx", "http://h.com/casinos"]
+
+
+def test_capitals_are_borders(spark, duck):
+    got = {r.page_id: tuple(r) for r in urls.judge_urls(frame(spark, list(enumerate(CAMEL)))).collect()}
+    assert got == {i: (i, *brute(u)) for i, u in enumerate(CAMEL)}
+    assert got[0][-1] == got[1][-1] == "block" and got[4][-1] == "allow"
+    want = duck(urls.oracle(), pages=pd.DataFrame({"page_id": range(len(CAMEL)), "url": CAMEL}))
+    assert {r.page_id: r.verdict for r in want.itertuples()} == {i: r[-1] for i, r in got.items()}
+
+
+def test_tokens_of_open_and_capital_rules(spark):
+    hosts = [urls.host_rule("example.net/en", "block"), urls.host_rule("example.com/Docs/", "block")]
+    rows = [(1, "http://example.net/english"), (2, "http://a.example.com/Docs/x"), (3, "http://example.com/docs/")]
+    got = urls.judge_urls(frame(spark, rows), host_rules=hosts, pattern_rules=[urls.word_rule("Big-win")])
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "block", 3: "allow"}
+    got = urls.judge_urls(frame(spark, [(1, "http://h.com/Big-win")]), host_rules=[],
+                          pattern_rules=[urls.word_rule("Big-win")])
+    assert got.first().verdict == "block"
+
+
 def test_oracle(spark, duck):
     pages = pd.DataFrame({"page_id": range(len(URLS)), "url": URLS})
     want = duck(urls.oracle(), pages=pages)

@@ -254,9 +254,14 @@ def drop_near_duplicates(docs: DataFrame, *, limit: int = 2, size: int = 3) -> D
     id the one of smallest text hash, of equal ones any."""
     rows, _ = save(fingerprints(docs, size), "fingerprints")
     fps, labels = _members(rows, limit)
-    kept = _firsts(fps, labels).select(F.col("best.doc_id").alias("k_id"),
-                                       F.col("best.text_hash").alias("k_hash")).distinct()
     times = rows.groupBy("doc_id", "text_hash").count().filter("count > 1")
+    return one_row_each(docs, _firsts(fps, labels), times)
+
+
+def one_row_each(docs: DataFrame, firsts: DataFrame, times: DataFrame) -> DataFrame:
+    """The rows of `docs` that `best` of `firsts` names; of those that `times` has as repeated, one."""
+    kept = firsts.select(F.col("best.doc_id").alias("k_id"),
+                         F.col("best.text_hash").alias("k_hash")).distinct()
     kept, _ = save(kept.join(times, F.col("k_id").eqNullSafe(F.col("doc_id")) & (
         F.col("k_hash") == F.col("text_hash")), "left").select(
             "k_id", "k_hash", F.coalesce("count", F.lit(1)).alias("k_times")), "kept")

@@ -2,7 +2,9 @@
 
 Texts are words (A-Z lower-cased, ASCII punctuation and white space apart) and sets of runs
 of five words; a text of fewer words is one run of all of them. An item is contained in a document that
-has at least `threshold` of the item's runs.
+has at least `threshold` of the item's runs. With `short_inside`, which the pipeline sets, an item of fewer than five
+words is looked for among the document's runs of its own length, so it is found anywhere; without it, as in
+the query's SQL, only in a document of just these words.
 
 Items are partitioned by size, in powers of two. Of an item with n runs in a partition up to u, the
 floor((1 - threshold) u) + 1 runs of least hash (or all) are its sketch: a document that
@@ -52,13 +54,19 @@ def runs_in(text: bytes) -> frozenset:
 class Index:
     """Sketches and texts of a block of items; runs are made for candidates only."""
 
-    def __init__(self, items: list[tuple], threshold: float):
+    def __init__(self, items: list[tuple], threshold: float, short_inside: bool = False):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.threshold = threshold
-        hashes, owners = [], []
+        #: By number of words, the items of fewer than SIZE words by their only run.
+        self.short: dict[int, dict[tuple, list[int]]] = {}
+        hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for k, (_, text) in enumerate(items):
-            h = np.unique(shingle_hashes(word_hashes(words_of(text)), SIZE))
+            words = words_of(text)
+            if short_inside and len(words) < SIZE:
+                self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(k)
+                continue
+            h = np.unique(shingle_hashes(word_hashes(words), SIZE))
             bound = 1 << max(len(h) - 1, 0).bit_length()
             least = h[:int((1 - threshold) * bound + 1e-9) + 1]
             hashes.append(least)
@@ -77,9 +85,14 @@ class Index:
         low = np.searchsorted(self.hashes, hits, "left")
         high = np.searchsorted(self.hashes, hits, "right")
         owners = {int(k) for a, b in zip(low, high, strict=True) for k in self.owners[a:b]}
+        best = {}
+        for size, items in self.short.items():
+            if len(words) >= size:
+                best.update((self.ids[k], (1, 1)) for run in items.keys() & set(runs_of(words, size))
+                            for k in items[run])
         if not owners:
-            return []
-        have, best = set(runs_of(words)), {}
+            return [(i, *v) for i, v in best.items()]
+        have = set(runs_of(words))
         for k in sorted(owners):
             wanted = runs_in(self.texts[k])
             shared, n = len(wanted & have), len(wanted)
@@ -90,7 +103,8 @@ class Index:
         return [(i, *v) for i, v in best.items()]
 
 
-def index_blocks(benchmark: DataFrame, threshold: float, block_runs: int) -> Iterator[Index]:
+def index_blocks(benchmark: DataFrame, threshold: float, block_runs: int,
+                 short_inside: bool = False) -> Iterator[Index]:
     """The items, block by block; no more than a block is on the driver."""
     held, size = [], 0
     rows = (benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -101,16 +115,16 @@ def index_blocks(benchmark: DataFrame, threshold: float, block_runs: int) -> Ite
         if not n:
             continue
         if held and size + n > block_runs:
-            yield Index(held, threshold)
+            yield Index(held, threshold, short_inside)
             held, size = [], 0
         held.append((item, data))
         size += n
     if held:
-        yield Index(held, threshold)
+        yield Index(held, threshold, short_inside)
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8,
-                    block_runs: int = 1 << 22) -> DataFrame:
+                    block_runs: int = 1 << 22, short_inside: bool = False) -> DataFrame:
     """One row per document row and item in it: doc_id, item_id, shared_runs, item_runs, containment."""
     spark = docs.sparkSession
     prepare(spark)
@@ -118,7 +132,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, threshold: float =
                        F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, shared_runs long, item_runs long"
     found = []
-    for index in index_blocks(benchmark, threshold, block_runs):
+    for index in index_blocks(benchmark, threshold, block_runs, short_inside):
         shared = spark.sparkContext.broadcast(index)  # block_runs bounds it
 
         def run(batches, shared=shared):
@@ -138,10 +152,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, threshold: float =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8,
-                      block_runs: int = 1 << 22) -> DataFrame:
+                      block_runs: int = 1 << 22, short_inside: bool = False) -> DataFrame:
     """The document rows, all columns, that contain no item."""
     prepare(docs.sparkSession)
-    for index in index_blocks(benchmark, threshold, block_runs):
+    for index in index_blocks(benchmark, threshold, block_runs, short_inside):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared, at=docs.columns.index("text")):

@@ -61,6 +61,31 @@ def test_against_brute_force(spark, documents):
             key((i,))[0] for i, _ in rows if i not in bad)
 
 
+def test_short_items_inside_long_documents(spark, documents, tmp_path):
+    rows, items = rows_and_items()
+    items += [(40, "Zymurgy"), (41, "two, words"), (42, "three words here"), (41, "or two others")]
+    rows += [(600, "now zymurgy. " + "again " * 40), (601, "just two words"), (602, "of three words only"),
+             (603, "zymurgyx two other words"), (604, "two"), (605, "five words and or two others")]
+    want = {(i, k): v for i, k, *v in brute(rows, items)}
+    for i, t in rows:
+        text = f" {b' '.join(d.words_of((t or '').encode())).decode()} "
+        for k, x in items:
+            words = b" ".join(d.words_of((x or "").encode())).decode()
+            if words and len(words.split()) < 5 and f" {words} " in text:
+                want[i, k] = [1, 1]
+    assert {(501, 32), (600, 40), (601, 41), (605, 41)} <= set(want)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 100):
+        got = d.contained_items(documents(rows), bench, block_runs=block, short_inside=True).collect()
+        assert {(r[0], r[1]) for r in got} == set(want)
+        assert block == 100 or {(r[0], r[1]): [r[2], r[3]] for r in got} == want
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    import corpus_pipeline
+    kept = corpus_pipeline.without_benchmark(spark, documents(rows), str(tmp_path))
+    assert sorted(key((r.doc_id,)) for r in kept.collect()) == sorted(
+        key((i,)) for i, _ in rows if i not in {w[0] for w in want})
+
+
 def test_oracle(spark, documents, duck):
     rows, items = rows_and_items()
     rows = [r for r in rows if r[0] is not None and r[0] != 503]

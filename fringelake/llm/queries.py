@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringelake.llm import binary, decontaminate, lm, mixing, pii, simhash, tokens, topk, toxicity, urls
+from fringelake.llm import binary, decontaminate, lm, mixing, periodic, pii, simhash, tokens, topk, toxicity, urls
 from fringelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op10_benchmark_containment(spark, sf_dir):
 
 ORACLES["op10_benchmark_containment"] = decontaminate.oracle()
 ORACLES["op2_exact_top_k"] = topk.oracle()
+
+
+@_query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.run_digests(periodic.periodic_runs(periodic.looped(table(spark, sf_dir, "documents"))))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringelake.llm import binary, decontaminate, lm, mixing, periodic, pii, simhash, tokens, topk, toxicity, urls
+from fringelake.llm import (alignment, binary, decontaminate, lm, mixing, periodic, pii, simhash, substrings, tokens, topk,
+                            toxicity, urls)
 from fringelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,13 @@ ORACLES["op2_exact_top_k"] = topk.oracle()
 @_query
 def op11_periodic_runs(spark, sf_dir):
     return periodic.run_digests(periodic.periodic_runs(periodic.looped(table(spark, sf_dir, "documents"))))
+
+
+@_query
+def op12_token_alignment(spark, sf_dir):
+    return alignment.alignment_digests(alignment.alignments(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op13_repeated_passages(spark, sf_dir):
+    return substrings.kept_digests(substrings.repeated_passages(table(spark, sf_dir, "documents")))

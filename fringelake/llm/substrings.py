@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringelake.llm.common import combine, prepare, save, texts_of, word_hashes
+from fringelake.llm.common import combine, prepare, save, texts_of
 from fringelake.llm.suffix import suffix_order
 
 #: Words of the run that routes a window.
@@ -41,22 +41,40 @@ WINDOWS = 64
 NOBODY = np.iinfo(np.int64).max
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hash_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word, eight bytes at a time."""
+    size = (ends - starts).astype(np.uint64)
+    at = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    out, open_, k = size * _MIX, np.arange(len(starts)), 0
+    while len(open_):
+        left = np.minimum(ends[open_] - starts[open_] - k, 8)
+        block = at[starts[open_] + k] & (~np.uint64(0) >> (np.uint64(64) - 8 * left.astype(np.uint64)))
+        mixed = (out[open_] ^ block) * _MIX
+        out[open_] = mixed ^ (mixed >> np.uint64(29))
+        k += 8
+        open_ = open_[ends[open_] - starts[open_] > k]
+    return out * _MIX
+
+
 class Texts:
     """The words of a chunk of documents as one value: words part by a space, documents by a line feed."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, documents: int):
         self.data = data
-        docs = data.split(b"\n") if data else [b""]
-        self.docs = [d.split() for d in docs]
-        n = np.array(list(map(len, self.docs)), np.int64)
-        self.bounds = np.concatenate([[0], np.cumsum(n)])
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.hashes = word_hashes([w for d in self.docs for w in d])
-        size = np.fromiter((len(w) for d in self.docs for w in d), np.int64, self.bounds[-1])
-        # One byte parts words, also of different documents; an empty document adds another.
-        empty = np.cumsum(n == 0)
-        self.starts = np.cumsum(size + 1) - size - 1 + empty[self.doc]
-        self.ends = self.starts + size
+        raw = np.frombuffer(data, np.uint8)
+        parts = np.flatnonzero((raw == 32) | (raw == 10))
+        starts, ends = np.append(0, parts + 1), np.append(parts, len(raw))
+        doc = np.cumsum(np.append(0, raw[parts] == 10))
+        #: Bytes of each document.
+        self.edges = np.stack([np.append(0, np.flatnonzero(raw == 10) + 1),
+                               np.append(np.flatnonzero(raw == 10), len(raw))], axis=1)
+        words = starts < ends
+        self.starts, self.ends, self.doc = starts[words], ends[words], doc[words]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=documents))])
+        self.hashes = hash_words(data, self.starts, self.ends)
 
 
 def segments(texts: Texts, size: int, shards: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -101,6 +119,15 @@ def _distinct(texts: Texts, start: np.ndarray, count: np.ndarray, size: int) ->
     return cut.dictionary.to_pylist(), number, one
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed differences."""
+    return zstandard.compress(np.diff(values.astype(np.int64), prepend=0).tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.int64))
+
+
 class WaveletMatrix:
     """Codes, level by level from the highest bit, as packed bits with the ones before each 64."""
 
@@ -172,7 +199,9 @@ def least_ids(pieces: list[bytes], ids: np.ndarray, size: int) -> list[np.ndarra
     found = []
     while len(lane):
         code = codes[starts[lane] + at + size - 1 - depth]
-        lo, hi = index.extend(code, lo, hi)
+        lo, hi = np.where(depth == 0, index.before[code], lo), np.where(depth == 0, index.before[code + 1], hi)
+        on = np.flatnonzero(depth)
+        lo[on], hi[on] = index.extend(code[on], lo[on], hi[on])
         depth = depth + 1
         single, whole = hi - lo == 1, depth == size
         hit = whole & ~single
@@ -202,8 +231,9 @@ def match_shard(rows: list[tuple], size: int) -> list[tuple]:
     pieces = [zstandard.decompress(r[1]).split(b"\n") for r in rows]
     cut = pa.array([p for ps in pieces for p in ps], pa.large_binary()).dictionary_encode()
     number, texts = cut.indices.to_numpy().astype(np.int64), cut.dictionary.to_pylist()
-    run, least, greatest = (np.concatenate([np.frombuffer(r[k], t) for r in rows])
-                            for k, t in ((2, "<u4"), (3, "<i8"), (4, "<i8")))
+    run = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
+    least, greatest = (np.concatenate([unpack_numbers(r[k]) for r in rows]) for k in (3, 4))
+    greatest = greatest + least
     ids, runs = np.full(len(texts), NOBODY), np.empty(len(texts), np.int64)
     np.minimum.at(ids, number, least)
     runs[number] = run
@@ -230,8 +260,7 @@ def match_shard(rows: list[tuple], size: int) -> list[tuple]:
                 values.append(ids[t:t + 1])
         at += len(own)
         if held:
-            out.append((row[0], np.array(held, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(),
-                        zstandard.compress(np.concatenate(values).astype("<i8").tobytes())))
+            out.append((row[0], np.array(held), np.array(sizes), np.concatenate(values)))
     return out
 
 
@@ -251,9 +280,11 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, shard_bytes: int = SHA
     def pack(batches):
         for batch in batches:
             data = b"\n".join(b" ".join(t.split()) for t in texts_of(batch.column(1)))
-            texts = Texts(data)
+            texts = Texts(data, batch.num_rows)
             start, count, _, cell, _ = segments(texts, size, shards, nothing)
-            _, _, one = _distinct(texts, start, count, size)
+            # Equal segments count once; a sum of word hashes tells them apart well enough for that.
+            sums = np.append(np.uint64(0), np.cumsum(texts.hashes))
+            _, one = np.unique(sums[start + count + size - 1] - sums[start], return_index=True)
             cells, n = np.unique(cell[one], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
@@ -272,7 +303,7 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, shard_bytes: int = SHA
     def send(batches):
         for batch in batches:
             for chunk, doc_ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                texts = Texts(zstandard.decompress(data))
+                texts = Texts(zstandard.decompress(data), len(doc_ids))
                 start, count, run, _, shard = segments(texts, size, shards, hot.value)
                 if not len(start):
                     continue
@@ -289,8 +320,8 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, shard_bytes: int = SHA
                         [pa.array([int(shard[part[0]])]), pa.array([chunk], pa.int64()),
                          *[pa.array([v], pa.binary()) for v in (
                              zstandard.compress(b"\n".join([pieces[k] for k in part.tolist()])),
-                             run[part].astype("<u4").tobytes(), least[part].tobytes(), greatest[part].tobytes(),
-                             part.astype("<u4").tobytes())]],
+                             run[part].astype("<u4").tobytes(), pack_numbers(least[part]),
+                             pack_numbers(greatest[part] - least[part]), pack_numbers(part))]],
                         ["shard", "chunk", "segments", "runs", "least", "greatest", "numbers"])
 
     sent = chunks.select("chunk", "doc_ids", "data").mapInArrow(
@@ -300,11 +331,11 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, shard_bytes: int = SHA
         held, shard = [], None
 
         def done():
-            numbers = {r[0]: np.frombuffer(r[5], "<u4") for r in held}
+            numbers = {r[0]: unpack_numbers(r[5]) for r in held}
             for chunk, at, sizes, values in match_shard(held, size):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int64()), *[pa.array([v], pa.binary()) for v in (
-                        numbers[chunk][np.frombuffer(at, "<u4")].tobytes(), sizes, values)]],
+                        pack_numbers(numbers[chunk][at]), pack_numbers(sizes), pack_numbers(values))]],
                     ["chunk", "numbers", "sizes", "ids"])
 
         for batch in batches:
@@ -323,32 +354,30 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, shard_bytes: int = SHA
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for doc_ids, data in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "data")), strict=True):
-            texts = Texts(zstandard.decompress(data))
+            texts = Texts(zstandard.decompress(data), len(doc_ids))
             start, count, _, _, _ = segments(texts, size, shards, hot.value)
             _, number, one = _distinct(texts, start, count, size)
-            cover = np.zeros(len(texts.hashes) + 1, np.int64)
-            found = [right.column(c).to_pylist() for c in ("numbers", "sizes", "ids")]
-            told = [np.empty(0, np.int64) for _ in one]
-            for numbers, sizes, values in zip(*found, strict=True):
-                sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
-                values = np.frombuffer(zstandard.decompress(values), "<i8")
-                for k, part in zip(np.frombuffer(numbers, "<u4").tolist(),
-                                   np.split(values, np.cumsum(np.maximum(sizes, 1))[:-1]), strict=True):
-                    told[k] = part
+            numbers, sizes, values = (np.concatenate([nothing, *map(unpack_numbers, right.column(c).to_pylist())])
+                                      for c in ("numbers", "sizes", "ids"))
+            # Where the values of each segment start; segments without windows of their own have one for all.
+            first, step = np.full(len(one), -1), np.ones(len(one), np.int64)
+            first[numbers] = np.cumsum(np.maximum(sizes, 1)) - np.maximum(sizes, 1)
+            step[numbers] = sizes > 0
             ids = np.array([-NOBODY if i is None else i for i in doc_ids], np.int64)[texts.doc[start]]
-            some = np.flatnonzero(np.array(list(map(len, told)), np.int64)[number] > 0)
-            for k in some.tolist():
-                windows = np.flatnonzero(np.broadcast_to(told[number[k]], count[k]) < ids[k])
-                if len(windows):
-                    np.add.at(cover, start[k] + windows, 1)
-                    np.add.at(cover, start[k] + windows + size, -1)
-            keep = np.cumsum(cover)[:-1] == 0
+            some = np.flatnonzero(first[number] >= 0)
+            n = count[some]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            least = values[np.repeat(first[number[some]], n) + inner * np.repeat(step[number[some]], n)]
+            opens = np.zeros(len(texts.hashes) + size, np.int64)
+            opens[(np.repeat(start[some], n) + inner)[least < np.repeat(ids[some], n)]] = 1
+            opened = np.cumsum(opens)
+            keep = opened[:len(texts.hashes)] == np.append(np.zeros(size, np.int64), opened)[:len(texts.hashes)]
             n = np.diff(texts.bounds)
             kept = np.bincount(texts.doc[keep], minlength=len(n))
             whole = (kept == n).tolist()
-            parts = [b" ".join(ws if whole[d] else [w for w, k in zip(
-                ws, keep[texts.bounds[d]:texts.bounds[d + 1]].tolist(), strict=True) if k])
-                for d, ws in enumerate(texts.docs)]
+            parts = [texts.data[a:b] if whole[d] else b" ".join([w for w, k in zip(
+                texts.data[a:b].split(), keep[texts.bounds[d]:texts.bounds[d + 1]].tolist(), strict=True) if k])
+                for d, (a, b) in enumerate(texts.edges.tolist())]
             out.append(pa.table([pa.array(doc_ids, pa.int64()), n, n - kept,
                                  pa.array(parts, pa.binary()).cast(pa.string())], names=KEPT))
         return pa.concat_tables(out) if out else pa.table(

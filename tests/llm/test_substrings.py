@@ -97,9 +97,19 @@ def test_wavelet_matrix_and_backward_search():
         assert sorted(index.order[lo[0]:hi[0]].tolist()) == want
 
 
+def test_word_hashes():
+    words = [b"a", b"b", b"ab", b"a" * 8, b"a" * 9, b"a" * 16, b"a" * 17, "\u00e9".encode(), b"a\x00", b"z" * 5000]
+    texts = substrings.Texts(b" ".join([*words, *words]), 1)
+    got = texts.hashes.tolist()
+    assert got[:10] == got[10:] and len(set(got)) == 10
+
+
 def test_texts_and_segments_cover_all_windows():
     docs = [b"", b"a b c d e f g h i j k l m n o", b"", b"x y", b"a b c d e f g h i j k l m", b""]
-    texts = substrings.Texts(b"\n".join(docs))
+    texts = substrings.Texts(b"\n".join(docs), len(docs))
+    assert [texts.data[a:b] for a, b in texts.edges] == docs
+    words = b" ".join(docs).split()
+    assert len(set(zip(texts.hashes.tolist(), words, strict=True))) == len(set(words)) == len(set(texts.hashes.tolist()))
     assert [texts.data[a:b] for a, b in zip(texts.starts, texts.ends, strict=True)] == b" ".join(docs).split()
     for hot in (np.empty(0, np.int64), np.arange(16 * 5)):
         start, count, _, _, shard = substrings.segments(texts, 13, 5, hot)

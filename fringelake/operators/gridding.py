@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from fringelake.functions.cplx import Cx, col
 from fringelake.model import GridSpec, required
+from fringelake.operators.halo import convdegrid_made
 from fringelake.operators.lookup import broadcast_limit_bytes, lookup
 
+
 def _sums() -> list[Column]:
     return [F.sum("re").alias("re"), F.sum("im").alias("im")]
 
@@ -196,19 +198,24 @@ CACHED_KERNELS = 64
 
 
 def convgrid_made(df: DataFrame, spec: GridSpec, keys: dict[str, Column], make, q: int,
-                  conjugate: Column | None = None) -> DataFrame:
+                  conjugate: Column | None = None, given: DataFrame | None = None) -> DataFrame:
     """Convolutional gridding where each sample's kernel ``make(*keys)``, of shape
     [yf, xf, dy, dx], is made in the task that uses it.
 
     Parts of equal (cell, offset, keys) are summed first, then range-partitioned by
     keys and cell: a task makes only the kernels of its range, each once, and
     a hot key is cut by its cells. No kernel is stored or shuffled. Tasks sum by cell
-    before they hand on.
+    before they hand on. ``given`` adds columns by key, which ``make`` gets after the keys.
     """
     flip = conjugate if conjugate is not None else F.lit(False)
     by = frac_cell_keys(spec, q) | keys | {"_conj": flip}
     names, n = list(keys), spec.n
     parts = df.groupBy(*[c.alias(k) for k, c in by.items()]).agg(*_sums())
+    if given is not None:
+        more = [c for c in given.columns if c not in keys]
+        parts = parts.join(given, names, "left").withColumns(
+            {c: required(F.col(c), f"no {c} for a sample") for c in more})
+        names = [*names, *more]
 
     def grid_batches(batches):
         kernel = lru_cache(CACHED_KERNELS)(lambda *key: np.asarray(make(*key), dtype=complex))
@@ -283,10 +290,9 @@ def convdegrid_by_key(df: DataFrame, spec: GridSpec, cells: DataFrame, keys: dic
 
 def convdegrid(df: DataFrame, spec: GridSpec, cells: DataFrame, kernel: np.ndarray) -> DataFrame:
     """Convolutional degridding with a full kernel [yf, xf, dy, dx], or a
-    separable one [f, d]."""
+    separable one [f, d]. The driver holds it already: it is an argument."""
     full = separable_to_full(kernel) if kernel.ndim == 2 else kernel
-    return convdegrid_by_key(df, spec, cells, {}, kernel_rows(df, full),
-                             full.shape[0], full.shape[2])
+    return convdegrid_made(df, spec, cells, {}, lambda: full, full.shape[0], full.shape[2])
 
 
 def separable_to_full(kernel: np.ndarray) -> np.ndarray:

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from fringelake.functions import coords
 from fringelake.model import GridSpec, never_null
 from fringelake.operators import gridding
+from fringelake.operators.halo import KernelCache, convdegrid_made
 from fringelake.operators.lookup import with_rank
+from fringelake.scratch import write_table
 
 # -- dense helpers -----------------------------------------------------------
 
@@ -219,10 +221,7 @@ def w_cache_grid(df: DataFrame, spec: GridSpec, wstep: float, q: int,
 
 def w_cache_degrid(df: DataFrame, spec: GridSpec, cells: DataFrame, wstep: float, q: int,
                    size: int, make: Callable[[float], np.ndarray]) -> DataFrame:
-    plane = w_bin(F.col("w"), wstep)
-    kernels = kernel_table(df.select(plane.alias("plane")).distinct(),
-                           lambda p: make(p * wstep), ["plane"])
-    return gridding.convdegrid_by_key(df, spec, cells, {"plane": plane}, kernels, q, size)
+    return convdegrid_made(df, spec, cells, {"plane": w_bin(F.col("w"), wstep)}, lambda p: make(p * wstep), q, size)
 
 
 def by_w(df: DataFrame, tie: str) -> DataFrame:
@@ -243,18 +242,16 @@ def slice_means(sliced: DataFrame) -> DataFrame:
 def w_slice_grid(df: DataFrame, spec: GridSpec, step: int, tie: str, q: int, size: int,
                  make: Callable[[float], np.ndarray]) -> DataFrame:
     """w-projection with one kernel per equal-count slice, at its mean w."""
-    sliced = w_slices(df, step, tie)
-    kernels = kernel_table(slice_means(sliced), lambda _, w: make(w), ["slice", "w_mean"])
-    return gridding.convgrid_by_key(sliced, spec, {"slice": F.col("slice")},
-                                    kernels.drop("w_mean"), q, size)
+    sliced = write_table(w_slices(df, step, tie))
+    return gridding.convgrid_made(sliced, spec, {"slice": F.col("slice")}, lambda _, w: make(w), q,
+                                  given=slice_means(sliced))
 
 
 def w_slice_degrid(df: DataFrame, spec: GridSpec, cells: DataFrame, step: int, tie: str, q: int,
                    size: int, make: Callable[[float], np.ndarray]) -> DataFrame:
-    sliced = w_slices(df, step, tie)
-    kernels = kernel_table(slice_means(sliced), lambda _, w: make(w), ["slice", "w_mean"])
-    return gridding.convdegrid_by_key(sliced, spec, cells, {"slice": F.col("slice")},
-                                      kernels.drop("w_mean"), q, size)
+    sliced = write_table(w_slices(df, step, tie))
+    return convdegrid_made(sliced, spec, cells, {"slice": F.col("slice")}, lambda _, w: make(w), q, size,
+                           given=slice_means(sliced))
 
 
 def aw_grid(df: DataFrame, spec: GridSpec, wstep: float, q: int,
@@ -280,20 +277,6 @@ def aw_grid(df: DataFrame, spec: GridSpec, wstep: float, q: int,
     return gridding.convgrid_made(df, spec, keys, make, q)
 
 
-class KernelCache:
-    """Remembers a bounded number of kernels on the worker; travels empty."""
-
-    def __init__(self, make: Callable[..., np.ndarray], size: int = 256):
-        self.make, self.size = make, size
-        self.cached = lru_cache(size)(make)
-
-    def __call__(self, *key):
-        return self.cached(*key)
-
-    def __reduce__(self):
-        return KernelCache, (self.make, self.size)
-
-
 def far_field_table(planes: DataFrame, n: int, theta: float, wstep: float, *, dl: float = 0.0,
                     dm: float = 0.0, transform=None, recentred: bool = False) -> DataFrame:
     """Far-field patterns (plane, y, x, re, im), all in column expressions."""

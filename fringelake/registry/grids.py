@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fringelake.functions import coords
-from fringelake.operators import gridding, images, kernels, visibility
+from fringelake.operators import asof, gridding, images, kernels, visibility
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
 
@@ -399,6 +399,25 @@ def aw_grid_time_freq(spark, sf):
                            times=A_TIMES, freqs=A_FREQS)
 
 
+#: Stored kernels are made at the first time of an antenna within each bin of so many seconds.
+BIN = 120
+NEAREST = ("(SELECT arg_min(e.at, (abs(tr.time - e.at), e.at)) FROM e WHERE e.ant = tr.antenna{0}) AS at{0}")
+
+
+@query("event_id", "at1 at2", sql=f"""WITH {t.TRACKS_SQL},
+  e AS (SELECT antenna1 AS ant, CAST(floor(time / {BIN}) AS BIGINT) AS bin, min(time) AS at FROM (
+    SELECT antenna1, time FROM tr UNION ALL SELECT antenna2, time FROM tr) AS q GROUP BY 1, 2)
+  SELECT event_id, {NEAREST.format(1)}, {NEAREST.format(2)} FROM tr""")
+def nearest_stored_times(spark, sf):
+    """The stored kernel time nearest to each sample, for both of its antennas."""
+    tracks = t.tracks(spark, sf)
+    both = tracks.select(F.explode(F.array("antenna1", "antenna2")).alias("ant"), "time")
+    stored = both.groupBy("ant", F.floor(F.col("time") / BIN).alias("bin")).agg(F.min("time").alias("at")).drop("bin")
+    for i in (1, 2):
+        tracks = asof.nearest_join(tracks, stored.toDF(f"antenna{i}", f"at{i}"), [f"antenna{i}"], "time", f"at{i}")
+    return tracks
+
+
 # -- far fields ---------------------------------------------------------------------------------------
 
 

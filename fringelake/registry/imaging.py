@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fringelake.functions import coords
 from fringelake.model import GridSpec
-from fringelake.operators import clean, gridding, images, kernels, recombine, towers
+from fringelake.operators import clean, gridding, images, kernels, lattice, recombine, towers
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
 from fringelake.scratch import write_table
@@ -392,6 +392,35 @@ def sampled_predict(spark, sf):
                                   (0.25, 0.5, 0.0), np.cos, np.cos)
 
 
+#: Gridding functions of the lattice: [offset, point].
+LU, LW = (np.array([[1 / (1 + (i - n // 2 + o / q) ** 2) for i in range(n)] for o in range(q)])
+          for q, n in ((4, 4), (2, 3)))
+
+
+def _lattice_axis(axis: str, q: int) -> str:
+    return (f"CAST(-floor(f{axis} / {q}e0) AS BIGINT) AS i{axis}, ((f{axis} % {q}) + {q}) % {q} AS o{axis}")
+
+
+def _kernel_values(k: np.ndarray) -> str:
+    return ", ".join(f"({o}, {i}, {float(v)!r}::DOUBLE)" for (o, i), v in np.ndenumerate(k))
+
+
+@query("event_id", "re im", digits=4, sql=f"""WITH {t.TRACKS_SQL},
+  k(o, i, k) AS (VALUES {_kernel_values(LU)}), kw(o, i, k) AS (VALUES {_kernel_values(LW)}),
+  s(l, m, flux) AS (VALUES {", ".join(f"({l}e0, {m}e0, {f}e0)" for l, m, f in SOURCES)}),
+  s2 AS (SELECT *, sqrt(1 - l * l - m * m) - 1 AS n FROM s),
+  f AS (SELECT event_id, CAST(round_even(-(u / 3e0) * 4e0, 0) AS BIGINT) AS fu,
+    CAST(round_even(-(v / 3e0) * 4e0, 0) AS BIGINT) AS fv, CAST(round_even(-(w / 20e0) * 2e0, 0) AS BIGINT) AS fw FROM tr),
+  c AS (SELECT event_id, {_lattice_axis("u", 4)}, {_lattice_axis("v", 4)}, {_lattice_axis("w", 2)} FROM f),
+  p AS (SELECT event_id, a.k * b.k * d.k * flux / (cos(3e0 * l) * cos(3e0 * m) * cos(20e0 * n)) AS f,
+    -2 * pi() * ((iu + a.i - 2) * 3e0 * l + (iv + b.i - 2) * 3e0 * m + (iw + d.i - 1) * 20e0 * n) AS ph
+    FROM c JOIN k a ON a.o = ou JOIN k b ON b.o = ov JOIN kw d ON d.o = ow CROSS JOIN s2)
+  SELECT event_id, sum(f * cos(ph)) AS re, sum(f * sin(ph)) AS im FROM p GROUP BY 1""")
+def lattice_predict(spark, sf):
+    """Prediction from points of a (u, v, w) lattice, each predicted once."""
+    return lattice.lattice_predict(t.tracks(spark, sf), SOURCES, LU, LW, 3.0, 20.0, np.cos, np.cos)
+
+
 # -- recombination ----------------------------------------------------------------------------------------
 
 SPEC = recombine.RecombineSpec(image=256, subgrid_spacing=64, yB=64, yN=160, yP=160, xA=64,

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fringelake.functions import coords
-from fringelake.operators import asof, gridding, images, kernels, visibility
+from fringelake.operators import asof, gridding, images, kernels, stored, visibility
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
 
@@ -255,6 +255,14 @@ def w_cache_grid(spark, sf):
     return kernels.w_cache_grid(t.samples(spark, sf), G, WSTEP, WQ, w_kernel)
 
 
+@query("y x", "re im", digits=4, sql=W_GRID_SQL)
+def w_cache_grid_stored(spark, sf):
+    """The same with kernels that were stored before and are read in place."""
+    samples, plane = t.samples(spark, sf), kernels.w_bin(F.col("w"), WSTEP)
+    table = stored.write_kernel_table(samples.select(plane.alias("plane")), lambda p: w_kernel(p * WSTEP), buckets=8)
+    return stored.convgrid_stored(samples, G, {"plane": plane}, stored.read_kernel_table(spark, table), WQ)
+
+
 @query("y x", "re im", digits=4, sql=f"""WITH {t.SAMPLES_SQL}, {w_kernel_sql("plane", PLANES_SQL)},
   pt AS (SELECT plane, y, yf, x, xf, sum(re) AS re, sum(im) AS im FROM (
     SELECT {PLANE_KEY}, y, yf, x, xf, re, im FROM ({t.frac_cells_sql(WQ)}) AS q) AS q2 GROUP BY ALL),
@@ -342,13 +350,29 @@ kk AS (SELECT antenna1, antenna2, plane, yf, xf, y + wy + 1 AS dy, x + wx + 1 AS
   WHERE y + wy BETWEEN -1 AND 1 AND x + wx BETWEEN -1 AND 1 GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
 
 
-@query("y x", "re im", digits=3, sql=f"""WITH {t.SAMPLES_SQL},
+AW_GRID_SQL = f"""WITH {t.SAMPLES_SQL},
   {w_kernel_sql("plane", PLANES_SQL).replace("kk AS", "kk0 AS")}, {A_SQL},
-  {spread_sql("antenna1, antenna2, " + PLANE_KEY, "antenna1, antenna2, plane")}""")
+  {spread_sql("antenna1, antenna2, " + PLANE_KEY, "antenna1, antenna2, plane")}"""
+
+
+@query("y x", "re im", digits=3, sql=AW_GRID_SQL)
 def aw_grid(spark, sf):
     return kernels.aw_grid(t.samples(spark, sf), G, WSTEP, WQ, a_kernel, w_kernel)
 
 
+def _aw_kernel(ant1: int, ant2: int, plane: int) -> np.ndarray:
+    return kernels.aw_kernel(a_kernel(ant1), a_kernel(ant2), w_kernel(plane * WSTEP))
+
+
+@query("y x", "re im", digits=3, sql=AW_GRID_SQL)
+def aw_grid_stored(spark, sf):
+    """Aw-projection from a table of the antenna pairs' kernels."""
+    keys = {"antenna1": F.col("antenna1"), "antenna2": F.col("antenna2"), "plane": kernels.w_bin(F.col("w"), WSTEP)}
+    samples = t.samples(spark, sf)
+    table = stored.write_kernel_table(samples.select(*[c.alias(k) for k, c in keys.items()]), _aw_kernel, buckets=16)
+    return stored.convgrid_stored(samples, G, keys, stored.read_kernel_table(spark, table), WQ)
+
+
 A_TIMES, A_FREQS = [0.0, 900.0, 1800.0], [1e8, 1.2e8]
 
 

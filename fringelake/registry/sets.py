@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from fringelake.operators import averaging, quality, visibility
+from fringelake.plans import subgrids
 from fringelake.registry import tables as t
 from fringelake.registry.base import query
 from fringelake.scratch import shared_folder
@@ -174,6 +175,23 @@ def read_chunks(spark, sf):
                                                   F.max("freq").alias("freq"))
 
 
+@query("event_id antenna1 antenna2", "u v", sql=f"""WITH {t.TRACKS_SQL},
+  ck AS (SELECT *, CAST(floor(time / 300) AS BIGINT) AS tchunk, chan // 2 AS fchunk FROM tr),
+  bx AS (SELECT tchunk, fchunk, antenna1, antenna2, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1
+    FROM ck GROUP BY 1, 2, 3, 4),
+  co AS (SELECT tchunk, fchunk, antenna1, antenna2 FROM bx WHERE
+    (u0 < 70 AND u1 > 50 AND v0 < 50 AND v1 > 30) OR (-u1 < 70 AND -u0 > 50 AND -v1 < 50 AND -v0 > 30))
+  SELECT event_id, antenna1, antenna2, u, v FROM ck JOIN co USING (tchunk, fchunk, antenna1, antenna2)""")
+def stored_chunks_of_subgrid(spark, sf):
+    """Samples of the chunks whose box meets one subgrid, from a chunked store."""
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    store.write_chunks(t.tracks(spark, sf), path, 300.0, 2)
+    over = subgrids.subgrid_overlaps(store.read_chunk_boxes(spark, path), 20.0, 20.0)
+    return store.read_chunks_of(spark, path, over.where("iu = 3 and iv = 2"))
+
+
 @query("event_id", "weight", sql=f"""WITH {t.TRACKS_METRES_SQL} SELECT event_id,
   CASE WHEN weight > 3 THEN 1e0 ELSE weight END AS weight FROM trm""")
 def default_weight(spark, sf):

@@ -42,14 +42,15 @@ def read_visibilities(spark: SparkSession, path: str, columns: list[str] | None
                       min_length: float | None = None, max_length: float | None = None, *,
                       per_sample: bool = False) -> DataFrame:
     """Read samples. Length bounds (metres) keep or drop a baseline whole, by its
-    first sample in time; with ``per_sample`` they cut by sample and prune partitions."""
+    first sample in time; with ``per_sample`` they cut by sample and prune partitions.
+    Without a least length, a greatest one leaves out lengths of zero as well."""
     schema = T.StructType([*VISIBILITY_SCHEMA.fields, T.StructField("length_class", T.IntegerType())])
     df = spark.read.schema(schema).parquet(path)
     length = F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)
     if not per_sample and (min_length is not None or max_length is not None):
         kept = df.groupBy("antenna1", "antenna2").agg(
             F.min(F.struct("time", length.alias("length"))).alias("first")).where(
-            (F.col("first.length") >= (min_length or 0.0))
+            (F.col("first.length") > 0 if min_length is None else F.col("first.length") >= min_length)
             & (F.col("first.length") < (math.inf if max_length is None else max_length)))
         df = visibility.wanted_baselines(df, kept.select("antenna1", "antenna2"))
         min_length = max_length = None
@@ -58,7 +59,7 @@ def read_visibilities(spark: SparkSession, path: str, columns: list[str] | None
                       ).where(length >= min_length)
     if max_length is not None:
         df = df.where(F.col("length_class") <= int(max_length // LENGTH_CLASS_METRES)
-                      ).where(length < max_length)
+                      ).where((length < max_length) & ((length > 0) if min_length is None else F.lit(True)))
     df = visibility.default_weight(df.drop("length_class"))
     return df.select(*columns) if columns else df
 
@@ -188,6 +189,34 @@ def chunks(df: DataFrame, times: int, freqs: int, time_index: str = "it") -> Dat
                            "fchunk": F.floor(F.col("chan") / freqs)})
 
 
+def write_chunks(df: DataFrame, path: str, times: float, freqs: int, *, time: str = "time") -> None:
+    """Store samples by chunk, ``times`` long and ``freqs`` channels wide: chunks are partitions, each sorted by baseline.
+    Beside them goes an index with the uv box (wavelengths, as ``u`` and ``v`` are) of every baseline's part of a chunk."""
+    tagged = chunks(df, times, freqs, time)
+    keys = ["tchunk", "fchunk", "antenna1", "antenna2"]
+    (tagged.repartitionByRange(*keys, time).sortWithinPartitions(*keys, time)
+     .write.mode("overwrite").partitionBy("tchunk", "fchunk").parquet(f"{path}/samples"))
+    stored = df.sparkSession.read.schema(tagged.schema).parquet(f"{path}/samples")
+    stored.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in "uv" for n, f in (("min", F.min), ("max", F.max))]).write.mode(
+        "overwrite").parquet(f"{path}/boxes")
+
+
+def read_chunk_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """(tchunk, fchunk, antenna1, antenna2, u_min, u_max, v_min, v_max) of `write_chunks`."""
+    return spark.read.parquet(f"{path}/boxes")
+
+
+def read_chunks_of(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Samples of the wanted (tchunk, fchunk, antenna1, antenna2), such as the overlaps of a subgrid, once each. Only
+    the partitions of wanted chunks are read; there are no more chunks to broadcast than partitions exist."""
+    df = spark.read.parquet(f"{path}/samples")
+    keys = ["tchunk", "fchunk"]
+    # The comparison tells the optimizer that the list is worth pruning by.
+    listed = wanted.where(F.col("tchunk") > F.lit(-(1 << 62))).select(*keys).distinct()
+    df = df.join(F.broadcast(listed), keys, "left_semi")
+    return df.join(wanted.select(*keys, "antenna1", "antenna2").distinct(), [*keys, "antenna1", "antenna2"], "left_semi")
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
     """Grid, image or density cells, range-partitioned so that readers of a row
     band skip the rest."""

@@ -46,6 +46,51 @@ def test_visibility_store(spark, samples, tmp_path):
     assert store.read_visibilities(spark, path, ["u"], 150.0, 320.0).count() == want
 
 
+def test_zero_lengths_go_without_a_least_length(spark, samples, tmp_path):
+    path = str(tmp_path / "vis")
+    still = samples.withColumns({c: F.when(F.col("antenna1") == 1, 0.0).otherwise(F.col(c)) for c in "uv"})
+    store.write_visibilities(still, path)
+    for per_sample in (False, True):
+        for low, least in ((None, 0), (0.0, 1)):
+            got = store.read_visibilities(spark, path, ["antenna1"], low, 1e9, per_sample=per_sample)
+            assert got.where("antenna1 = 1").count() == least * 20 and got.where("antenna1 <> 1").count() == 40
+
+
+def files_read(df):
+    """Parquet files that a collected query's scan of the chunks opened."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], {}
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Adaptive" in name:
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name.startswith("Scan"):
+            if node.relation().location().rootPaths().head().toString().endswith("chunks/samples"):
+                found[node.canonicalized().hashCode()] = node.metrics().apply("numFiles").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return sum(found.values())
+
+
+def test_chunk_store_reads_wanted_chunks_only(spark, samples, tmp_path):
+    path = str(tmp_path / "chunks")
+    store.write_chunks(samples, path, 2.0, 1)
+    assert len(list((tmp_path / "chunks/samples").glob("tchunk=*/fchunk=*"))) == 10
+    boxes = store.read_chunk_boxes(spark, path)
+    pdf = samples.toPandas()
+    pdf["tchunk"], pdf["fchunk"] = (pdf["time"] // 2).astype(int), pdf["chan"]
+    want = pdf.groupby(["tchunk", "fchunk", "antenna1", "antenna2"])["u"].min()
+    assert [r.u_min for r in boxes.orderBy(*want.index.names).collect()] == want.sort_index().tolist()
+    wanted = boxes.where("tchunk = 1 and antenna1 < 2").withColumn("iu", F.explode(F.array(F.lit(1), F.lit(2))))
+    got = store.read_chunks_of(spark, path, wanted)
+    rows = got.collect()
+    assert len(rows) == len(pdf.query("tchunk == 1 and antenna1 < 2")) > 0
+    files = len(list((tmp_path / "chunks/samples").glob("tchunk=1/*/*.parquet")))
+    assert files_read(got) == files < len(list((tmp_path / "chunks/samples").glob("*/*/*.parquet")))
+
+
 def test_station_lines(spark, tmp_path):
     (tmp_path / "s.csv").write_text("name,x\nunits\nA, 1,2,3\n\nB,4,5,6\n")
     got = store.read_station_csv(spark, str(tmp_path / "s.csv")).collect()

@@ -6,7 +6,7 @@ share bytes. Where a link has a new token on both sides, both tokenizers cut: th
 product of the token-group incidence matrices gives the shared-group links. Products are made in blocks of
 rows, so a group of any size takes bounded memory.
 
-Texts are handled in chunks of about BATCH_BYTES (a longer text is its own chunk), and a chunk's ids and group sizes are
+Texts are handled in chunks of about ALIGNED bytes (a longer text is its own chunk), and a chunk's ids and group sizes are
 one saved row. A link's count, in how many documents (rows) of the corpus the pair of ids is linked, is
 gathered from the distinct pairs of every chunk, so a frequent pair is one row a chunk; chunks get the counts of their own
 pairs back. Only the best count of each A id is broadcast, at most one row per vocabulary entry.
@@ -18,9 +18,11 @@ Null ids and repeated rows give, and count as, a document each; extra columns ar
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fringelake.llm.binary import Encoder
-from fringelake.llm.common import prepare, save
+from fringelake.llm.common import in_blocks, prepare, save
 from fringelake.llm.tokens import _byte_alphabet, default_path, lookup_all
 
-#: Links made at once.
-BLOCK = 1 << 22
+#: Links made at once, bytes of text in a chunk, and distinct parts that a worker remembers of each tokenizer.
+BLOCK, ALIGNED, CACHED = 1 << 19, 1 << 20, 300_000
 #: Parts of a text (after its first space) that the piece model encodes alone: no piece holds a line feed, nor a
 #: space mark behind another character.
 PARTS = re.compile("\n[^ \n]*| +[^ \n]*")
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
+def _trim(known: dict) -> None:
+    """Keep the older part of a cache that is full, as frequent parts come early."""
+    if len(known) > CACHED:
+        older = dict(islice(known.items(), 2 * CACHED // 3))
+        known.clear()
+        known.update(older)
+
+
 class ByteTokens:
     """Byte-level BPE of space and text; special strings are plain text."""
 
@@ -51,8 +61,14 @@ class ByteTokens:
         size = tok.get_vocab_size()
         # Entries outside the byte alphabet are none of the text's bytes.
         self.bytes = [bytes(byte_of.get(c, 0) for c in tok.id_to_token(i) or "") for i in range(size)]
+        #: With a token for every byte and no normalizer, merges neither lose nor change a byte.
+        self.exact = tok.normalizer is None and len({b for b in self.bytes if len(b) == 1}) == 256
+
+    def gives_back(self, text: str, want: bytes, ids: np.ndarray) -> bool:
+        return self.exact or b"".join(map(self.bytes.__getitem__, ids.tolist())) == want
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        _trim(self.encoder.known)
         return [np.frombuffer(x, "<u4") for x in self.encoder.encode([" " + t for t in texts], None)]
 
 
@@ -66,6 +82,8 @@ class PieceTokens:
         self.bytes = [bytes.fromhex(m[1]) if (m := BYTE_PIECE.fullmatch(p)) and self.model.is_byte(i)
                       else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.model.piece_to_id("▁")
+        #: Whether all parts so far were given back byte by byte.
+        self.exact = True
         self.in_parts = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
 
     def learn(self, parts: list[str]) -> None:
@@ -73,9 +91,16 @@ class PieceTokens:
         found = self.model.encode([p[p[0] == " ":] for p in parts], num_threads=1)
         for part, ids in zip(parts, found, strict=True):
             ids = [self.space] if part == " " else ids[1:] if part[0] == "\n" else ids
-            self.known[part] = np.array(ids, "<u4").tobytes()
+            self.known[part] = array("I", ids).tobytes()
+            self.exact &= b"".join([self.bytes[i] for i in ids]) == part.encode()
+
+    def gives_back(self, text: str, want: bytes, ids: np.ndarray) -> bool:
+        if self.exact and self.in_parts and "▁" not in text:
+            return True
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == want
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        _trim(self.known)
         # A space mark in a text counts as a space that PARTS doesn't see.
         whole = {i for i, t in enumerate(texts) if not self.in_parts or "▁" in t}
         found = lookup_all([PARTS.findall(" " + t) if t and i not in whole else [] for i, t in enumerate(texts)],
@@ -163,26 +188,27 @@ def align(docs: DataFrame, *, byte_path: str | None = None, piece_path: str | No
         lengths = [np.array([len(x) for x in m.bytes]) for m in models]
         none = np.empty(0, "<u4")
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "").to_pylist()
-            ids = [m.encode(texts) for m in models]
-            for d, text in enumerate(texts):
-                want = b" " + text.encode()
-                if not text or any(b"".join(map(m.bytes.__getitem__, x[d].tolist())) != want
-                                   for m, x in zip(models, ids, strict=True)):
-                    ids[0][d] = ids[1][d] = none
-            n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in ids)
-            a, b = (np.concatenate([none, *x]) for x in ids)
-            of_a, of_b, link = groups_of(lengths[0][a], lengths[1][b])
-            n = int(of_a[-1]) + 1 if len(of_a) else 0
-            doc = np.repeat(np.arange(len(texts)), n_a)
-            first = np.flatnonzero(np.diff(of_a, prepend=-1))  # the first A token of each group
-            columns = [n_a, n_b, np.bincount(doc[first], minlength=len(texts)),
-                       np.bincount(doc[link], minlength=len(texts)), a, b,
-                       np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-                 *[pa.array([c.astype("<u4").tobytes()], pa.binary()) for c in columns]],
-                ["doc_ids", *PER_DOCUMENT, "a", "b", "size_a", "size_b"])
+            texts, doc_ids = pc.fill_null(batch.column(1), "").to_pylist(), batch.column(0).to_pylist()
+            for block in in_blocks(list(map(len, texts)), ALIGNED):
+                some = texts[block.start:block.stop]
+                ids = [m.encode(some) for m in models]
+                for d, text in enumerate(some):
+                    want = b" " + text.encode()
+                    if not text or not all(m.gives_back(text, want, x[d]) for m, x in zip(models, ids, strict=True)):
+                        ids[0][d] = ids[1][d] = none
+                n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in ids)
+                a, b = (np.concatenate([none, *x]) for x in ids)
+                of_a, of_b, link = groups_of(lengths[0][a], lengths[1][b])
+                n = int(of_a[-1]) + 1 if len(of_a) else 0
+                doc = np.repeat(np.arange(len(some)), n_a)
+                first = np.flatnonzero(np.diff(of_a, prepend=-1))  # the first A token of each group
+                columns = [n_a, n_b, np.bincount(doc[first], minlength=len(some)),
+                           np.bincount(doc[link], minlength=len(some)), a, b,
+                           np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_ids[block.start:block.stop]], pa.list_(pa.int64())),
+                     *[pa.array([c.astype("<u4").tobytes()], pa.binary()) for c in columns]],
+                    ["doc_ids", *PER_DOCUMENT, "a", "b", "size_a", "size_b"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
                        F.col(text_column).cast("string").alias("text"))
@@ -197,23 +223,20 @@ class Chunk:
         for c in [*PER_DOCUMENT, "a", "b", "size_a", "size_b"]:
             setattr(self, c, np.frombuffer(row[c], "<u4").astype(np.int64))
 
-    def pairs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, size_a: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct linked id pairs (a * width + b) of every document and their numbers of links, with the document."""
         doc, found = np.repeat(np.arange(len(self.n_a)), self.n_a), []
         for row, column in shared_links(self.size_a, self.size_b):
-            pair = self.a[row] * width + self.b[column]
-            at, inverse = np.unique(pair, return_inverse=True)
-            key, n = np.unique(doc[row] * len(at) + inverse, return_counts=True)
-            found.append((key // len(at), at[key % len(at)], n))
+            found.append(np.unique((doc[row] * size_a + self.a[row]) * width + self.b[column], return_counts=True))
         if not found:
             return (np.empty(0, np.int64),) * 3
-        if len(found) == 1:
-            return found[0]
-        doc, pair, n = map(np.concatenate, zip(*found, strict=True))
-        sort = np.lexsort((pair, doc))
-        doc, pair, n = doc[sort], pair[sort], n[sort]
-        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])))
-        return doc[first], pair[first], np.add.reduceat(n, first)
+        key, n = map(np.concatenate, zip(*found, strict=True))
+        if len(found) > 1:
+            sort = np.argsort(key, kind="stable")
+            key, n = key[sort], n[sort]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, n = key[first], np.add.reduceat(n, first)
+        return key // (size_a * width), key % (size_a * width), n
 
     def groups(self, text_a: np.ndarray, text_b: np.ndarray) -> list[str]:
         """Every document's groups, `a1,a2|b1;a3|b2`; the texts of ids are given with ',' and with the end mark."""
@@ -235,12 +258,12 @@ def id_texts(size: int, mark: str) -> np.ndarray:
     return np.array([f"{i}{end}" for i in range(size) for end in (",", mark)], object)
 
 
-def linked_pairs(chunks: DataFrame, width: int) -> DataFrame:
+def linked_pairs(chunks: DataFrame, size_a: int, width: int) -> DataFrame:
     """(chunk, pair, docs): in how many documents of a chunk the pair a * width + b is linked."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                pair, docs = np.unique(Chunk(row).pairs(width)[1], return_counts=True)
+                pair, docs = np.unique(Chunk(row).pairs(size_a, width)[1], return_counts=True)
                 for i in range(0, len(pair), 1 << 16):
                     part = pair[i:i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
@@ -267,7 +290,7 @@ def alignments(docs: DataFrame, *, byte_path: str | None = None, piece_path: str
     width = len(PieceTokens(piece_path).bytes)
     aligned = align(docs, byte_path=byte_path, piece_path=piece_path, **columns)
     chunks, _ = save(aligned.withColumn("chunk", F.monotonically_increasing_id()), "aligned")
-    pairs, _ = save(linked_pairs(chunks, width), "pairs")
+    pairs, _ = save(linked_pairs(chunks, size_a, width), "pairs")
     told = pairs.join(link_counts(pairs, width), "pair").select("chunk", "pair", "count", "best")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -278,7 +301,7 @@ def alignments(docs: DataFrame, *, byte_path: str | None = None, piece_path: str
         out = []
         for row in left.to_pylist():
             chunk = Chunk(row)
-            doc, held, n = chunk.pairs(width)
+            doc, held, n = chunk.pairs(size_a, width)
             at = np.searchsorted(pair, held)
             sums = [np.zeros(len(chunk.n_a), np.int64) for _ in range(3)]
             for total, value in zip(sums, (n, n * (count[at] == best[at]), n * count[at]), strict=True):

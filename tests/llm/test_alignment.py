@@ -124,7 +124,7 @@ def test_groups_beyond_a_block(monkeypatch):
     chunk = alignment.Chunk({"doc_ids": [1, 2], **{k: np.array(v, "<u4").tobytes() for k, v in {
         "n_a": [9, 9], "n_b": [8, 8], "n_groups": [1, 1], "n_overlaps": [0, 0], "a": [1, 2, 3] * 6, "b": [5, 6] * 8,
         "size_a": [9, 9], "size_b": [8, 8]}.items()}})
-    doc, pair, n = chunk.pairs(10)
+    doc, pair, n = chunk.pairs(7, 10)
     assert sorted(zip(doc.tolist(), pair.tolist(), n.tolist(), strict=True)) == [
         (d, 10 * a + b, 12) for d in (0, 1) for a in (1, 2, 3) for b in (5, 6)]
 

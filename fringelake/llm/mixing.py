@@ -20,6 +20,7 @@ labels of two domains every document gets posterior equal weights. Repeated rows
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -129,35 +130,39 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], *, sample_rows:
 
 @dataclass
 class Rates:
-    """The fitted rates: for each step, what a posterior loses."""
+    """The fitted rates: for each step, what a posterior loses, and how far the next one starts beyond it."""
 
     classifier: Classifier
     steps: list[np.ndarray] = field(default_factory=list)
     scale: float = 1.0
+    momenta: list[float] = field(default_factory=list)
+    missed: np.ndarray | None = None
 
     def of(self, p: np.ndarray) -> np.ndarray:
         """Rates of documents with posteriors p (n, domains)."""
-        r = np.ones(len(p))
-        for s in self.steps:
-            r = np.maximum(0.0, r - p @ s)
-        return self.scale * r
+        rate = ahead = np.ones(len(p))
+        for k, s in enumerate(self.steps):
+            last, rate = rate, np.maximum(0.0, ahead - p @ s)
+            ahead = rate + (self.momenta[k] if k < len(self.momenta) else 0.0) * (rate - last)
+        return self.scale * rate
 
 
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """Per row: doc_id, n_tokens (words) and p, the posterior of the domains."""
+    """Per row: doc_id, chance (of the draw), n_tokens (words) and p, the posterior of the domains."""
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # domains x 2^BITS numbers
 
     def run(batches):
         for batch in batches:
             texts = texts_of(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.translate(SPACED).split()) for t in texts], pa.int64()),
+                [batch.column(0), batch.column(2),
+                 pa.array([len(t.translate(SPACED).split()) for t in texts], pa.int64()),
                  pa.array([model.value.posterior(t).tolist() for t in texts],
-                          pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
+                          pa.list_(pa.float64()))], ["doc_id", "chance", "n_tokens", "p"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, p array<double>")
+                       F.col("text").cast("string").alias("text"), _chance()).mapInArrow(
+        run, "doc_id long, chance double, n_tokens long, p array<double>")
 
 
 def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,38 +172,58 @@ def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_rates(table: DataFrame, classifier: Classifier, weights: list[float], *,
-              total: float | None = None, steps: int = 100, tolerance: float = 1e-6) -> Rates:
-    """table: n_tokens, p. Stops when every miss is within `tolerance` of the total."""
+              total: float | None = None, steps: int = 200, tolerance: float = 1e-6) -> Rates:
+    """table: n_tokens, p. Accelerated projected gradient in the metric of the membership matrix (domains x domains), in
+    which a step of 1 never overshoots; one aggregation a step. Stops when every miss is within `tolerance` of the
+    total. Targets that no rates reach, or `steps` that run out, leave the misses, shares of the total, in `missed` and a
+    warning."""
     k = len(weights)
 
-    def totals(rates: Rates) -> np.ndarray:
-        past = list(rates.steps)
+    def totals(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of every domain, and the metric of all documents."""
+        past = Rates(None, list(rates.steps), momenta=list(rates.momenta))
 
         def run(batches):
-            out = np.zeros(k)
+            out = np.zeros((k + 1, k))
             for batch in batches:
                 tokens, p = _columns(batch, k)
-                out += (tokens * Rates(None, past).of(p)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(out)], ["d", "t"])
+                out[0] += (tokens * past.of(p)) @ p
+                out[1:] += (p * tokens[:, None]).T @ p
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["d", "t"])
 
-        got = np.zeros(k)
+        got = np.zeros((k + 1) * k)
         for d, t in (table.select("n_tokens", "p").mapInArrow(run, "d long, t double")
                      .groupBy("d").agg(F.sum("t")).collect()):
             got[d] = t
-        return got
+        return got[:k], got[k:].reshape(k, k)
 
     rates = Rates(classifier)
-    mass = now = totals(rates)
+    mass, metric = totals(rates)
+    inverse = np.linalg.pinv(metric, rcond=1e-12, hermitian=True)
     w = np.array(weights, float) / sum(weights)
     largest = total is None
     if largest:
         total = min((m / x for m, x in zip(mass, w, strict=True) if x > 0 and m > 0), default=0.0)
+    miss = ahead = mass - total * w
+    size, pace, stalled = miss @ inverse @ miss, 1.0, 0
     for _ in range(steps):
-        miss = now - total * w
-        if np.abs(miss).max() <= tolerance * max(total, 1):
+        if np.abs(miss).max() <= tolerance * max(total, 1) or stalled > 20:
             break
-        rates.steps.append(np.divide(miss, mass, out=np.zeros(k), where=mass > 0))
-        now = totals(rates)
+        tried = Rates(classifier, [*rates.steps, inverse @ ahead], momenta=list(rates.momenta))
+        new = totals(tried)[0] - total * w
+        new_size = new @ inverse @ new
+        stalled = 0 if new_size < (1 - 1e-5) * size else stalled + 1
+        if new_size > size and pace > 1:
+            # The momentum leads uphill: start anew from the last rates.
+            rates.momenta[-1], ahead, pace = 0.0, miss, 1.0
+            continue
+        last, pace = pace, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        tried.momenta.append((last - 1) / pace)
+        # Tokens are linear in the rates, so those beyond the step need no look.
+        rates, ahead, miss, size = tried, new + tried.momenta[-1] * (new - miss), new, new_size
+    rates.missed = miss / max(total, 1)
+    if np.abs(rates.missed).max(initial=0) > tolerance:
+        warnings.warn(f"rates miss the targets by {rates.missed.tolist()} of the total", stacklevel=2)
     if largest:
         # Rates are convex in p, so no document's exceeds that of a pure domain.
         rates.scale = 1 / max(rates.of(np.eye(k)).max(), 1.0)
@@ -211,8 +236,8 @@ def _copies(rate: np.ndarray, chance: np.ndarray) -> np.ndarray:
 
 
 def _chance():
-    """A number in [0, 1) from the id."""
-    return (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), 11)
+    """A number in [0, 1) from id and text, so that rows of one id, or without one, are drawn apart unless they are equal."""
+    return (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(7)), 11)
             / F.lit(float(1 << 53))).alias("chance")
 
 
@@ -238,7 +263,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(rate),
                  pa.array(copies)], ["doc_id", "n_tokens", "p", "rate", "copies"])
 
-    out = table.select("doc_id", _chance(), "n_tokens", "p").mapInArrow(
+    out = table.select("doc_id", "chance", "n_tokens", "p").mapInArrow(
         run, "doc_id long, n_tokens long, p array<double>, rate double, copies long")
     return out.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}")
                                               for i, d in enumerate(weights)], "rate", "copies")

@@ -289,7 +289,7 @@ def alignments(docs: DataFrame, *, byte_path: str | None = None, piece_path: str
     size_a = len(ByteTokens(byte_path).bytes)
     width = len(PieceTokens(piece_path).bytes)
     aligned = align(docs, byte_path=byte_path, piece_path=piece_path, **columns)
-    chunks, _ = save(aligned.withColumn("chunk", F.monotonically_increasing_id()), "aligned")
+    chunks, _ = save(aligned.withColumn("chunk", F.monotonically_increasing_id()), "aligned", long_rows=True)
     pairs, _ = save(linked_pairs(chunks, size_a, width), "pairs")
     told = pairs.join(link_counts(pairs, width), "pair").select("chunk", "pair", "count", "best")
 

@@ -51,13 +51,19 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def save(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+#: For tables of rows of megabytes: Parquet sizes its row groups after every row, not after a hundred, and ends them
+#: at some (compressed) megabytes, as writers and readers hold whole ones.
+LONG_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1",
+             "parquet.page.size.row.check.max": "1"}
+
+
+def save(df: DataFrame, name: str, codec: str = "zstd", *, long_rows: bool = False) -> tuple[DataFrame, str]:
     """Write a table to a new place in the shared folder and read it again, which
     cuts the lineage. It goes when the application ends, or with `forget`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     p, fs = _path(spark, path)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **(LONG_ROWS if long_rows else {})).parquet(path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -7,7 +7,7 @@ product of the token-group incidence matrices gives the shared-group links. Prod
 rows, so a group of any size takes bounded memory.
 
 Texts are handled in chunks of about ALIGNED bytes (a longer text is its own chunk), and a chunk's ids and group sizes are
-one saved row. A link's count, in how many documents (rows) of the corpus the pair of ids is linked, is
+one saved row, compressed. A link's count, in how many documents (rows) of the corpus the pair of ids is linked, is
 gathered from the distinct pairs of every chunk, so a frequent pair is one row a chunk; chunks get the counts of their own
 pairs back. Only the best count of each A id is broadcast, at most one row per vocabulary entry.
 
@@ -27,6 +27,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,7 +170,7 @@ def shared_links(size_a: np.ndarray, size_b: np.ndarray) -> Iterator[tuple[np.nd
 
 
 _MODELS: dict[tuple[str, str], tuple[ByteTokens, PieceTokens]] = {}
-#: Numbers per document of a chunk, binary columns of u32.
+#: Numbers per document of a chunk, binary columns of compressed u32.
 PER_DOCUMENT = ["n_a", "n_b", "n_groups", "n_overlaps"]
 CHUNK = "doc_ids array<long>, " + ", ".join(f"{c} binary" for c in [*PER_DOCUMENT, "a", "b", "size_a", "size_b"])
 
@@ -177,7 +178,7 @@ CHUNK = "doc_ids array<long>, " + ", ".join(f"{c} binary" for c in [*PER_DOCUMEN
 def align(docs: DataFrame, *, byte_path: str | None = None, piece_path: str | None = None,
           id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per chunk of documents: their ids, numbers of tokens, groups and overlap links, then all token ids and
-    how many tokens of either side each group holds, as little-endian u32."""
+    how many tokens of either side each group holds, as compressed little-endian u32."""
     prepare(docs.sparkSession)
     paths = byte_path or default_path("byte_bpe_50k.json"), piece_path or default_path("piece_bpe_32k.model")
 
@@ -186,6 +187,7 @@ def align(docs: DataFrame, *, byte_path: str | None = None, piece_path: str | No
             _MODELS[paths] = ByteTokens(paths[0]), PieceTokens(paths[1])
         models = _MODELS[paths]
         lengths = [np.array([len(x) for x in m.bytes]) for m in models]
+        shrink = zstandard.ZstdCompressor().compress  # a chunk is written, then shuffled
         none = np.empty(0, "<u4")
         for batch in batches:
             texts, doc_ids = pc.fill_null(batch.column(1), "").to_pylist(), batch.column(0).to_pylist()
@@ -207,7 +209,7 @@ def align(docs: DataFrame, *, byte_path: str | None = None, piece_path: str | No
                            np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc_ids[block.start:block.stop]], pa.list_(pa.int64())),
-                     *[pa.array([c.astype("<u4").tobytes()], pa.binary()) for c in columns]],
+                     *[pa.array([shrink(c.astype("<u4").tobytes())], pa.binary()) for c in columns]],
                     ["doc_ids", *PER_DOCUMENT, "a", "b", "size_a", "size_b"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
@@ -221,7 +223,7 @@ class Chunk:
     def __init__(self, row: dict):
         self.doc_ids = row["doc_ids"]
         for c in [*PER_DOCUMENT, "a", "b", "size_a", "size_b"]:
-            setattr(self, c, np.frombuffer(row[c], "<u4").astype(np.int64))
+            setattr(self, c, np.frombuffer(zstandard.decompress(row[c]), "<u4").astype(np.int64))
 
     def pairs(self, size_a: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct linked id pairs (a * width + b) of every document and their numbers of links, with the document."""
@@ -289,7 +291,8 @@ def alignments(docs: DataFrame, *, byte_path: str | None = None, piece_path: str
     size_a = len(ByteTokens(byte_path).bytes)
     width = len(PieceTokens(piece_path).bytes)
     aligned = align(docs, byte_path=byte_path, piece_path=piece_path, **columns)
-    chunks, _ = save(aligned.withColumn("chunk", F.monotonically_increasing_id()), "aligned", long_rows=True)
+    chunks, _ = save(aligned.withColumn("chunk", F.monotonically_increasing_id()), "aligned", "uncompressed",
+                     long_rows=True)
     pairs, _ = save(linked_pairs(chunks, size_a, width), "pairs")
     told = pairs.join(link_counts(pairs, width), "pair").select("chunk", "pair", "count", "best")
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from fringelake.llm import alignment, queries
 from fringelake.llm.tokens import _byte_alphabet, default_path
@@ -121,7 +122,7 @@ def test_products_in_blocks():
 
 def test_groups_beyond_a_block(monkeypatch):
     monkeypatch.setattr(alignment.Rows.product, "__defaults__", (16,))
-    chunk = alignment.Chunk({"doc_ids": [1, 2], **{k: np.array(v, "<u4").tobytes() for k, v in {
+    chunk = alignment.Chunk({"doc_ids": [1, 2], **{k: zstandard.compress(np.array(v, "<u4").tobytes()) for k, v in {
         "n_a": [9, 9], "n_b": [8, 8], "n_groups": [1, 1], "n_overlaps": [0, 0], "a": [1, 2, 3] * 6, "b": [5, 6] * 8,
         "size_a": [9, 9], "size_b": [8, 8]}.items()}})
     doc, pair, n = chunk.pairs(7, 10)

@@ -10,7 +10,8 @@ k-th best are kept, so the result is exact.
 Vectors that are null or hold null or non-finite components take no part; shorter vectors
 count as padded with zeros. Every row is a candidate for all queries but itself, repeated ids are rows of
 their own, null ids aren't queries and come last in ties; extra columns are ignored; an empty table gives
-no rows. Components beyond +-2^26 after scaling raise an error, as scores may not fit a long.
+no rows. Large components take wider blocks, and pairs whose norms allow sums beyond a long are summed in Python's integers;
+an error is raised only for a score that a long can't hold, or a component of 2^62 or more after scaling.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from fringelake.llm.common import prepare, save
 
 BLOCK = 8192
 GROUP = 16
+#: Scaled components and products of norms below it are safe in a long.
+SAFE = 2.0 ** 62
 #: Query blocks whose best rows a task holds before it hands them on.
 HELD = 64
 
@@ -40,27 +43,35 @@ def _rows(batch: pa.RecordBatch, scale: int) -> tuple[pa.Array, list[np.ndarray]
             continue
         x = np.floor(scale * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
         if np.isfinite(x).all():
-            if len(x) and np.abs(x).max() > 1 << 26:
+            if len(x) and np.abs(x).max() >= SAFE:
                 raise ValueError("a component is too large for scores in a long")
             keep.append(i)
-            out.append(x.astype(np.int32))
+            out.append(x.astype(np.int64))
     return ids.take(pa.array(keep, pa.int64())), out
 
 
+def _narrow(rows: np.ndarray) -> bytes:
+    return rows.astype("<i4" if np.abs(rows).max(initial=0) < 1 << 31 else "<i8").tobytes()
+
+
+def _wide(data: bytes, rows: int, columns: int) -> np.ndarray:
+    return np.frombuffer(data, "<i4" if len(data) == 4 * rows * columns else "<i8").reshape(rows, columns)
+
+
 def pack(vectors: DataFrame, scale: int) -> DataFrame:
-    """Blocks of at most BLOCK vectors: ids (null for null), n, dims, data int32[dims][n]."""
+    """Blocks of at most BLOCK vectors: ids (null for null), n, dims, data int32[dims][n] (int64 where it must be)."""
     def run(batches):
         part, number, ids, held = TaskContext.get().partitionId(), 0, [], []
 
         def block():
             dims = max(map(len, held))
-            data = np.zeros((dims, len(held)), "<i4")
+            data = np.zeros((dims, len(held)), np.int64)
             for i, v in enumerate(held):
                 data[:len(v), i] = v
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + number], pa.int64()),
                  pa.array([ids], pa.list_(pa.int64())), pa.array([dims], pa.int64()),
-                 pa.array([data.tobytes()], pa.binary())], ["block", "ids", "dims", "data"])
+                 pa.array([_narrow(data)], pa.binary())], ["block", "ids", "dims", "data"])
 
         for batch in batches:
             got, rows = _rows(batch, scale)
@@ -84,12 +95,12 @@ def query_blocks(blocks: DataFrame, every: int) -> DataFrame:
             for block, ids, dims, data in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
                 at = [i for i, x in enumerate(ids) if x is not None and x % every == 0]
                 if at:
-                    rows = np.frombuffer(data, "<i4").reshape(dims, len(ids))[:, at].T
+                    rows = _wide(data, dims, len(ids))[:, at].T
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block], pa.int64()), pa.array([at], pa.list_(pa.int64())),
                          pa.array([[ids[i] for i in at]], pa.list_(pa.int64())),
                          pa.array([dims], pa.int64()),
-                         pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())],
+                         pa.array([_narrow(rows)], pa.binary())],
                         ["q_block", "q_at", "q_ids", "q_dims", "q_data"])
 
     return blocks.select("block", "ids", "dims", "data").mapInArrow(
@@ -118,8 +129,17 @@ class Search:
 
     def add(self, data: np.ndarray, ids: np.ndarray, null: np.ndarray, own: np.ndarray | None):
         """data: int[dims][n]; own: the place of each query in this block, if it's theirs."""
+        norms = [np.sqrt((x.astype(float) ** 2).sum(axis)) for x, axis in ((data, 0), (self.rows, 1))]
+        large = norms[0] * norms[1].max(initial=0) >= SAFE
+        for some in (~large, large):
+            if some.any():
+                places = np.where(some, np.cumsum(some) - 1, -1)
+                self._add(data[:, some], ids[some], null[some], None if own is None else places[own],
+                          object if some is large else np.int64)
+
+    def _add(self, data: np.ndarray, ids: np.ndarray, null: np.ndarray, own: np.ndarray | None, kind: type):
         dims, n = max(self.rows.shape[1], len(data)), data.shape[1]
-        rows = np.zeros((len(self.rows), dims), np.int64)
+        rows = np.zeros((len(self.rows), dims), np.int64)  # in Python's integers below, if need be
         rows[:, :self.rows.shape[1]] = self.rows
         full = np.zeros((dims, n), np.int64)
         full[:len(data)] = data
@@ -128,6 +148,8 @@ class Search:
             own_squares.sum(1).max(initial=0)) < 2 ** 52
         if exact:  # sums of products stay integers in doubles, for which products are fast
             rows, full = rows.astype(float), full.astype(float)
+        elif kind is object:
+            rows, full = rows.astype(object), full.astype(object)
         groups = [range(i, min(i + GROUP, dims)) for i in range(0, dims, GROUP)] or [range(0)]
         groups.sort(key=lambda g: -own_squares[:, list(g)].sum())
         mass = np.array([squares[list(g)].sum(0) for g in groups])
@@ -138,12 +160,13 @@ class Search:
         first = rows[:, list(groups[0])] @ full[list(groups[0])]
         for q in range(len(rows)):
             alive, score = np.arange(n), first[q]
-            if own is not None:
+            if own is not None and own[q] >= 0:
                 alive = np.delete(alive, own[q])
                 score = score[alive]
             floor = self.score[q][self.k - 1] if len(self.score[q]) == self.k else -np.inf
             for g in range(1, len(groups)):
-                bound = score + own_rest[g - 1][q] * rest[g - 1][alive] * (1 + 1e-9) + 1e-6
+                near = score.astype(float)
+                bound = near + np.abs(near) * 1e-15 + own_rest[g - 1][q] * rest[g - 1][alive] * (1 + 1e-9) + 1e-6
                 if len(alive) > self.k:
                     # The k vectors of greatest bound, scored in full, raise the floor.
                     if floor == -np.inf:
@@ -153,6 +176,8 @@ class Search:
                     alive, score = alive[keep], score[keep]
                 at = list(groups[g])
                 score = score + rows[q, at] @ full[np.ix_(at, alive)]
+            if kind is object and any(abs(x) >= 1 << 63 for x in score):
+                raise ValueError("a score does not fit a long")
             score = np.concatenate([self.score[q], score.astype(np.int64)])
             new_ids = np.concatenate([self.ids[q], ids[alive]])
             new_null = np.concatenate([self.null[q], null[alive]])
@@ -195,10 +220,9 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
                 if q_block not in held:
                     if len(held) >= HELD:
                         yield from rows_of(next(iter(held)))
-                    held[q_block] = (q_at, q_ids, Search(np.frombuffer(q_data, "<i4").reshape(
-                        len(q_ids), q_dims), k))
+                    held[q_block] = (q_at, q_ids, Search(_wide(q_data, len(q_ids), q_dims), k))
                 held[q_block][2].add(
-                    np.frombuffer(data, "<i4").reshape(dims, len(ids)),
+                    _wide(data, dims, len(ids)),
                     np.array([x or 0 for x in ids], np.int64),
                     np.array([x is None for x in ids]), np.array(q_at) if block == q_block else None)
         for block in list(held):

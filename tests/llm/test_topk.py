@@ -58,3 +58,16 @@ def test_few_rows_and_limits(spark):
     same(topk.top_k(frame(spark, [(0, [1.0]), (1, [2.0])])), [(0, 1, 1, 256 * 512)])
     with pytest.raises(Exception, match="too large"):
         topk.top_k(frame(spark, [(0, [1e30])])).collect()
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=20).astype(np.float32).tolist()) for i in range(300)]
+    rows[17] = (17, [3e5] * 20)
+    rows[50] = (50, [float(np.float32(x)) for x in rng.normal(size=20) * 1e6])
+    rows[51] = (51, [1.0, *(float(np.float32(x)) for x in rng.normal(size=19) * 1e7)])  # sums with row 50 are beyond doubles
+    rows[100] = (100, [1e4, -2e5, 7.0])
+    rows[150] = (150, [1.2e7] + [0.0] * 19)  # its product with itself fits no long, those with others do
+    same(topk.top_k(frame(spark, rows).repartition(2)), brute(rows))
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(frame(spark, [(0, [1e12]), (1, [1e12])])).collect()

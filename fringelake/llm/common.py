@@ -135,6 +135,11 @@ def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.filter(chance < F.lit(int(span * (rows / total)))).limit(2 * rows)
 
 
+def one_row_per_id(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text) that share an id the one of smallest text hash, so that a bound on ids bounds rows."""
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def fold(doc_id):
     """crc32 of the id's decimal text modulo 3; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3

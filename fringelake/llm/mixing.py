@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringelake.llm.common import SPACED, hash_sample, prepare, save, texts_of
+from fringelake.llm.common import SPACED, hash_sample, one_row_per_id, prepare, save, texts_of
 from fringelake.llm.grams import gram_buckets, parts_of
 
 SIZES = (2, 3)
@@ -76,9 +76,9 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], *, sample_rows:
     number = F.coalesce(*[F.when(F.col("domain") == d, i) for i, d in enumerate(domains)])
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("y")).dropna()
     label = hash_sample(label, sample_rows, "doc_id")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.col("text").cast("string").alias("text")).join(
-        F.broadcast(label), "doc_id").select(  # sample_rows bounds the broadcast
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
+        F.broadcast(label.select("doc_id").distinct()), "doc_id", "left_semi")  # sample_rows bounds the broadcast
+    chosen = one_row_per_id(mine).join(F.broadcast(label), "doc_id").select(
         "y", "text", (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("train"))
 
     def count(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringelake.llm.common import fold, forget, hash_sample, prepare, save, texts_of
+from fringelake.llm.common import fold, forget, hash_sample, one_row_per_id, prepare, save, texts_of
 from fringelake.llm.grams import gram_buckets, parts_of
 
 SIZES = (3, 4, 5)
@@ -107,9 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10_000, bits:
                           F.col("toxic").cast("int").alias("toxic"))
     label = hash_sample(label.filter("toxic IN (0, 1)").filter(fold("doc_id") != 1),
                         sample_rows, "doc_id")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.col("text").cast("string").alias("text")).join(
-        F.broadcast(label), "doc_id").select("toxic", "text")  # sample_rows bounds the broadcast
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
+        F.broadcast(label.select("doc_id").distinct()), "doc_id", "left_semi")  # sample_rows bounds the broadcast
+    chosen = one_row_per_id(mine).join(F.broadcast(label), "doc_id").select("toxic", "text")
 
     def count(batches):
         """Rows with a bucket, by class; bucket -1 counts rows."""

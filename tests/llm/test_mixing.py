@@ -106,3 +106,11 @@ def test_odd_rows_and_no_labels(spark, documents, odd_rows):
     assert mixing.mix(documents([]), none, WEIGHTS).count() == 0
     _, _, labels = corpus(documents, spark, 60)
     assert mixing.document_rates(documents(odd_rows), labels, WEIGHTS).count() == len(odd_rows)
+
+
+def test_repeated_ids_count_once(spark, documents):
+    _, rows, labels = corpus(documents, spark, 80)
+    once = mixing.fit(documents(rows), labels, list(WEIGHTS))
+    often = mixing.fit(documents(rows + [rows[5]] * 300), labels, list(WEIGHTS))
+    assert np.allclose(once.likelihood, often.likelihood) and np.allclose(once.prior, often.prior)
+    assert once.scale == often.scale

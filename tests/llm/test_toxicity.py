@@ -70,3 +70,10 @@ def test_long_texts_in_parts():
     whole = np.unique(np.concatenate(gram_buckets(text, t.SIZES, 20)))
     parts = t.features(text, 20)
     assert np.isin(whole, parts).all() and len(parts) - len(whole) <= 6 * len(text) // (1 << 20) + 6
+
+
+def test_repeated_ids_count_once(spark, documents):
+    rows, labels = corpus(150)
+    once = t.fit(documents(rows), frame(spark, labels))
+    often = t.fit(documents(rows + [rows[5]] * 300 + [rows[6]] * 40), frame(spark, labels))
+    assert np.allclose(once.weights, often.weights, atol=1e-5) and abs(once.intercept - often.intercept) < 1e-5

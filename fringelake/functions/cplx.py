@@ -13,6 +13,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _minus(x: Column) -> Column:
+    """Whether the sign of a number is set; comparisons take -0.0 for 0.0."""
+    return (x < 0) | ((x == 0) & (F.pow(x, F.lit(-1.0)) < 0))
+
+
+def atan2(y: Column, x: Column) -> Column:
+    """Angle of (x, y) by the signs of zeros, which Spark's own function drops."""
+    flat = F.when(_minus(y), -math.pi).otherwise(math.pi)
+    return F.when((y == 0) & _minus(x), flat).otherwise(F.atan2(y, x))
+
+
+def _divide(num: Column, den: Column) -> Column:
+    """Quotient by a number of at least 0; by 0 it is infinite or no number."""
+    return F.when(den == 0, num * F.lit(math.inf)).otherwise(F.try_divide(num, den))
+
+
 class Cx(NamedTuple):
     """A complex valued column expression."""
 
@@ -34,7 +50,7 @@ class Cx(NamedTuple):
 
     def over(self, other: Cx) -> Cx:
         num, den = self.times(other.conj()), other.abs2()
-        return Cx(F.try_divide(num.re, den), F.try_divide(num.im, den))
+        return Cx(_divide(num.re, den), _divide(num.im, den))
 
     def conj(self) -> Cx:
         return Cx(self.re, -self.im)
@@ -46,7 +62,7 @@ class Cx(NamedTuple):
         return F.sqrt(self.abs2())
 
     def arg(self) -> Column:
-        return F.atan2(self.im, self.re)
+        return atan2(self.im, self.re)
 
     def power(self, n: int) -> Cx:
         """Integer power by repeated squaring."""

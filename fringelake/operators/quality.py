@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from fringelake.functions import coords
+from fringelake.functions import coords, cplx
 from fringelake.functions.cplx import col
 from fringelake.model import SPEED_OF_LIGHT
 from fringelake.operators.lookup import exact_median
@@ -47,7 +47,7 @@ def quality_map(assessment: DataFrame) -> DataFrame:
 
 
 def uv_angle() -> Column:
-    return F.atan2(F.col("v"), F.col("u"))
+    return cplx.atan2(F.col("v"), F.col("u"))
 
 
 def uv_distance() -> Column:

@@ -89,6 +89,19 @@ def test_complex_power_and_inverse(spark):
         assert np.allclose(got[2 * k] + 1j * got[2 * k + 1], want)
 
 
+def test_signs_of_zeros(spark):
+    """Angles and inverses of numbers on the axes, as IEEE arithmetic has them."""
+    values = [-2.0, -0.0, 0.0, 3.0, -math.inf, math.inf]
+    rows = [(x, y) for x in values for y in values]
+    z = cplx.col("x", "y")
+    inverse = z.pseudo_inverse()
+    got = spark.createDataFrame(rows, "x double, y double").select(
+        "x", "y", z.arg().alias("angle"), inverse.re.alias("re")).collect()
+    assert np.allclose([r.angle for r in got], [math.atan2(y, x) for x, y in rows], rtol=0, atol=1e-12)
+    assert all(math.isnan(r.re) for r in got if r.x == r.y == 0)
+    assert [r.re for r in got if r.x == 3 and r.y == 0] == [1 / 3, 1 / 3]
+
+
 def test_kernel_transform_keeps_curvature():
     dl, dm = 0.05, -0.03
     t = coords.kernel_transform(dl, dm)

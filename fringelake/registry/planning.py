@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fringelake.operators import antennas
@@ -129,10 +130,11 @@ def bin_merge_candidates(spark, sf):
   SELECT bu, bv, bw, sum(lo) AS lower, sum(hi) AS upper FROM s GROUP BY 1, 2, 3""")
 def bin_split(spark, sf):
     """Each box halved along u: samples on either side."""
-    tagged = _tagged(spark, sf)
     by = ["bu", "bv", "bw"]
-    cut = density.shrink(tagged).select(*by, F.floor((F.col("iu0") + F.col("iu1")) / 2).alias("cut"))
-    parts = tagged.join(cut, by)
+    box = Window.partitionBy(*by)
+    # Slabs of a box, at most its width, carry its middle, so that the samples are read once.
+    slabs = _tagged(spark, sf).groupBy(*by, "iu").agg(F.sum("n").alias("n"))
+    parts = slabs.withColumn("cut", F.floor((F.min("iu").over(box) + F.max("iu").over(box) + 1) / 2))
     lower, upper = density.split_box("u", F.col("cut"))
     return parts.groupBy(*by).agg(
         F.sum(F.when(F.col("iu") < lower["iu1"], F.col("n")).otherwise(0)).alias("lower"),

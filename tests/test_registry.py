@@ -37,7 +37,7 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["bin_cost_wplane", "bin_cost_direct"])
+@pytest.mark.parametrize("name", ["bin_cost_wplane", "bin_split", "bin_cost_direct"])
 def test_bins_read_samples_once(spark, name):
     """No second pass over the samples, and no null check on box numbers with a rotation in it."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

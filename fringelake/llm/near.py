@@ -1,20 +1,22 @@
-"""Near copies for the pipeline: SimHash proposes partners, the exact Jaccard similarity of word runs decides.
+"""Near copies for the pipeline: SimHash proposes pairs, the exact Jaccard similarity of word runs decides.
 
 Texts are sets of runs of five words (as in `simhash`; a text of fewer words is one run of all of them), and
 two are linked if their sets have a Jaccard similarity of at least `threshold`. Linked sets of n runs miss at most
 (1 - threshold) n of each other's, so in any one order of all runs the first floor((1 - threshold) n) + l
 of both sets hold l common ones: texts that meet under the first of them (l = 1) are all that can be linked. The
-order puts runs that are common in a sample last, so what half the corpus shares makes no buckets;
+order of runs puts those that are common in a sample last, so what half the corpus shares makes no buckets;
 the sample alters the work, never the result.
 
-First each text is compared with the member whose 64-bit SimHash is nearest among three, picked by hash, of its buckets, which
-joins most of a large group of copies in one pass. What is left are buckets that hold several components. One of more than
+SimHash comes first, by the generalised pigeonhole of `simhash.similar_pairs`: pairs whose 64-bit fingerprints of run sets
+differ in at most LIMIT bits are proposed and confirmed by their exact similarity. Links of more bits, which SimHash can't
+propose, are found among what is left: buckets of runs that hold several of the components. One of more than
 MEMBERS texts or RUNS runs is divided by the second common run (l = 2), and what is still larger into blocks that meet two
 at a time, so that a task's share is bounded whatever the bucket.
 
 In such a group, a task looks for texts of different components that may be linked. It compares sizes and parities: if the runs of
 a set are dealt to PARITY cells, each cell in which one set has an odd and another an even number holds a run that only one
-of them has. This bound loses no link. Texts that may be linked, directly or over others, form a cluster; clusters
+of them has. This bound loses no link. As many cells as runs tell long sets apart, so clusters are divided once more by such parities,
+folded to the cells of the smaller set; these are sent for the few texts in clusters only. Texts that may be linked, directly or over others, form a cluster; clusters
 of several groups that share texts are one, unless that is more than a task compares. Clusters get their texts, and a task counts the shared runs of each text with all others by
 the lists of texts that hold a run, and gives links until all that are linked are joined. No pairs of a group are made as rows.
 
@@ -35,9 +37,11 @@ from pyspark.sql import functions as F
 
 from fringelake.llm.common import SPACED, forget, prepare, save, shingle_hashes, texts_of, word_hashes
 from fringelake.llm.components import components
-from fringelake.llm.simhash import BITS, CHUNK, _firsts, _text_hash, one_row_each
+from fringelake.llm.simhash import BITS, CHUNK, _firsts, _text_hash, one_row_each, similar_pairs
 
 SIZE = 5
+#: Bits by which fingerprints of proposed pairs differ at most.
+LIMIT = 5
 #: Texts and runs of a group that one task compares, and cells of a parity.
 MEMBERS, RUNS, PARITY = 4096, 1 << 22, 512
 #: Texts sampled for common runs, how often a run must be among them, and how many are kept.
@@ -67,10 +71,15 @@ def set_fingerprint(runs: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(runs), bitorder="little").view("<i8")[0])
 
 
-def parity(runs: np.ndarray) -> bytes:
-    """Whether each cell holds an odd number of the runs."""
-    cells = (runs >> np.uint64(65 - PARITY.bit_length())).astype(np.int64)
-    return np.packbits(np.bincount(cells, minlength=PARITY) & 1).tobytes()
+def parity(runs: np.ndarray, cells: int = PARITY) -> bytes:
+    """Whether each cell, of a power of two, holds an odd number of the runs."""
+    at = (runs >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells) & 1).tobytes()
+
+
+def fine_parity(runs: np.ndarray) -> bytes:
+    """Parities of about as many cells as runs; nothing where PARITY are as many."""
+    return parity(runs, 1 << (len(runs) - 1).bit_length()) if len(runs) > PARITY else b""
 
 
 def reach(n: int, threshold: float) -> int:
@@ -109,7 +118,7 @@ def common_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, threshold: float) -> DataFrame:
-    """Per run set: node (its hash), first (the first row), n, fp, parity, and keys, the runs under which it is filed and
+    """Per run set: node (its hash), first (the first row), n, fp, parity, fine (parities of more cells), and keys, the runs under which it is filed and
     one more, with their number reach."""
     common = docs.sparkSession.sparkContext.broadcast(common_runs(docs))  # at most COMMON
 
@@ -124,21 +133,33 @@ def described(docs: DataFrame, threshold: float) -> DataFrame:
                  pa.array(list(map(len, sets)), pa.int64()),
                  pa.array([set_fingerprint(s) for s in sets], pa.int64()),
                  pa.array([parity(s) for s in sets], pa.binary()),
+                 pa.array([fine_parity(s) for s in sets], pa.binary()),
                  pa.array([reach(len(s), threshold) for s in sets], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
                      np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)))],
-                ["doc_id", "text_hash", "node", "n", "fp", "parity", "reach", "keys"])
+                ["doc_id", "text_hash", "node", "n", "fp", "parity", "fine", "reach", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(),
                        F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, text_hash long, node long, n long, fp long, parity binary, reach long, keys array<long>")
+        run, "doc_id long, text_hash long, node long, n long, fp long, parity binary, fine binary, reach long, keys array<long>")
     first = F.min(F.struct(F.isnull("doc_id").alias("lost"), "doc_id", "text_hash"))
     return rows.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in (
-        "n", "fp", "parity", "reach", "keys")])
+        "n", "fp", "parity", "fine", "reach", "keys")])
 
 
-def _bits(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def proposed(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints differ in at most LIMIT bits, as a spanning forest of each bucket; those of equal
+    fingerprints meet their first."""
+    hubs, at = save(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("hub")), "hubs")
+    near = similar_pairs(hubs.select("fp"), LIMIT)
+    one = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(
+        hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b").select("x", "y")
+    same = nodes.join(hubs, "fp").select(F.col("hub").alias("x"), F.struct("node", "n").alias("y"))
+    alike = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(threshold) - F.lit(1e-9)
+    pairs, _ = save(one.union(same).filter("x.node <> y.node").filter(alike).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    forget(nodes.sparkSession, at)
+    return pairs
 
 
 def texts_for(nodes: DataFrame, wanted: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
@@ -202,12 +223,37 @@ def _by_group(batches, columns: list[str]):
         yield key, held
 
 
-def may_link(n: np.ndarray, comp: np.ndarray, odd: np.ndarray, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+def by_cells(parities: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Bytes of each parity; for each number of bytes the parities that have it and, folded, those that have twice as many, with
+    the place of each."""
+    size, out = np.array(list(map(len, parities)), np.int64), {}
+    for s in np.unique(size).tolist():
+        place, rows = np.zeros(len(size), np.int64), []
+        for k in np.flatnonzero((size == s) | (size == 2 * s)).tolist():
+            odd = np.frombuffer(parities[k], np.uint8)
+            if size[k] > s:
+                bits = np.unpackbits(odd)
+                odd = np.packbits(bits[::2] ^ bits[1::2])
+            place[k] = len(rows)
+            rows.append(odd)
+        out[s] = place, np.stack(rows).view(np.uint64)
+    return size, out
+
+
+def may_link(n: np.ndarray, comp: np.ndarray, size: np.ndarray, cells: dict, i: int, others: np.ndarray,
+             threshold: float) -> np.ndarray:
     """Whether sets of different components may have the similarity, by sizes and parities."""
-    differ = np.bitwise_count(odd[others] ^ odd[i]).sum(axis=1, dtype=np.int64)
     both = n[others] + n[i]
-    return ((comp[others] != comp[i]) & (np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i]) - 1e-9)
-            & (differ <= (1 - threshold) / (1 + threshold) * both + 1e-6))
+    out = ((comp[others] != comp[i])
+           & (np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i]) - 1e-9))
+    low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+    for s in np.unique(low[out]).tolist():
+        at = np.flatnonzero(out & (low == s) & (high <= 2 * s))
+        if len(at):
+            place, odd = cells[s]
+            differ = np.bitwise_count(odd[place[others[at]]] ^ odd[place[i]]).sum(axis=1, dtype=np.int64)
+            out[at] = differ <= (1 - threshold) / (1 + threshold) * both[at] + 1e-6
+    return out
 
 
 def clusters(groups: DataFrame, threshold: float) -> DataFrame:
@@ -215,12 +261,12 @@ def clusters(groups: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for _, rows in _by_group(batches, ["group", "node", "n", "comp", "parity"]):
             node, n, comp = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
-            odd = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+            size, cells = by_cells([r[3] for r in rows])
             rest = np.arange(len(rows))
             while len(rest):
                 front, rest, found = [rest[0]], rest[1:], [rest[0]]
                 while front and len(rest):
-                    near = may_link(n, comp, odd, front.pop(), rest, threshold)
+                    near = may_link(n, comp, size, cells, front.pop(), rest, threshold)
                     front.extend(rest[near])
                     found.extend(rest[near])
                     rest = rest[~near]
@@ -235,6 +281,13 @@ def clusters(groups: DataFrame, threshold: float) -> DataFrame:
         run, "cluster string, node long, comp long").distinct()
 
 
+def divided(found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The clusters divided by the parities of as many cells as runs."""
+    odd = F.when(F.length("fine") > 0, F.col("fine")).otherwise(F.col("parity")).alias("parity")
+    return clusters(found.select(F.col("cluster").alias("group"), "node", "comp").join(
+        nodes.select("node", "n", odd), "node"), threshold)
+
+
 def merged(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """The clusters with those that share nodes made one where the whole is no more than a task compares, so that texts
     aren't sent once for every cluster."""
@@ -305,31 +358,24 @@ def exact_links(found: DataFrame, nodes: DataFrame, docs: DataFrame, threshold:
 
 def similar_texts(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Components (node, comp) of all links among the texts."""
-    keyed = nodes.select(F.explode(F.slice("keys", F.lit(1), F.col("reach").cast("int"))).alias("key"), "node", "n", "fp")
+    pairs = proposed(nodes, threshold)
+    links = confirmed(pairs, nodes, docs, threshold)
+    labels = components(links)
+    keyed = nodes.select(F.explode(F.slice("keys", F.lit(1), F.col("reach").cast("int"))).alias("key"), "node")
     counts = keyed.groupBy("key").count().filter("count > 1").select("key")
     met, at = save(keyed.join(counts, "key"), "met")
-    picks = met.groupBy("key").agg(*[F.min(F.struct(
-        F.xxhash64(F.lit(k), "node").alias("o"), F.col("node").alias("b"), F.col("n").alias("n2"),
-        F.col("fp").alias("fp2"))).alias(f"p{k}") for k in range(3)])
-    picks = picks.select("key", F.posexplode(F.array("p0", "p1", "p2")).alias("turn", "p")).select(
-        "key", "turn", "p.b", "p.n2", "p.fp2")
-    alike = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(threshold) - F.lit(1e-9)
-    stars = (met.join(picks, "key").filter(F.col("node") != F.col("b")).filter(alike)
-             .groupBy("node", "turn").agg(F.min(F.struct(_bits("fp", "fp2").alias("bits"), "b")).alias("p"))
-             .select(F.least("node", "p.b").alias("a"), F.greatest("node", "p.b").alias("b")).distinct())
-    stars, stars_at = save(stars, "pairs")
-    links = confirmed(stars, nodes, docs, threshold)
-    labels = components(links)
-    rest, rest_at = save(met.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "rest")
+    rest, rest_at = save(met.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn(
+        "comp", F.coalesce("comp", "node")), "rest")
     groups = bounded_groups(rest, nodes).join(nodes.select("node", "parity"), "node")
     found, found_at = save(clusters(groups, threshold), "clusters")
     if not found.isEmpty():
+        found, fine_at = save(divided(found, nodes, threshold), "divided")
         whole, whole_at = save(merged(found, nodes), "merged")
         more = exact_links(whole, nodes, docs, threshold)
-        forget(docs.sparkSession, whole_at)
+        forget(docs.sparkSession, fine_at, whole_at)
         if not more.isEmpty():
             labels = components(links.union(more))
-    forget(docs.sparkSession, at, stars_at, rest_at, found_at)
+    forget(docs.sparkSession, at, rest_at, found_at)
     return labels
 
 

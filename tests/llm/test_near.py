@@ -96,3 +96,31 @@ def test_prefixes_of_linked_sets_meet():
         ranks = rng.permutation(len(common)) + 1
         if both * 10 >= 8 * (len(a) + len(b) - both):
             assert np.intersect1d(near.prefix(a, common, ranks, 0.8), near.prefix(b, common, ranks, 0.8)).size
+
+
+def test_simhash_proposes_by_pigeonhole(spark, documents):
+    """Every pair within the limit is joined by proposed pairs, whether or not a rare run is shared."""
+    nodes = near.described(documents(edited()), 0.8).cache()
+    rows = [(r.node, r.fp & (1 << 64) - 1, r.n) for r in nodes.collect()]
+    pairs = {(r.a, r.b) for r in near.proposed(nodes, 0.0).collect()}
+    labels = {k: k for k, _, _ in rows}
+    for a, b in pairs:
+        low, high = sorted((labels[a], labels[b]))
+        labels = {k: low if v == high else v for k, v in labels.items()}
+    close = [(a, b) for a, x, _ in rows for b, y, _ in rows if a < b and (x ^ y).bit_count() <= near.LIMIT]
+    assert len(close) > 10 and all(labels[a] == labels[b] for a, b in close)
+
+
+def test_fine_parities_tell_long_sets_apart():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 2040).astype(np.uint64)) * np.uint64(2)
+    longer = np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2)]))
+    other = np.unique(rng.integers(0, 1 << 63, 2040).astype(np.uint64)) * np.uint64(2)
+    sets = [base, longer, other]
+    n, comp = np.array(list(map(len, sets))), np.arange(3)
+    size, cells = near.by_cells([near.fine_parity(x) for x in sets])
+    assert size.tolist() == [256, 512, 256]
+    assert near.may_link(n, comp, size, cells, 0, np.array([1, 2]), 0.8).tolist() == [True, False]
+    assert near.may_link(n, comp, size, cells, 1, np.array([0, 2]), 0.8).tolist() == [True, False]
+    size, cells = near.by_cells([near.parity(x) for x in sets])
+    assert near.may_link(n, comp, size, cells, 0, np.array([1, 2]), 0.8).tolist() == [True, True]

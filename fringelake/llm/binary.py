@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringelake.llm.common import forget, hash_sample, prepare, save
+from fringelake.llm.common import forget, hash_sample, in_blocks, prepare, save
 from fringelake.llm.tokens import (FOREIGN, LETTER, NUMBER, SPACE, default_path, load,
                                    lookup_all)
 
@@ -45,6 +45,11 @@ from fringelake.llm.tokens import (FOREIGN, LETTER, NUMBER, SPACE, default_path,
 PIECES = re.compile(
     f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}{LETTER}{NUMBER}]+"
     f"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Distinct pre-tokens whose ids a worker remembers; an executor keeps a worker, and so this cache, for every task
+#: and Python step that ever ran beside another.
+KEPT = 300_000
+#: Characters of text that are split into pre-tokens, and unknown pre-tokens that are merged, at a time.
+BLOCK, LEARNT = 256 << 10, 4096
 MAGIC = b"FLTK1"
 HEAD = struct.Struct("<5sB32sI")
 
@@ -56,18 +61,23 @@ class Encoder:
         self.tok, self.known = load(path), {}
 
     def learn(self, pieces: list[str]) -> None:
-        found = self.tok.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        cut = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces) + 1))
-        cut = cut.tolist()
-        self.known.update((p, ids[a:b]) for p, a, b in zip(pieces, cut, cut[1:], strict=False))
+        for some in (pieces[i:i + LEARNT] for i in range(0, len(pieces), LEARNT)):
+            found = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            cut = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))
+            cut = cut.tolist()
+            self.known.update((p, ids[a:b]) for p, a, b in zip(some, cut, cut[1:], strict=False))
 
     def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
         """Ids as little-endian u32, the end id included."""
+        return [ids for block in in_blocks(list(map(len, texts)), BLOCK)
+                for ids in self.encode_block([texts[i] for i in block], end_id)]
+
+    def encode_block(self, texts: list[str], end_id: int | None) -> list[bytes]:
         end = b"" if end_id is None else struct.pack("<I", end_id)
         plain = [i for i, t in enumerate(texts)
                  if (t.isascii() and "<|" not in t) or not FOREIGN.search(t)]
-        found = lookup_all([PIECES.findall(texts[i]) for i in plain], self.known, self.learn)
+        found = lookup_all([PIECES.findall(texts[i]) for i in plain], self.known, self.learn, KEPT)
         got = dict(zip(plain, map(b"".join, found), strict=True))
         return [(got[i] if i in got else
                  np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) + end

@@ -73,11 +73,12 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def lookup_all(split: list[list[str]], known: dict, learn) -> list[list]:
+def lookup_all(split: list[list[str]], known: dict, learn, most: int | None = None) -> list[list]:
     """The known value of every piece; `learn` is called with the unknown ones, once.
-    Beyond CACHE pieces the older half stays, as frequent pieces come early."""
-    if len(known) > CACHE:
-        older = dict(islice(known.items(), CACHE // 2))
+    Beyond CACHE pieces, or `most` if fewer, the older half stays, as frequent pieces come early."""
+    most = CACHE if most is None else min(most, CACHE)
+    if len(known) > most:
+        older = dict(islice(known.items(), most // 2))
         known.clear()
         known.update(older)
     out = [list(map(known.get, pieces)) for pieces in split]

@@ -1,5 +1,6 @@
 import random
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -45,6 +46,25 @@ def test_small_cache_changes_nothing(monkeypatch):
             len(tok.encode(t, add_special_tokens=False)) for t in texts[i:i + 30]]
 
 
+def test_encoder_is_bounded():
+    encoder = binary.Encoder(BYTE)
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(x) for x in product(abc, abc, abc)][:700]
+    texts = [" ".join(a + b + "x" + w for w in words) for a in abc for b in abc]
+    most, learn = [], encoder.tok.encode
+
+    class Watched:
+        def encode(self, pieces, **options):
+            most.append(len(pieces))
+            return learn(pieces, **options)
+
+    encoder.tok = Watched()
+    got = encoder.encode(texts, 2)  # in one batch, some 470,000 different words
+    assert len(encoder.known) < 400_000 and max(most) < 10_000
+    for i in (0, 1, 99, 675):
+        assert np.frombuffer(got[i], "<u4").tolist() == [*learn(texts[i], add_special_tokens=False).ids, 2]
+
+
 def test_empty_table(documents):
     assert tokens.token_counts(documents([])).count() == 0
     assert binary.token_id_files(documents([])).count() == 0

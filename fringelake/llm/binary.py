@@ -27,6 +27,8 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,9 +38,10 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from fringelake.llm.common import forget, hash_sample, in_blocks, prepare, save
-from fringelake.llm.tokens import (FOREIGN, LETTER, NUMBER, SPACE, default_path, load,
+from fringelake.llm.tokens import (FOREIGN, LETTER, NUMBER, SPACE, _byte_alphabet, default_path, load,
                                    lookup_all)
 
 #: The splitting rule of the byte-level vocabulary for the characters that FOREIGN leaves.
@@ -50,6 +53,8 @@ PIECES = re.compile(
 KEPT = 300_000
 #: Characters of text that are split into pre-tokens, and unknown pre-tokens that are merged, at a time.
 BLOCK, LEARNT = 256 << 10, 4096
+#: The letter that the byte-level vocabulary writes for each byte.
+SPELLED = "".join(c for c, _ in sorted(_byte_alphabet().items(), key=lambda x: x[1]))
 MAGIC = b"FLTK1"
 HEAD = struct.Struct("<5sB32sI")
 
@@ -59,14 +64,31 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tok, self.known = load(path), {}
+        split, self.compared = self.tok.pre_tokenizer, False
+        #: Merges a spelled pre-token. None where the file asks for more than a split, spelling and merges.
+        self.merge = self.tok.model.tokenize if self.tok.normalizer is None and isinstance(
+            split, ByteLevel) and split.use_regex and not split.add_prefix_space else None
 
     def learn(self, pieces: list[str]) -> None:
         for some in (pieces[i:i + LEARNT] for i in range(0, len(pieces), LEARNT)):
-            found = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            cut = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))
-            cut = cut.tolist()
-            self.known.update((p, ids[a:b]) for p, a, b in zip(some, cut, cut[1:], strict=False))
+            got = self.merge and self.merged(some)
+            if not self.compared or not got:  # the first merges are compared with the library's whole way
+                whole = self.encoded(some)
+                if got != whole:
+                    self.merge, got = None, whole
+                self.compared = True
+            self.known.update(zip(some, got, strict=True))
+
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in self.merge(charmap_decode(p.encode(), "strict", SPELLED)[0])]).tobytes()
+                for p in pieces]
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        found = self.tok.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        cut = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces) + 1))
+        cut = cut.tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
         """Ids as little-endian u32, the end id included."""

@@ -65,6 +65,38 @@ def test_encoder_is_bounded():
         assert np.frombuffer(got[i], "<u4").tolist() == [*learn(texts[i], add_special_tokens=False).ids, 2]
 
 
+def test_new_pieces_are_merged_by_the_model():
+    encoder, tok, whole = binary.Encoder(BYTE), tokens.load(BYTE), []
+    rng = random.Random(1)
+    texts = strange_texts(2000) + ["".join(chr(rng.randrange(0x250)) for _ in range(40)) + f" {i}a{i}b" for i in range(9000)]
+
+    class Watched:
+        def encode(self, pieces, **options):
+            whole.extend(pieces if isinstance(pieces, list) else [])
+            return tok.encode(pieces, **options)
+
+    encoder.tok = Watched()
+    got = encoder.encode(texts, None)
+    assert len(encoder.known) > 5 * binary.LEARNT >= 5 * len(whole) > 0  # only the first are compared with the whole way
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [
+        tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_files_that_ask_for_more_go_the_whole_way(tmp_path):
+    from tokenizers import normalizers
+    tok = tokens.load(BYTE)
+    tok.normalizer = normalizers.Lowercase()
+    tok.save(f"{tmp_path}/lower.json")
+    texts = ["Some WORDS, and  Ünïcödé\n\nTEXT"] * 2
+    other, wrong = binary.Encoder(f"{tmp_path}/lower.json"), binary.Encoder(BYTE)
+    assert other.merge is None
+    wrong.merge = lambda spelled: []
+    for encoder, lib in ((other, tok), (wrong, tokens.load(BYTE))):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts, None)] == [
+            lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoder.merge is None
+
+
 def test_empty_table(documents):
     assert tokens.token_counts(documents([])).count() == 0
     assert binary.token_id_files(documents([])).count() == 0

@@ -85,6 +85,22 @@ def test_parts_give_the_ids_of_whole_texts(models):
         assert y.tolist() == models[1].encode(t)
 
 
+def test_new_byte_parts_are_merged_by_the_model(models):
+    some = [t for _, t in texts()] + ODD + [f"{i}x{i} <|endoftext|>"[:i % 15] for i in range(6000)]
+    a, whole = alignment.ByteTokens(BYTE), []
+
+    class Watched:
+        def encode(self, pieces, **options):
+            whole.extend(pieces if isinstance(pieces, list) else [])
+            return models[0].encode(pieces, **options)
+
+    a.encoder.tok = Watched()
+    got = a.encode(some) + a.encode([f"{i}y{i}" for i in range(6000)])
+    assert len(a.encoder.known) > 6000 > len(whole) > 0  # only the first are compared with the whole way
+    for t, x in zip(some, got, strict=False):
+        assert x.tolist() == models[0].encode(" " + t, add_special_tokens=False).ids
+
+
 def test_query_equals_brute_force(spark, documents, odd_rows, models, tmp_path):
     rows = texts() + [(900 + i, t) for i, t in enumerate(ODD)] + [(i and 2000 + i, t) for i, t in odd_rows]
     documents(rows).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
